@@ -163,7 +163,7 @@ def _whole_ball(batches: Batches) -> Batches:
     """
     one = np.uint64(1) << np.arange(64, dtype=np.uint64)
     core = np.r_[np.uint64(0), one]
-    rim = np.array([one[i] | one[j] for h in (0, 32) for i in range(h, h + 32) for j in range(i)  if j >= h], np.uint64)
+    rim = np.array([one[i] | one[j] for h in (0, 32) for i in range(h, h + 32) for j in range(h, i)], np.uint64)
     flips, kind = np.r_[core, rim], np.r_[np.zeros(len(core), np.int32), np.ones(len(rim), np.int32)]
     for batch in batches:
         fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -222,7 +222,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id stands for its group of near-duplicates; all columns stay.
 
-    Of each group the document with the least doc_id stays, once if its row is repeated.
+    Of each group the document with the least doc_id stays, once if its row is repeated; a null doc_id counts as the least
+    long only where all of a group have none.
     """
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates(["doc_id"])
+    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__key")).distinct()
+    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
