@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from duolist.llm import bpe, langid, packing, quality, simhash, tokenfile, urlfilter
+from duolist.llm import ann, bpe, embdedup, langid, lm, packing, quality, simhash, tokenfile, urlfilter
 from duolist.llm.common import scratch_dir
 from duolist.llm.urlfilter import Rule
 
@@ -41,14 +42,26 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of(_table(spark, sf_dir, "documents"))
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"))))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(_table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}")
 
@@ -74,7 +87,10 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/en/', 'example.net/de/
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each takes (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_url_filter, op4_quality, op6_language_id, op8_bpe, op10_token_file)}
+    import corpus_pipeline
+
+    operators = (op1_simhash, op2_packing, op3_url_filter, op4_quality, op5_nearest, op6_language_id, op7_vector_dedup, op8_bpe, op9_lm_score, op10_token_file)
+    return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
