@@ -1,21 +1,447 @@
-"""All registered queries of the engine and their SQL."""
+"""All registered queries of the engine and their SQL. Each takes (spark, sf_dir) and runs over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from duolist.functions import dot
+from duolist.operators import checks, cohorts, evaluation, graph, models, pairs, ranking
+from duolist.plans import oracle
+from duolist.schema import shared_table
+from duolist.sources.sinks import content_digest
+from duolist.sources.tables import DemoTables, preview_image
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Callable[[DemoTables], DataFrame]) -> Callable[[DemoTables], DataFrame]:
+    """Register a function of the demonstration tables under its name."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return f(DemoTables(spark, sf_dir))
+
+    _QUERIES[f.__name__] = run
+    return f
+
+
+def _r(name: str, digits: int = 6, of: str | Column | None = None) -> Column:
+    return F.round(name if of is None else of, digits).alias(name)
+
+
+@query
+def ratings_view(d: DemoTables) -> DataFrame:
+    return d.ratings
+
+
+@query
+def temporal_split(d: DemoTables) -> DataFrame:
+    return d.split.select("userId", "movieId", "split", "is_positive")
+
+
+@query
+def split_summary(d: DemoTables) -> DataFrame:
+    return cohorts.split_summary(d.split).withColumn("positive_rate", F.round("positive_rate", 9))
+
+
+@query
+def user_split_statistics(d: DemoTables) -> DataFrame:
+    return d.statistics
+
+
+@query
+def training_users(d: DemoTables) -> DataFrame:
+    return d.training_users
+
+
+@query
+def evaluation_users(d: DemoTables) -> DataFrame:
+    return d.evaluation_users
+
+
+@query
+def pretest_users(d: DemoTables) -> DataFrame:
+    return cohorts.pretest_users(d.statistics, 10, 3, 1, d.evaluation_users)
+
+
+@query
+def positive_edges(d: DemoTables) -> DataFrame:
+    return d.warm_edges
+
+
+@query
+def positive_events(d: DemoTables) -> DataFrame:
+    return cohorts.positive_events(d.split, "validation", d.evaluation_users)
+
+
+@query
+def warm_catalog(d: DemoTables) -> DataFrame:
+    return d.catalog
+
+
+@query
+def warm_coverage(d: DemoTables) -> DataFrame:
+    return cohorts.warm_coverage(d.test_events, d.catalog).select(_r("coverage", 9))
+
+
+@query
+def first_k(d: DemoTables) -> DataFrame:
+    return cohorts.first_interactions(d.ratings, 5).select("userId", "movieId", "timestamp")
+
+
+@query
+def seen_items(d: DemoTables) -> DataFrame:
+    return d.seen
+
+
+@query
+def pair_candidates(d: DemoTables) -> DataFrame:
+    return cohorts.pair_candidates(d.pairs, d.catalog, d.seen)
+
+
+@query
+def pair_candidate_counts(d: DemoTables) -> DataFrame:
+    return cohorts.pair_candidates(d.pairs, d.catalog, d.seen).groupBy("pairId").agg(F.count(F.lit(1)).alias("candidates"))
+
+
+@query
+def missing_report(d: DemoTables) -> DataFrame:
+    return checks.missing_report(d.ratings)
+
+
+@query
+def duplicate_counts(d: DemoTables) -> DataFrame:
+    lines = d.table("lineitem").join(d.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey")
+    return checks.duplicate_count(lines)
+
+
+@query
+def value_checks(d: DemoTables) -> DataFrame:
+    return checks.value_checks(d.ratings)
+
+
+@query
+def referential_checks(d: DemoTables) -> DataFrame:
+    filled = d.table("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"))
+    return checks.orphans(d.table("lineitem").select(F.col("l_orderkey").alias("key")), filled, "key")
+
+
+@query
+def time_range(d: DemoTables) -> DataFrame:
+    return checks.time_range(d.ratings)
+
+
+@query
+def disjoint_pairs(d: DemoTables) -> DataFrame:
+    return d.pairs
+
+
+@query
+def joint_counts(d: DemoTables) -> DataFrame:
+    return pairs.joint_counts(d.pairs, d.test_events)
+
+
+@query
+def genre_counts(d: DemoTables) -> DataFrame:
+    named = d.movies.select("movieId", F.explode(F.array_distinct(F.split("genres", r"\|"))).alias("genre"))
+    return cohorts.of_users(d.train, d.members).join(named, "movieId").groupBy("userId", "genre").agg(F.count(F.lit(1)).alias("exposure"), F.count_if("is_positive").alias("likes"))
+
+
+@query
+def genre_profiles(d: DemoTables) -> DataFrame:
+    return pairs.genre_profiles(d.train, d.movies, d.members, d.config).withColumn("weight", F.round("weight", 6))
+
+
+def _features(d: DemoTables) -> DataFrame:
+    return pairs.pair_features(d.pairs, d.train, d.movies, d.config)
+
+
+@query
+def pair_features(d: DemoTables) -> DataFrame:
+    return _features(d).select("pairId", "userA", "userB", "coRatedTrain", _r("genre_similarity", of="genreSimilarity"), _r("rating_correlation", of="ratingCorrelation"))
+
+
+@query
+def similarity_bands(d: DemoTables) -> DataFrame:
+    f = shared_table(_features(d), "features")
+    return pairs.similarity_bands(f, pairs.band_rule(f)).select("pairId", "similarityBand")
+
+
+@query
+def conflict_bands(d: DemoTables) -> DataFrame:
+    return pairs.conflict_bands(shared_table(_features(d), "features")).select("pairId", _r("conflict_score", of="conflictScore"), "conflictBand")
+
+
+@query
+def dissimilar_pairs(d: DemoTables) -> DataFrame:
+    return pairs.dissimilar_pairs(shared_table(_features(d), "features"), d.config)[0].select("pairId", "userA", "userB")
+
+
+@query
+def sampled_pairs(d: DemoTables) -> DataFrame:
+    return pairs.sample_pairs(d.evaluation_users, d.config)
+
+
+def _popular(d: DemoTables) -> DataFrame:
+    return models.recommend_popular(d.pairs, d.catalog, d.seen, 10)
+
+
+def _relevant(d: DemoTables) -> DataFrame:
+    return evaluation.pair_relevant_items(d.pairs, d.test_events, d.catalog, d.seen)
+
+
+@query
+def popularity_topk(d: DemoTables) -> DataFrame:
+    return _popular(d).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def pair_relevance(d: DemoTables) -> DataFrame:
+    return _relevant(d)
+
+
+def _metrics(d: DemoTables) -> DataFrame:
+    return evaluation.pair_metrics(_popular(d), _relevant(d), 10)
+
+
+@query
+def pair_metrics(d: DemoTables) -> DataFrame:
+    return _metrics(d).select("pairId", "userA", "userB", *(_r(n, of=f"`{c}@10`") for n, c in (("ndcg_a", "ndcgA"), ("ndcg_b", "ndcgB"), ("average_ndcg", "averageNDCG"), ("minimum_ndcg", "minimumNDCG"), ("average_recall", "averageRecall"))))
+
+
+@query
+def method_summary(d: DemoTables) -> DataFrame:
+    s = evaluation.method_summary(shared_table(_popular(d), "lists"), _relevant(d), 1, 10)
+    return s.select("evaluated_pairs", "skipped_pairs", _r("mean_average_ndcg", of="mean_averageNDCG"), _r("mean_minimum_ndcg", of="mean_minimumNDCG"), _r("mean_ndcg_gap", of="mean_ndcgGap"), "unique_items", _r("two_sided_hit_rate"))
+
+
+@query
+def subgroup_summary(d: DemoTables) -> DataFrame:
+    bands = pairs.similarity_bands(_features(d), {"lower": 0.0, "upper": 0.2})
+    s = evaluation.subgroup_summary(_metrics(d).withColumn("method", F.lit("popularity")), bands, "similarityBand", 10)
+    return s.select("similarityBand", "pairs", _r("mean_average_ndcg", of="mean_averageNDCG"), _r("mean_minimum_ndcg", of="mean_minimumNDCG"), _r("mean_ndcg_gap", of="mean_ndcgGap"))
+
+
+@query
+def target_coverage(d: DemoTables) -> DataFrame:
+    return evaluation.target_coverage(d.pairs, d.test_events, d.catalog, _relevant(d)).select("liked", "remaining", "two_sided_pairs")
+
+
+def _neighbours(d: DemoTables) -> DataFrame:
+    return models.item_neighbours(d.warm_edges, 100, 10.0)
+
+
+def _scored(d: DemoTables) -> DataFrame:
+    """Neighbourhood scores of both members for all candidates, zeros included."""
+    likes = cohorts.of_users(d.warm_edges, d.members)
+    return models.neighbour_scores(likes, _neighbours(d), 50).withColumn("score", F.round("score", 9))
+
+
+@query
+def item_degrees(d: DemoTables) -> DataFrame:
+    return d.warm_edges.groupBy("movieId").agg(F.count(F.lit(1)).alias("degree"))
+
+
+@query
+def item_neighbours(d: DemoTables) -> DataFrame:
+    return _neighbours(d).where("rank < 100").select("src", "cand", _r("similarity"))
+
+
+@query
+def item_knn_scores(d: DemoTables) -> DataFrame:
+    return models.neighbour_scores(d.warm_edges, _neighbours(d), 100).withColumn("score", F.round("score", 5))
+
+
+def _normalized(d: DemoTables) -> DataFrame:
+    s = _scored(d)
+    candidates = cohorts.pair_candidates(d.pairs, d.catalog, d.seen).join(d.pairs, "pairId")
+    a, b = (s.select(F.col("userId").alias(f"user{m}"), "movieId", F.col("score").alias(f"s{m}")) for m in "AB")
+    both = candidates.join(a, ["userA", "movieId"], "left").join(b, ["userB", "movieId"], "left")
+    return ranking.normalize_scores(both.select("pairId", "movieId", F.coalesce("sA", F.lit(0.0)).alias("scoreA"), F.coalesce("sB", F.lit(0.0)).alias("scoreB")))
+
+
+@query
+def percentile_scores(d: DemoTables) -> DataFrame:
+    return _normalized(d).select("pairId", "movieId", _r("q_a", of="qA"), _r("q_b", of="qB"))
+
+
+def _lists(d: DemoTables, weight: float | None) -> DataFrame:
+    return ranking.recommend_from_scores(d.pairs, _scored(d), d.catalog, d.seen, weight, 10)
+
+
+def _group(name: str, weight: float | None) -> None:
+    def run(d: DemoTables) -> DataFrame:
+        return _lists(d, weight).select("pairId", "movieId", F.col("rank").cast("long").alias("rank"), _r("group_score", of="groupScore"))
+
+    run.__name__ = name
+    query(run)
+
+
+for _name, _weight in (("group_linear", 0.65), ("group_average", 0.0), ("group_least_misery", 1.0), ("group_nash", None)):
+    _group(_name, _weight)
+
+
+@query
+def rank_overlap(d: DemoTables) -> DataFrame:
+    both = _popular(d).select("pairId", "rank", "movieId", F.lit("popularity").alias("method")).unionByName(_lists(d, None).select("pairId", "rank", "movieId", F.lit("nash").alias("method")))
+    s = evaluation.compare_rankings(shared_table(both, "lists"), "popularity", 10).where("method = 'nash'")
+    return s.select("comparedPairs", _r("identical", of="identicalTopKPairRate"), _r("overlap", of="meanItemOverlapAtK"), _r("same_position", of="meanPositionAgreementAtK"))
+
+
+@query
+def paired_bootstrap(d: DemoTables) -> DataFrame:
+    relevant = _relevant(d)
+    nash = evaluation.pair_metrics(_lists(d, None), relevant, 10).withColumn("method", F.lit("nash"))
+    metrics = shared_table(_metrics(d).withColumn("method", F.lit("popularity")).unionByName(nash), "metrics")
+    return evaluation.paired_bootstrap(metrics, "nash", "popularity", "minimumNDCG@10", 1000)
+
+
+def _graph(d: DemoTables) -> dict[str, DataFrame]:
+    return graph.bipartite_graph(d.warm_edges)
+
+
+def _layer0(g: dict[str, DataFrame]) -> DataFrame:
+    """A vector of one component at each node, for figures that SQL can follow."""
+    nodes = g["users"].select("node").unionAll(g["movies"].select("node"))
+    return nodes.select("node", F.lit(0).alias("pos"), (F.col("node") % 7).cast("double").alias("value"))
+
+
+@query
+def edge_weights(d: DemoTables) -> DataFrame:
+    return graph.edge_weights(_graph(d)["links"]).withColumn("weight", F.round("weight", 9))
+
+
+@query
+def node_degrees(d: DemoTables) -> DataFrame:
+    return _graph(d)["links"].groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+
+
+@query
+def propagate_once(d: DemoTables) -> DataFrame:
+    g = _graph(d)
+    return graph.propagate_once(_layer0(g), graph.edge_weights(g["links"])).select("node", _r("value"))
+
+
+@query
+def propagate_mean(d: DemoTables) -> DataFrame:
+    g = _graph(d)
+    return graph.propagate(_layer0(g), g["links"], 2).select("node", _r("value"))
+
+
+@query
+def ranking_triples(d: DemoTables) -> DataFrame:
+    return graph.sample_triples(_graph(d), d.warm_edges.count(), 7)
+
+
+def _vectors(d: DemoTables) -> DataFrame:
+    return d.table("embeddings").select(F.col("vec_id").alias("movieId"), F.col("embedding").alias("vec"))
+
+
+@query
+def fold_in(d: DemoTables) -> DataFrame:
+    folded = graph.fold_in(d.train, _vectors(d))
+    return graph.as_components(folded, "userId").select("userId", F.col("pos").cast("long").alias("pos"), _r("value"))
+
+
+@query
+def embedding_scores(d: DemoTables) -> DataFrame:
+    v = _vectors(d)
+    users = v.where("movieId < 20").select(F.col("movieId").alias("userId"), F.col("vec").alias("u"))
+    return cohorts.against_all(users, v.where("movieId >= 20"), "movieId").select("userId", "movieId", _r("score", 5, dot("u", "vec")))
+
+
+@query
+def embedding_topk(d: DemoTables) -> DataFrame:
+    folded = graph.fold_in(d.train, _vectors(d))
+    lists = ranking.recommend_from_vectors(d.pairs, folded, _vectors(d), d.seen, 0.65, 10)
+    return lists.select("pairId", "movieId", "rank", _r("group_score", of="groupScore"))
+
+
+@query
+def als_factors(d: DemoTables) -> DataFrame:
+    from duolist.config import AlsConfig
+
+    fit = models.train_als(d.warm_edges, AlsConfig(factors=8, iterations=2))
+    return fit["users"].select(F.col("userId").alias("id"), F.lit("user").alias("kind"), "vec").unionAll(fit["movies"].select("movieId", F.lit("movie"), "vec"))
+
+
+@query
+def biased_mf_scores(d: DemoTables) -> DataFrame:
+    from duolist.config import BiasedMfConfig
+
+    train = d.train.select("userId", "movieId", "rating")
+    model = models.train_biased_mf(train, BiasedMfConfig(factors=4, epochs=2, learning_rate=0.05))
+    return models.predict_biased_mf(train.select("userId", "movieId"), model)
+
+
+@query
+def graph_model_vectors(d: DemoTables) -> DataFrame:
+    from duolist.config import GraphConfig
+
+    grid = {"matrix factorisation": GraphConfig(num_layers=0, steps=30, batch_size=256), "propagated": GraphConfig(num_layers=2, steps=30, batch_size=256)}
+    return models.train_graph_models(d.warm_edges, grid)
+
+
+def _own(d: DemoTables) -> DataFrame:
+    first = d.pairs.agg(F.min("userA").alias("userId"))
+    return d.train.join(first, "userId", "left_semi").join(d.catalog, "movieId", "left_semi").select("movieId", "rating")
+
+
+@query
+def cold_start_scores(d: DemoTables) -> DataFrame:
+    return ranking.cold_start_scores(d.movies, shared_table(d.catalog, "catalog"), _own(d)).select("movieId", _r("popularity"), _r("taste"), _r("score"))
+
+
+@query
+def cold_start_topk(d: DemoTables) -> DataFrame:
+    catalog = shared_table(d.catalog, "catalog")
+    other = d.train.join(d.pairs.agg(F.min("userB").alias("userId")), "userId", "left_semi").join(catalog, "movieId", "left_semi").select("movieId", "rating")
+    return ranking.recommend_cold_start(d.movies, catalog, _own(d), other, diversity_weight=0.1).select("movieId", "rank", "baseRank", _r("diversifiedScore"))
+
+
+@query
+def onboarding_list(d: DemoTables) -> DataFrame:
+    return ranking.onboarding_movies(d.movies, d.catalog, 36, 750, ("red", "blue", "small", "widget", "bolt", "ring"))
+
+
+@query
+def title_search(d: DemoTables) -> DataFrame:
+    return cohorts.search_titles(d.movies, "Widget").select("movieId", "title")
+
+
+@query
+def latest_events(d: DemoTables) -> DataFrame:
+    log = d.table("events").select(F.col("user_id").alias("userId"), F.col("event_type").alias("movieId"), F.col("value").alias("rating"), F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp"))
+    return cohorts.latest_rating(log).select("userId", "movieId", "rating")
+
+
+@query
+def catalog_digest(d: DemoTables) -> DataFrame:
+    return d.catalog.agg(F.count(F.lit(1)).alias("rows"), F.sum("trainPositiveCount").alias("likes"))
+
+
+@query
+def content_digests(d: DemoTables) -> DataFrame:
+    return content_digest(d.ratings)
+
+
+@query
+def preview_images(d: DemoTables) -> DataFrame:
+    return d.table("pages").select("page_id", preview_image("html").alias("image"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Ten popular unseen films for each pair, and how well each list does on held-out likes."""
+    return _QUERIES["pair_metrics"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
