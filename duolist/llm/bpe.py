@@ -12,13 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duolist.llm.common import Batches, id_and_text, ids_of, record, texts
-from duolist.llm.tokens import vocabulary_path
+from duolist.llm.tokens import WordMemory, vocabulary_path
 
-#: Words that a worker remembers; beyond that it starts anew, so its memory stays bounded.
-REMEMBER = 400_000
 #: Fixed value of the file format: how a text falls into words before merging.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_BATCH_CHARS = 4_000_000
+_BATCH_IDS = 2_000_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -45,8 +43,7 @@ class Codec:
         self.pieces |= {i: s.encode() for s, i in self.special.items()}
         self.words = regex.compile(WORDS)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.awkward = regex.compile(r" (?:\s|$)")
-        self.known: dict[str, bytes] = {}
+        self.memory = WordMemory(lambda texts: list(map(self._text, texts)), list(self.special))
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word. Entries of the queue are rank * size + place; one is stale if its pair no longer stands there."""
@@ -69,37 +66,21 @@ class Codec:
                 heappush(queue, s * size + k)
         return [x for x in ids if x is not None]
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word as little-endian 32-bit integers."""
-        got = self.known.get(word)
-        if got is None:
-            got = self.known[word] = np.array(self.merge(word.encode()), "<u4").tobytes()
-        return got
-
-    def _stretch(self, text: str) -> bytes:
-        """Ids of text without special tokens."""
-        if self.awkward.search(text):
-            return b"".join(map(self._word, self.words.findall(text)))
-        # Every blank stands alone between other characters, so a word starts at each; what lies between two blanks is
-        # looked up as a whole, under a key that no word has.
-        first, *rest = text.split(" ")
-        known, out = self.known, [b"".join(map(self._word, self.words.findall(first)))]
-        for part in rest:
-            got = known.get(part + "\0 ")
-            if got is None:
-                got = known[part + "\0 "] = b"".join(map(self._word, self.words.findall(" " + part)))
-            out.append(got)
-        return b"".join(out)
+    def _text(self, text: str) -> bytes:
+        """Ids of a text as little-endian 32-bit integers; strings of special tokens stand for those."""
+        parts = self.parts.split(text) if self.parts else [text]
+        ids: list[int] = []
+        for p in parts:
+            if p in self.special:
+                ids.append(self.special[p])
+            else:
+                for word in self.words.findall(p):
+                    ids += self.merge(word.encode())
+        return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """All ids of a text."""
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        if self.parts is None or not self.parts.search(text):
-            raw = self._stretch(text)
-        else:
-            raw = b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._stretch(p) for p in self.parts.split(text) if p)
-        return np.frombuffer(raw, "<u4")
+        return next(self.memory.all([text]))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: their vocabulary strings put together, read as UTF-8; what isn't UTF-8 becomes U+FFFD."""
@@ -133,10 +114,10 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
         for batch in batches:
             ids, held, start = ids_of(batch), [], 0
             size = 0
-            for i, text in enumerate(texts(batch.column(1))):
-                held.append(c.encode(text))
-                size += len(text)
-                if size > _BATCH_CHARS:
+            for i, tokens in enumerate(c.memory.all(texts(batch.column(1)))):
+                held.append(tokens)
+                size += len(tokens)
+                if size > _BATCH_IDS:
                     yield record(doc_id=ids.slice(start, len(held)), ids=_lists(held))
                     held, start, size = [], i + 1, 0
             if held:

@@ -1,17 +1,25 @@
-"""Token ids of whole texts by the tokenizers library, in bounded memory."""
+"""Token ids of whole texts by the tokenizers library, in bounded memory.
+
+Texts are looked at word by word: wherever a blank or a line end stands alone between other characters, the vocabulary's
+pre-tokenizer starts a new word, so ids of what lies between are the same in every text. A worker remembers them and asks the
+library for new ones only.
+"""
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Characters that go to the library at a time; longer texts are cut where that can't change their ids.
-_AT_ONCE = 200_000
-#: A single blank between plain characters: the vocabulary's pre-tokenizer always starts a new word there.
+#: Characters that are worked on at a time; longer texts are cut where that can't change their ids.
+_AT_ONCE = 500_000
+#: Words that a worker remembers; beyond that it starts anew, so its memory stays bounded.
+REMEMBER = 1_500_000
+#: A single blank between plain characters.
 _CUT = re.compile(r"(?<=[A-Za-z0-9.,]) (?=[A-Za-z0-9])")
 _loaded: dict[str, object] = {}
 
@@ -25,20 +33,6 @@ def vocabulary_path(path: str | None = None) -> str:
     return path
 
 
-def tokenizer(path: str | None = None):
-    """The library's tokenizer, loaded once per worker; without padding and truncation."""
-    path = vocabulary_path(path)
-    if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.no_padding()
-        t.no_truncation()
-        _loaded[path] = t
-    return _loaded[path]
-
-
 def cut_long(text: str, size: int = _AT_ONCE) -> list[str]:
     """Parts of text whose ids, put together, are those of text."""
     parts, at = [], 0
@@ -49,37 +43,85 @@ def cut_long(text: str, size: int = _AT_ONCE) -> list[str]:
     return parts
 
 
+def _starts_blank(part: str) -> bool:
+    """Whether more white space than one line end stands at the start; such parts are never remembered."""
+    rest = part[1:2] if part[:1] == "\n" else part[:1]
+    return rest.isspace()
+
+
+class WordMemory:
+    """Ids of whole texts from a function that gives the ids of each of a list of texts as little-endian 32-bit integers."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], special: list[str]):
+        self.encode, self.known, self.special = encode, {}, special
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBER:
+            self.known.clear()
+        known, split, new = self.known, [], set()
+        line_end = len(self._line_end())
+        for text in texts:
+            # a part that starts with a line end stands for itself, any other for itself behind a blank
+            parts = ("\n" + text.replace("\n", " \n")).split(" ")
+            got = list(map(known.get, parts))
+            missing = {i: parts[i] for i, x in enumerate(got) if x is None}
+            inner = parts[1:-1]
+            if "" in inner or "\n" in inner or (len(parts) > 1 and not parts[-1]) or any(map(_starts_blank, missing.values())) or any(x in text for x in self.special):
+                split.append((None, text))
+            else:
+                split.append((got, missing))
+                new.update(missing.values())
+        new = list(new)
+        known.update(zip(new, self.encode([p if p[:1] == "\n" else " " + p for p in new]), strict=True))
+        out = []
+        for got, rest in split:
+            if got is None:
+                out.append(b"".join(self.encode(cut_long(rest))))
+                continue
+            for i, p in rest.items():
+                got[i] = known[p]
+            out.append(b"".join(got)[line_end:])
+        return out
+
+    def _line_end(self) -> bytes:
+        if "\n" not in self.known:
+            self.known["\n"] = self.encode(["\n"])[0]
+        return self.known["\n"]
+
+    def all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text as uint32, in order."""
+        at, end, size = 0, 0, 0
+        while at < len(texts):
+            while end < len(texts) and (size < _AT_ONCE or end == at):
+                size += len(texts[end])
+                end += 1
+            for raw in self._group(texts[at:end]):
+                yield np.frombuffer(raw, "<u4")
+            at, size = end, 0
+
+
+def tokenizer(path: str | None = None):
+    """The library's tokenizer; without padding and truncation."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary_path(path))
+    t.no_padding()
+    t.no_truncation()
+    return t
+
+
+def _memory(path: str) -> WordMemory:
+    if path not in _loaded:
+        t = tokenizer(path)
+
+        def encode(texts: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for i in range(0, len(texts), 1000) for e in t.encode_batch_fast(texts[i : i + 1000], add_special_tokens=False)]
+
+        _loaded[path] = WordMemory(encode, [x.content for x in t.get_added_tokens_decoder().values()])
+    return _loaded[path]
+
+
 def encode_all(texts: list[str], path: str | None = None) -> Iterator[np.ndarray]:
-    """The ids of each text as uint32, in order; only some hundred thousand characters are in the library at once."""
-    t = tokenizer(path)
-    held: list[str] = []
-    owner: list[int] = []
-    got: dict[int, list[np.ndarray]] = {}
-    chars = 0
-
-    def flush() -> None:
-        for i, e in zip(owner, t.encode_batch_fast(held, add_special_tokens=False), strict=True):
-            got.setdefault(i, []).append(np.array(e.ids, np.uint32))
-        held.clear()
-        owner.clear()
-
-    done = 0
-    for i, text in enumerate(texts):
-        for part in cut_long(text):
-            held.append(part)
-            owner.append(i)
-            chars += len(part)
-            if chars >= _AT_ONCE:
-                flush()
-                chars = 0
-                while done < i:
-                    yield _joined(got.pop(done))
-                    done += 1
-    flush()
-    while done < len(texts):
-        yield _joined(got.pop(done))
-        done += 1
-
-
-def _joined(parts: list[np.ndarray]) -> np.ndarray:
-    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+    """The library's ids of each text as uint32, in order; some hundred thousand characters are worked on at once."""
+    return _memory(vocabulary_path(path)).all(texts)
