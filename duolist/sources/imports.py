@@ -26,10 +26,10 @@ def import_ratings(rows: DataFrame, links: DataFrame, catalog: DataFrame) -> tup
         rows = rows.withColumn("__line", F.monotonically_increasing_id())
     total = rows.count()
     if {"movieId", "rating"} <= columns:
-        layout, films = "movielens", rows.select(F.expr("try_cast(movieId as long)").alias("movieId"), F.expr("try_cast(rating as double)").alias("rating"), "__line")
+        layout, films = "movie ids", rows.select(F.expr("try_cast(movieId as long)").alias("movieId"), F.expr("try_cast(rating as double)").alias("rating"), "__line")
         other = unmapped = 0
     elif {"Const", "Your Rating", "Title Type"} <= columns:
-        layout, own = "imdb", rows.where("`Title Type` = 'Movie'")
+        layout, own = "title codes", rows.where("`Title Type` = 'Movie'")
         other = total - own.count()
         number = F.nullif(F.regexp_extract("Const", r"^tt(\d+)$", 1), F.lit(""))
         numbered = own.select(F.expr("try_cast(n as long)").alias("imdbId"), F.expr("try_cast(`Your Rating` as double) / 2").alias("rating"), "__line") if "n" in columns else own.withColumn("n", number).select(F.expr("try_cast(n as long)").alias("imdbId"), F.expr("try_cast(`Your Rating` as double) / 2").alias("rating"), "__line")

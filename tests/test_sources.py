@@ -14,7 +14,7 @@ def exports(spark):
     return links, spark.createDataFrame([(10,)], "movieId int")
 
 
-def test_imdb_import(spark):
+def test_title_code_import(spark):
     links, warm = exports(spark)
     rows = spark.createDataFrame([("tt0000111", "9", "Movie"), ("tt0000222", "8", "TV Series"), ("tt0000333", "7", "Movie"), ("x", "7", "Movie")], "Const string, `Your Rating` string, `Title Type` string")
     got, report = imports.import_ratings(rows, links, warm)
@@ -22,7 +22,7 @@ def test_imdb_import(spark):
     assert (report["non_movies"], report["unmapped"], report["usable"]) == (1, 1, 1)
 
 
-def test_movielens_import_keeps_the_last(spark, tmp_path):
+def test_import_keeps_the_last(spark, tmp_path):
     links, warm = exports(spark)
     path = tmp_path / "e.csv"
     path.write_text("movieId,rating\n10,3.0\n99,3.5\nx,1\n10,4.0\n")
