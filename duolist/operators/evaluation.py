@@ -156,10 +156,13 @@ def trailing_mean(history: DataFrame, window: int) -> DataFrame:
     return history.withColumns({f"{c}_smoothed": F.avg(c).over(w) for c in ("primary", "secondary")})
 
 
-def stage_rows(spark: SparkSession, stage: str, training: dict, validation: dict) -> DataFrame:
-    """One row per method of a stage: the stage's facts, then the method's."""
-    subset, run = training["subset"], training["training"]
-    shared = {"stage": stage, "pair_limit": int(subset["pair_limit"]), "total_user_limit": int(subset["total_user_limit"]), "selected_pair_count": int(validation["pairs"]), "graph_user_count": int(subset["graph_users"]), "graph_movie_count": int(subset["graph_movies"]), "positive_edge_count": int(subset["positive_edges"]), "training_steps": int(run["steps"]), "final_training_bpr_loss": float(training["final_fixed_training_bpr_loss"]), "validation_target_coverage": float(validation["pair_validation_target_coverage"])}
-    names = {"mean_minimum_ndcg_at_10": "meanMinimumNDCG@10", "mean_average_ndcg_at_10": "meanAverageNDCG@10", "mean_ndcg_gap_at_10": "meanNDCGGap@10", "mean_average_recall_at_10": "meanAverageRecall@10", "catalogue_coverage_at_10": "catalogueCoverage@10", "two_sided_hit_pair_rate": "twoSidedHitPairRate", "one_sided_hit_pair_rate": "oneSidedHitPairRate", "no_hit_pair_rate": "noHitPairRate"}
-    rows = [shared | {"method": m["method"], "conflict_weight": m.get("conflict_weight"), "evaluated_pair_count": int(m["evaluated_pairs"]), "skipped_pair_count": int(m["skipped_pairs_without_two_sided_relevance"])} | {a: float(m[b]) for a, b in names.items()} for m in validation["methods"]]
-    return spark.createDataFrame(pd.DataFrame(rows))
+def stage_rows(spark: SparkSession, stage: str, facts: dict, methods: list[dict]) -> DataFrame:
+    """One row per method of a stage: the stage's facts, with nested names joined by underscores, then the method's."""
+
+    def flat(x: dict, before: str = "") -> dict:
+        out = {}
+        for name, v in x.items():
+            out |= flat(v, f"{before}{name}_") if isinstance(v, dict) else {before + name: v}
+        return out
+
+    return spark.createDataFrame(pd.DataFrame([{"stage": stage} | flat(facts) | flat(m) for m in methods]))

@@ -75,3 +75,9 @@ def test_bands_and_keys(spark):
 def test_trailing_mean(spark):
     h = spark.createDataFrame([(0, 0.0, 0.0), (5, 0.5, 1.0), (10, 0.4, 0.0)], "step int, primary double, secondary double")
     assert [r.primary_smoothed for r in evaluation.trailing_mean(h, 2).orderBy("step").collect()] == pytest.approx([0, 0.25, 0.45])
+
+
+def test_stage_rows(spark):
+    facts = {"subset": {"pairs": 10}, "training": {"steps": 5}}
+    got = evaluation.stage_rows(spark, "smoke", facts, [{"method": "a", "ndcg": 0.1}, {"method": "b", "ndcg": 0.2}]).orderBy("method").collect()
+    assert [(r.stage, r.subset_pairs, r.training_steps, r.method, r.ndcg) for r in got] == [("smoke", 10, 5, "a", 0.1), ("smoke", 10, 5, "b", 0.2)]
