@@ -22,7 +22,7 @@ from duolist.llm.vectors import binary, distinct_vectors, matrix, stacked, takin
 
 TREES = 24
 LABEL_BITS = 48
-#: Candidates that a query asks of all trees together, as a share of the distinct vectors.
+#: Candidates that a query asks of all trees together, as a share of the distinct vectors; at least k + 1 a tree.
 CANDIDATES = 0.95
 BUCKET_ROWS = 1024
 #: Vectors, and queries, that are scored against each other in one task's memory.
@@ -118,7 +118,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
     prefixes = materialise(sizes.select("tree", "bucket", "n", levels).withColumn("prefix", F.expr(f"shiftright(bucket, {bits} - level)")), "prefixes")
     shared = prefixes.groupBy("tree", "level", "prefix").agg(F.sum("n").alias("n"))
     climbed = asking.select("query", "tree", "bucket", levels).withColumn("prefix", F.expr(f"shiftright(bucket, {bits} - level)")).join(shared, ["tree", "level", "prefix"])
-    level = climbed.groupBy("query", "level").agg(F.sum("n").alias("n")).where((F.col("n") >= F.lit(candidates * n)) | (F.col("level") == 0)).groupBy("query").agg(F.max("level").alias("level"))
+    level = climbed.groupBy("query", "level").agg(F.sum("n").alias("n")).where((F.col("n") >= F.lit(max(candidates * n, trees * (k + 1)))) | (F.col("level") == 0)).groupBy("query").agg(F.max("level").alias("level"))
 
     # each query goes to the buckets below its prefix, in blocks of bounded size on either side
     placed = asking.join(level, "query").withColumn("prefix", F.expr(f"shiftright(bucket, {bits} - level)")).drop("bucket")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duolist.llm.common import Batches, id_and_text, ids_of, map_batches, materialise, record, text_bytes
+from duolist.llm.common import Batches, fresh, id_and_text, ids_of, map_batches, materialise, record, text_bytes
 from duolist.llm.components import connected_components
 
 RADIUS = 3
@@ -225,6 +225,7 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
     Of each group the document with the least doc_id stays, once if its row is repeated; a null doc_id counts as the least
     long only where all of a group have none.
     """
+    (own,) = fresh(docs.columns, "key")
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__key")).distinct()
-    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias(own)).distinct()
+    return docs.withColumn(own, key).join(kept, own, "left_semi").dropDuplicates([own]).select(*(f"`{c}`" for c in docs.columns))
