@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duolist.config import PrepConfig
 from duolist.operators import cohorts, pairs
-from duolist.schema import TABLES, without_nan
+from duolist.schema import TABLES, shared_table, without_nan
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -96,9 +96,14 @@ class DemoTables:
     def split(self) -> DataFrame:
         return cohorts.add_temporal_split(self.ratings, self.config)
 
+    @cached_property
+    def kept(self) -> DataFrame:
+        """The same, written once for queries that look at it several times: else each look would join orders and lines anew."""
+        return shared_table(self.split, "split")
+
     @cached_property
     def statistics(self) -> DataFrame:
-        return cohorts.user_split_statistics(self.split)
+        return cohorts.user_split_statistics(self.__dict__.get("kept", self.split))
 
     @cached_property
     def training_users(self) -> DataFrame:
@@ -110,11 +115,12 @@ class DemoTables:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return cohorts.training_edges(self.split, self.training_users)
+        kept = self.kept
+        return cohorts.training_edges(kept, self.training_users)
 
     @cached_property
     def catalog(self) -> DataFrame:
-        return cohorts.warm_catalog(self.edges, self.config)
+        return shared_table(cohorts.warm_catalog(self.edges, self.config), "catalog")
 
     @cached_property
     def warm_edges(self) -> DataFrame:
@@ -123,6 +129,7 @@ class DemoTables:
     @cached_property
     def pairs(self) -> DataFrame:
         """Users of the evaluation cohort, two by two."""
+        self.kept  # noqa: B018  what follows looks at it too
         return pairs.consecutive_pairs(self.evaluation_users)
 
     @cached_property
@@ -131,12 +138,12 @@ class DemoTables:
 
     @cached_property
     def train(self) -> DataFrame:
-        return self.split.where("split = 'train'")
+        return self.kept.where("split = 'train'")
 
     @cached_property
     def seen(self) -> DataFrame:
-        return cohorts.seen_items(self.split, self.members)
+        return shared_table(cohorts.seen_items(self.kept, self.members), "seen")
 
     @cached_property
     def test_events(self) -> DataFrame:
-        return cohorts.positive_events(self.split, "test", self.members)
+        return cohorts.positive_events(self.kept, "test", self.members)
