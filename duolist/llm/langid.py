@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from duolist.llm.bpe import codec
-from duolist.llm.common import Batches, record, texts
+from duolist.llm.common import Batches, fresh, record, texts
 
 #: Labelled documents learned from per language, those with the least hash of doc_id.
 FIT_DOCS = 400
@@ -29,7 +29,7 @@ FLOOR = 0.01
 #: Bytes of a word that are segmented together; longer words fall into stretches of this size.
 STRETCH = 32
 LONGEST_PIECE = 12
-REMEMBER = 400_000
+REMEMBER = 200_000
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -219,5 +219,6 @@ def language_of(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs whose language is known with a probability of at least `least`; all columns stay."""
     languages, prob = fit(docs.where(_fold(docs) != 1))
-    got = predict(docs, languages, prob, lang_as="__lang", score_as="__score")
-    return got.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(docs.columns)
+    lang, score = fresh(docs.columns, "lang_pred", "score")
+    got = predict(docs, languages, prob, lang_as=lang, score_as=score)
+    return got.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*(f"`{c}`" for c in docs.columns))

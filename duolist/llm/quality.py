@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from duolist.llm.common import Batches, materialise, record, texts
+from duolist.llm.common import Batches, fresh, materialise, record, texts
 
 BUCKETS = 1 << 18
 #: Labelled documents that the models are counted over, those with the least hash of doc_id.
@@ -26,7 +26,7 @@ FIT_DOCS = 20_000
 #: Strength with which a bucket's ratio is drawn to 1, in n-grams.
 SHRINK = 5.0
 SEED = 7
-REMEMBER = 400_000
+REMEMBER = 200_000
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 _known: dict[str, int] = {}
 
@@ -146,5 +146,6 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are drawn; all columns stay."""
     ratio, odds = fit(docs, labels)
-    got = resample(weigh(docs, ratio, weight_as="__weight"), odds, "__weight", "__score", "__kept")
-    return got.where("__kept").select(docs.columns)
+    weight, score, kept = fresh(docs.columns, "log_weight", "score", "kept")
+    got = resample(weigh(docs, ratio, weight_as=weight), odds, weight, score, kept)
+    return got.where(F.col(kept)).select(*(f"`{c}`" for c in docs.columns))

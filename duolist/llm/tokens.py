@@ -18,7 +18,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Characters that are worked on at a time; longer texts are cut where that can't change their ids.
 _AT_ONCE = 500_000
 #: Words that a worker remembers; beyond that it starts anew, so its memory stays bounded.
-REMEMBER = 1_500_000
+REMEMBER = 600_000
 #: A single blank between plain characters.
 _CUT = re.compile(r"(?<=[A-Za-z0-9.,]) (?=[A-Za-z0-9])")
 _loaded: dict[str, object] = {}
@@ -52,11 +52,12 @@ def _starts_blank(part: str) -> bool:
 class WordMemory:
     """Ids of whole texts from a function that gives the ids of each of a list of texts as little-endian 32-bit integers."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], special: list[str]):
-        self.encode, self.known, self.special = encode, {}, special
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], special: list[str], remember: int = REMEMBER):
+        self.encode, self.special, self.remember = encode, special, remember
+        self.known: dict[str, bytes] = {}
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBER:
+        if len(self.known) > self.remember:
             self.known.clear()
         known, split, new = self.known, [], set()
         line_end = len(self._line_end())
