@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -16,6 +17,8 @@ from duolist.llm.tokens import WordMemory, vocabulary_path
 
 #: Fixed value of the file format: how a text falls into words before merging.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Words that a worker remembers; beyond that it starts anew.
+REMEMBER = 1_000_000
 _BATCH_IDS = 2_000_000
 
 
@@ -36,47 +39,51 @@ class Codec:
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         back = {c: b for b, c in symbols.items()}
         self.of_byte = [vocab[symbols[b]] for b in range(256)]
-        self.rank = {(vocab[a], vocab[b]): i for i, (a, b) in reversed(list(enumerate(merges)))}
-        self.merged = [vocab[a + b] for a, b in merges]
+        self.left, self.right, self.merged = ([vocab[x] for x in side] for side in ([a for a, _ in merges], [b for _, b in merges], [a + b for a, b in merges]))
+        self.rank = {a << 32 | b: i for i, (a, b) in reversed(list(enumerate(zip(self.left, self.right, strict=True))))}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pieces: dict[int, bytes] = {i: bytes(back[c] for c in s) if all(c in back for c in s) else s.encode() for s, i in vocab.items()}
         self.pieces |= {i: s.encode() for s, i in self.special.items()}
         self.words = regex.compile(WORDS)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.memory = WordMemory(lambda texts: list(map(self._text, texts)), list(self.special))
+        self.memory = WordMemory(lambda texts: list(map(self._text, texts)), list(self.special), REMEMBER)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word. Entries of the queue are rank * size + place; one is stale if its pair no longer stands there."""
-        ids, rank, size = [self.of_byte[b] for b in word], self.rank, len(word)
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        queue = [r * size + i for i in range(size - 1) if (r := rank.get((ids[i], ids[i + 1]))) is not None]
+        of_byte, rank, left, right, size = self.of_byte, self.rank.get, self.left, self.right, len(word)
+        ids = [of_byte[b] for b in word]
+        queue = [r * size + i for i in range(size - 1) if (r := rank(ids[i] << 32 | ids[i + 1])) is not None]
+        if not queue:
+            return ids
         heapify(queue)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        ids.append(-1)  # stands behind the last
         while queue:
             r, i = divmod(heappop(queue), size)
             j = after[i]
-            if j >= size or ids[i] is None or rank.get((ids[i], ids[j])) != r:
+            if ids[i] != left[r] or ids[j] != right[r]:
                 continue
-            ids[i], ids[j] = self.merged[r], None
+            new, ids[j] = self.merged[r], -2  # -2: gone
+            ids[i] = new
             k = after[i] = after[j]
             if k < size:
                 before[k] = i
-                if (s := rank.get((ids[i], ids[k]))) is not None:
+                if (s := rank(new << 32 | ids[k])) is not None:
                     heappush(queue, s * size + i)
-            if (k := before[i]) >= 0 and (s := rank.get((ids[k], ids[i]))) is not None:
+            if (k := before[i]) >= 0 and (s := rank(ids[k] << 32 | new)) is not None:
                 heappush(queue, s * size + k)
-        return [x for x in ids if x is not None]
+        return [x for x in ids if x >= 0]
 
     def _text(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers; strings of special tokens stand for those."""
-        parts = self.parts.split(text) if self.parts else [text]
         ids: list[int] = []
-        for p in parts:
+        for p in self.parts.split(text) if any(x in text for x in self.special) else [text]:
             if p in self.special:
                 ids.append(self.special[p])
             else:
                 for word in self.words.findall(p):
                     ids += self.merge(word.encode())
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """All ids of a text."""
@@ -102,28 +109,32 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(np.int32)))
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the token ids of each whole text, without special tokens of the library's own.
+def encode(docs: DataFrame, vocabulary: str | None = None, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids[, text]): the token ids of each whole text, without special tokens of the library's own.
 
-    Null and empty texts have no ids; repeated rows and null doc_ids are encoded like any other; other columns aren't read; an
-    empty table gives an empty table.
+    decoded: add what decode() gives for those ids, in the same pass. Null and empty texts have no ids; repeated rows and null
+    doc_ids are encoded like any other; other columns aren't read; an empty table gives an empty table.
     """
 
     def run(batches: Batches) -> Batches:
         c = codec(vocabulary)
+
+        def give(ids: pa.Array, held: list[np.ndarray]) -> pa.RecordBatch:
+            more = {"text": pa.array([c.decode(x.tolist()) for x in held], pa.string())} if decoded else {}
+            return record(doc_id=ids, ids=_lists(held), **more)
+
         for batch in batches:
-            ids, held, start = ids_of(batch), [], 0
-            size = 0
+            ids, held, start, size = ids_of(batch), [], 0, 0
             for i, tokens in enumerate(c.memory.all(texts(batch.column(1)))):
                 held.append(tokens)
                 size += len(tokens)
                 if size > _BATCH_IDS:
-                    yield record(doc_id=ids.slice(start, len(held)), ids=_lists(held))
+                    yield give(ids.slice(start, len(held)), held)
                     held, start, size = [], i + 1, 0
             if held:
-                yield record(doc_id=ids.slice(start, len(held)), ids=_lists(held))
+                yield give(ids.slice(start, len(held)), held)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def decode(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -56,7 +56,7 @@ def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"))))
+    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), decoded=True))
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
