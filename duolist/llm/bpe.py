@@ -17,8 +17,8 @@ from duolist.llm.tokens import WordMemory, vocabulary_path
 
 #: Fixed value of the file format: how a text falls into words before merging.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words that a worker remembers; beyond that it starts anew.
-REMEMBER = 1_000_000
+#: Bytes of words that a worker remembers.
+REMEMBER_BYTES = 256 << 20
 _BATCH_IDS = 2_000_000
 
 
@@ -46,7 +46,7 @@ class Codec:
         self.pieces |= {i: s.encode() for s, i in self.special.items()}
         self.words = regex.compile(WORDS)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.memory = WordMemory(lambda texts: list(map(self._text, texts)), list(self.special), REMEMBER)
+        self.memory = WordMemory(lambda parts: list(map(self._plain, parts)), lambda texts: list(map(self._text, texts)), list(self.special), REMEMBER_BYTES)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word. Entries of the queue are rank * size + place; one is stale if its pair no longer stands there."""
@@ -74,17 +74,19 @@ class Codec:
                 heappush(queue, s * size + k)
         return [x for x in ids if x >= 0]
 
-    def _text(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit integers; strings of special tokens stand for those."""
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens as little-endian 32-bit integers."""
         ids: list[int] = []
-        for p in self.parts.split(text) if any(x in text for x in self.special) else [text]:
-            if p in self.special:
-                ids.append(self.special[p])
-            else:
-                for word in self.words.findall(p):
-                    ids += self.merge(word.encode())
+        for word in self.words.findall(text):
+            ids += self.merge(word.encode())
         return array("I", ids).tobytes()
 
+    def _text(self, text: str) -> bytes:
+        """Ids of a text as little-endian 32-bit integers; strings of special tokens stand for those."""
+        if not any(x in text for x in self.special):
+            return self._plain(text)
+        return b"".join(array("I", [self.special[p]]).tobytes() if p in self.special else self._plain(p) for p in self.parts.split(text))
+
     def encode(self, text: str) -> np.ndarray:
         """All ids of a text."""
         return next(self.memory.all([text]))

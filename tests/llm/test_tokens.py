@@ -119,3 +119,39 @@ def test_planes_come_back(ids, bits):
     shard = tokenfile.write_shard(3, 4, [7, None], [a, a[:1]], bits, 16)
     part, number, doc_ids, back = tokenfile.read_shard(shard + b"\n")
     assert (part, number, doc_ids) == (3, 4, [7, None]) and [x.tolist() for x in back] == [ids, ids[:1]]
+
+
+def _bytes_held(memory):
+    import sys
+
+    return sum(sys.getsizeof(g) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in g.items()) for g in (memory.known.young, memory.known.old))
+
+
+@pytest.mark.parametrize("kind", ["words", "chinese", "base64"])
+def test_memory_is_bounded_in_bytes(library, kind):
+    """Whatever stands between blanks, what a worker remembers stays below its bound, and ids stay the library's."""
+    lines = tokens.LibraryWords(tokens.vocabulary_path())
+    bound = 4 << 20
+    memory = tokens.WordMemory(lines.words, lines.texts, ["<|endoftext|>"], bound)
+    rng, most, seen = np.random.default_rng(5), 0, 0
+    for _ in range(12):
+        if kind == "words":
+            texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(150)) for _ in range(60)]
+        elif kind == "chinese":
+            texts = ["\n".join("".join(map(chr, rng.integers(0x4E00, 0x9FA0, 400))) for _ in range(10)) for _ in range(20)]
+        else:
+            texts = [" ".join(hashlib.sha256(rng.bytes(8)).hexdigest() * 3 for _ in range(20)) for _ in range(40)]
+        seen += sum(len(t.encode()) for t in texts)
+        got = [x.tolist() for x in memory.all(texts)]
+        assert got[::7] == [plain(library, t) for t in texts[::7]]
+        most = max(most, _bytes_held(memory))
+    assert most < bound + (1 << 20) and seen > (bound // 8)
+    if kind != "words":
+        assert len(memory.known.young) < 5  # long parts aren't remembered
+
+
+def test_one_very_long_text_goes_part_by_part(library, monkeypatch):
+    monkeypatch.setattr(tokens, "_AT_ONCE", 300)
+    monkeypatch.setattr(tokens.cut_long, "__defaults__", (300,))
+    for long in (edge.text(4, 2000), "。".join(["北京是中国的首都"] * 200), "a, b. c  d\n" * 300, "x" * 4000, "it's, we'll. " * 200 + "<|endoftext|>" + " tail" * 200):
+        assert next(tokens.encode_all([long])).tolist() == plain(library, long)
