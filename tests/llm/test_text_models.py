@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from duolist.llm import langid, lm, quality
 from tests.llm import edge
@@ -22,22 +23,98 @@ def all_segmentations(word, prob, pieces):
     return sum(prob[pieces[word[:i]]] * all_segmentations(word[i:], prob, pieces) for i in range(1, len(word) + 1) if word[:i] in pieces)
 
 
-def test_forward_sums_all_segmentations():
-    pieces = langid.word_pieces()
+@pytest.fixture(scope="module")
+def pieces():
+    return langid.Pieces()
+
+
+def test_forward_sums_all_segmentations(pieces):
     rng = np.random.default_rng(1)
-    prob = rng.random((max(pieces.values()) + 2, 2)) * 1e-3
+    prob = rng.random((pieces.size + 1, 2)) * 1e-3
     prob[-1] = 0
-    words = [b" there", b" caf\xc3\xa9", b" zqxjk"]
+    words = [b" there", b" caf\xc3\xa9", b" zqxjk", b" other"]
+    got = langid.log_probabilities(words, prob, pieces)
     for w in words:
-        got = langid.Lattice([w], pieces).forward(prob)[-1][0]
-        assert got == pytest.approx([all_segmentations(w, prob[:, k], pieces) for k in range(2)])
+        assert np.exp(got[w]) == pytest.approx([all_segmentations(w, prob[:, k], pieces.ids) for k in range(2)])
+
 
+def plain_forward(word, prob, ids):
+    """Sums over all segmentations of a word of any length, in whole numbers of logarithms."""
+    logs = [0.0]
+    for j in range(1, len(word) + 1):
+        terms = [logs[i] + math.log(prob[ids[word[i:j]]]) for i in range(max(0, j - 200), j) if word[i:j] in ids]
+        top = max(terms)
+        logs.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+    return logs[-1]
 
-def test_learning_raises_the_likelihood():
-    pieces, counts = langid.word_pieces(), {b" the": 50.0, b" there": 20.0, b" then": 10.0, b" zorg": 3.0}
-    like = lambda p: sum(n * math.log(all_segmentations(w, p, pieces)) for w, n in counts.items())
-    one, four = langid.learn(counts, pieces, 1), langid.learn(counts, pieces, 4)
-    assert four.sum() == pytest.approx(1) and like(four) > like(one)
+
+def test_long_words_are_segmented_as_a_whole(pieces, monkeypatch):
+    rng = np.random.default_rng(2)
+    prob = rng.random((pieces.size + 1, 2)) * 1e-6
+    prob[-1] = 0
+    words = [b" " + b"internationalization" * 40, (" " + "北京是中国的首都" * 60).encode(), b" " + b"qzx" * 300]
+    want = {w: [plain_forward(w, prob[:, k], pieces.ids) for k in range(2)] for w in words}
+    for segment in (1 << 16, 37):
+        monkeypatch.setattr(langid, "_SEGMENT", segment)
+        got = langid.log_probabilities(words, prob, pieces)
+        for w in words:
+            assert got[w] == pytest.approx(want[w], rel=1e-9)
+
+
+def brute_learn(counts, ids, size, rounds):
+    def segmentations(w):
+        return [[]] if not w else [[w[:i], *rest] for i in range(1, len(w) + 1) if w[:i] in ids for rest in segmentations(w[i:])]
+
+    expected = Counter()
+    for w, n in counts.items():
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                if w[i:j] in ids:
+                    expected[ids[w[i:j]]] += n
+    for k in range(rounds + 1):
+        total = sum(expected[i] + langid.FLOOR for i in ids.values())
+        prob = {i: (expected[i] + langid.FLOOR) / total for i in ids.values()}
+        if k == rounds:
+            return prob
+        expected = Counter()
+        for w, n in counts.items():
+            ways = [(math.prod(prob[ids[p]] for p in s), s) for s in segmentations(w)]
+            for q, s in ways:
+                for p in s:
+                    expected[ids[p]] += n * q / sum(x for x, _ in ways)
+
+
+def test_learning_is_expectation_maximisation(pieces, monkeypatch):
+    counts = {b" the": 50.0, b" there": 20.0, b" then": 10.0, b" zorg": 3.0, b" caf\xc3\xa9": 2.0}
+    for segment in (1 << 16, 3):
+        monkeypatch.setattr(langid, "_SEGMENT", segment)
+        for rounds in (0, 1, 3):
+            got, want = langid.learn(counts, pieces, rounds), brute_learn(counts, pieces.ids, pieces.size, rounds)
+            assert got.sum() == pytest.approx(1) and all(got[i] == pytest.approx(p, rel=1e-9) for i, p in want.items())
+
+
+def test_predictions_are_products_over_words(pieces, monkeypatch):
+    languages = ["de", "en"]
+    prob = np.stack([langid.learn({b" der": 9.0, b" und": 5.0, b" strasse": 1.0}, pieces), langid.learn({b" the": 9.0, b" and": 5.0, b" street": 1.0}, pieces)], axis=1)
+    monkeypatch.setattr(langid, "REMEMBER_SIZE", 6)
+    predictor = langid.Predictor(languages, prob)
+    predictor.most = 3  # generations turn all the time
+    rows = ["the street", "Und der Strasse", "½ ② ³", "x²y the", "", "12 _ ;", "the " * 50, "der" * 40, "and der"] * 2
+    names, scores = predictor.predict(rows)
+    for text, name, score in zip(rows, names, scores, strict=True):
+        words = [w for w in "".join(c if c.isalpha() else " " for c in text.lower()).split()]
+        if not words:
+            assert (name, score) == ("und", 0.0)
+            continue
+        logs = [sum(plain_forward(b" " + w.encode(), prob[:, k], pieces.ids) for w in words) for k in range(2)]
+        assert name == languages[int(logs[1] > logs[0])] and score == pytest.approx(1 / (1 + math.exp(-abs(logs[1] - logs[0]))))
+
+
+def test_choice_of_documents_is_that_of_least_hashes(spark):
+    rows = spark.range(4000).selectExpr("id as doc_id", "if(id % 10 = 0, 'rare', 'common') as lang")
+    got = {(r.lang, r.doc_id) for r in langid.choose(rows.unionAll(rows.limit(50)), 40).collect()}
+    ranked = sorted(rows.withColumn("h", F.xxhash64("doc_id")).collect(), key=lambda r: r.h & (2**64 - 1))
+    assert got == {(lang, r.doc_id) for lang in ("rare", "common") for r in [r for r in ranked if r.lang == lang][:40]}
 
 
 def test_language_of_edge_cases(spark):
