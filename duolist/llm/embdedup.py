@@ -2,7 +2,7 @@
 
 Each tree splits the vectors again and again at the median of their products with a random direction; vectors close to a split
 go to both sides. Trees are fitted on a bounded sample, all vectors are routed through all trees, and those that meet in a leaf
-are compared exactly. A pair that meets in several leaves counts in the first of them only, so links are counted without
+are compared exactly. There are as many trees as keep the share of missed pairs constant. A pair that meets in several leaves counts in the first of them only, so links are counted without
 listing pairs; leaves give links that span their components, and these are united.
 """
 
@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 from duolist.llm.common import Batches, materialise, record, seeded_directions
 from duolist.llm.components import connected_components
-from duolist.llm.vectors import binary, distinct_vectors, matrix, stacked, taking_part
+from duolist.llm.vectors import binary, cleaned, distinct_vectors, matrix, stacked
 
+#: Trees at least; deeper ones are more, see trees_for().
 TREES = 12
+#: Share of pairs at a cosine of 0.9 that one split leaves together, spill included (measured 0.925), and of those that no tree may keep together.
+TOGETHER, MISSED = 0.92, 1e-5
 #: Vectors that the trees are fitted on, those with the least hash of their id.
 FIT_ROWS = 32_768
 LEAF_ROWS = 256
@@ -32,13 +35,22 @@ BLOCK = 2048
 SEED = 13
 
 
+def depth_for(rows: int, fitted: int, leaf_rows: int = LEAF_ROWS) -> int:
+    """As deep as the rows need, but no deeper than the sample has 16 vectors a leaf."""
+    return max(0, min(math.ceil(math.log2(max(1, rows / leaf_rows))), int(math.log2(max(1, fitted / 16)))))
+
+
+def trees_for(depth: int, least: int = TREES) -> int:
+    """Trees with which the share of missed pairs at the threshold stays the same however deep they are."""
+    return max(least, math.ceil(math.log(MISSED) / math.log(1 - TOGETHER**depth)) if depth else least)
+
+
 def fit_forest(sample: np.ndarray, rows: int, trees: int = TREES, leaf_rows: int = LEAF_ROWS, spill: float = SPILL) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each tree: directions of its nodes, and the bounds at each node between which a vector goes to both sides.
 
-    Nodes are numbered as in a heap from 0. A tree is as deep as the rows need, but no deeper than the sample has 16 vectors a leaf.
+    Nodes are numbered as in a heap from 0.
     """
-    depth = max(0, min(math.ceil(math.log2(max(1, rows / leaf_rows))), int(math.log2(max(1, len(sample) / 16)))))
-    out = []
+    depth, out = depth_for(rows, len(sample), leaf_rows), []
     for t in range(trees):
         nodes = 2**depth - 1
         direction = seeded_directions(nodes, sample.shape[1], SEED + t) if nodes else np.empty((0, sample.shape[1]))
@@ -134,15 +146,18 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = SIMILARITY, trees:
 
     Links: pairs found with a cosine of at least `least`; n_links counts the other rows linked directly; component_id is the
     least vec_id reachable, itself included; kept marks it. Null vectors, zero vectors and those that hold null or non-finite
-    components link with nothing and stand alone. Rows with equal vectors link to each other; a repeated row counts as often
-    as it comes. Other columns aren't read; an empty table gives an empty table.
+    components link with nothing and stand alone, as do vectors of another width than most. Rows with equal vectors link to each
+    other; a repeated row counts as often as it comes, and rows that share an id are judged each by its own vector. A row without
+    an id links like any other, but names a component only where nothing else is in it (then null). Other columns aren't read; an
+    empty table gives an empty table.
     """
-    rows = taking_part(vectors, id_col, vector_col)
-    reps, members = distinct_vectors(rows)
+    rows = materialise(cleaned(vectors, id_col, vector_col), "all-vectors")
+    reps, members = distinct_vectors(rows.where("x is not null"))
     n = reps.count()
-    sample = [r.x for r in reps.select("rep", "x").orderBy(F.xxhash64("rep"), "rep").limit(fit_rows).collect()]  # bounded by fit_rows
+    sample = [r.x for r in reps.select("x").orderBy(F.xxhash64("x"), "rep").limit(fit_rows).collect()]  # bounded by fit_rows
     sample = np.array(sample, float).reshape(len(sample), -1) if sample else np.empty((0, 1))
     sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
+    trees = trees_for(depth_for(n, len(sample), leaf_rows), trees)
     forest = reps.sparkSession.sparkContext.broadcast(fit_forest(sample, n, trees, leaf_rows))  # bounded by fit_rows / 16 nodes a tree
     routed = materialise(reps.select("rep", "x", "copies").mapInArrow(_route(forest), "rep long, copies long, v binary, leaves array<long>"), "leaves")
     within = routed.select("rep", "copies", "v", "leaves", F.explode("leaves").alias("leaf"))
@@ -152,9 +167,9 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = SIMILARITY, trees:
     met = materialise(blocks.groupBy("leaf", "low", "high").applyInPandas(_compare(least), "rep long, links long, other long"), "vector-links")
     roots = connected_components(met.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_rep = reps.select("rep", "copies").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    of_rep = of_rep.select("rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
-    known = members.join(of_rep, "rep").select("vec_id", "n_links", F.col("root").alias("component_id"))
-    everyone = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("x"))
-    alone = everyone.join(members.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    of_rep = reps.select("rep", "copies", "least").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    of_rep = of_rep.select("rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"), "least")
+    component = of_rep.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = members.join(of_rep.join(component, "root").select("rep", "n_links", "component_id"), "rep").select("vec_id", "n_links", "component_id")
+    alone = rows.where("x is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return known.unionAll(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -10,22 +10,25 @@ from pyspark.sql import functions as F
 from duolist.llm.common import materialise
 
 
-def taking_part(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, x) of the vectors that are not null, not zero, and hold neither null nor non-finite components.
+def cleaned(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, x) of every row; x is null where a vector takes no part.
 
-    Vectors of another width than the widest take no part either: no product with them is defined.
+    Those are null vectors, zero vectors, those that hold null or non-finite components, and those of another width than most
+    have (the greater of two equally common ones): no product with them is defined.
     """
     x = F.col(f"`{vector_col}`").cast("array<double>")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), x.alias("x")).where("x is not null and vec_id is not null")
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), x.alias("x"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = rows.where(finite & F.exists("x", lambda v: v != 0))
-    width = rows.agg(F.max(F.size("x"))).first()[0] or 0
-    return rows.where(F.size("x") == width)
+    sound = F.coalesce(finite & F.exists("x", lambda v: v != 0), F.lit(False))
+    width = rows.where(sound).groupBy(F.size("x").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
+    return rows.withColumn("x", F.when(sound & (F.size("x") == F.lit(width.width if width else 0)), F.col("x")))
 
 
 def distinct_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((rep, x, copies), (vec_id, rep)): each different vector under its least vec_id, and whose vector each row has."""
-    reps = materialise(rows.groupBy("x").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
+    """((rep, x, copies, least), (vec_id, rep)): each different vector under a number, with its rows and their least id; and whose
+    vector each row has."""
+    reps = rows.groupBy("x").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    reps = materialise(reps.select(F.monotonically_increasing_id().alias("rep"), "x", "copies", "least"), "vectors")
     members = materialise(rows.join(reps.select("x", "rep"), "x").select("vec_id", "rep"), "members")
     return reps, members
 

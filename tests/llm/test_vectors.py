@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,4 +84,57 @@ def test_route_spills_to_both_sides():
 def test_no_vectors(spark):
     assert embdedup.near_duplicate_vectors(table(spark, [])).count() == 0
     got = embdedup.near_duplicate_vectors(table(spark, [[1, 0], [1, 0]], [5, 5])).collect()
-    assert [(r.vec_id, r.n_links, r.component_id) for r in got] == [(5, 1, 5)] * len(got)
+    assert [(r.vec_id, r.n_links, r.component_id) for r in got] == [(5, 1, 5)] * 2
+
+
+def test_no_row_is_lost(spark):
+    """Ids that occur with and without a vector, null ids, and one id for unlike vectors."""
+    rows = [[1, 0], None, [1, 0], [0, 1], [0, 1], None, [0, 1], [1, 1]]
+    ids = [1, 1, 2, 3, None, None, 3, 3]
+    got = embdedup.near_duplicate_vectors(table(spark, rows, ids)).collect()
+    want = [(1, 1, 1, True), (1, 0, 1, True), (2, 1, 1, False), (3, 2, 3, True), (None, 2, 3, False), (None, 0, None, True), (3, 2, 3, True), (3, 0, 3, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    found = ann.nearest(table(spark, rows, ids), F.lit(True), 3).collect()
+    assert {r.query_id for r in found} == {1, 2, 3} and all(r.vec_id is not None and r.vec_id != r.query_id for r in found)
+
+
+def test_one_odd_width_takes_no_other_vector_out(spark):
+    got = embdedup.near_duplicate_vectors(table(spark, [[1, 0], [1, 0], [1, 2, 3]])).collect()
+    assert sorted((r.vec_id, r.n_links) for r in got) == [(0, 1), (1, 1), (2, 0)]
+
+
+def test_deeper_forests_have_more_trees():
+    assert embdedup.trees_for(0) == 12 and embdedup.trees_for(11) > embdedup.trees_for(6) >= 12
+    assert all((1 - embdedup.TOGETHER**d) ** embdedup.trees_for(d) <= embdedup.MISSED * 1.0001 for d in range(1, 24))
+
+
+def test_spans_are_of_shared_prefixes():
+    rng = np.random.default_rng(4)
+    label = np.sort(rng.integers(0, 1 << 20, 500) | rng.integers(0, 1 << 8, 500) << 40)
+    asked = label[::50] ^ 1
+    lengths = set()
+    for level in (0, 8, 30, 40, 47, 48):
+        start, end = ann.spans(label, asked, level)
+        for q, a, b in zip(asked.tolist(), start.tolist(), end.tolist()):
+            assert [i for i, x in enumerate(label.tolist()) if x >> 48 - level == q >> 48 - level] == list(range(a, b))
+            lengths.add(b - a)
+    assert len(lengths) > 4  # within a bucket, longer prefixes are shared by fewer
+
+
+def test_structure_needs_few_candidates(spark):
+    """On clustered vectors a search reaches its recall after scoring a small share of the rows."""
+    rng = np.random.default_rng(7)
+    n, width = 20_000, 24
+    centres = rng.standard_normal((n // 40, width))
+    x = np.repeat(centres, 40, axis=0) + 0.15 * rng.standard_normal((n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    reps = spark.createDataFrame(pd.DataFrame({"rep": np.arange(n), "x": x.tolist(), "least": np.arange(n)}), "rep long, x array<double>, least long").repartition(4)
+    got = ann.search(reps, reps.where("rep % 400 = 0").select("rep"), 20).collect()
+    hits = scored = 0
+    for q in range(0, n, 400):
+        own = [r for r in got if r.query == q]
+        assert len(own) == 21
+        hits += len({r.rep for r in own if r.rep != q} & set(np.argsort(-(x @ x[q]))[1:21].tolist()))
+        scored += sum(r.scored for r in own)
+    queries = n // 400
+    assert hits / (20 * queries) >= 0.9 and scored / (queries * n) < 0.05
