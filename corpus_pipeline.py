@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duolist.llm import langid, packing, quality, simhash
+from duolist.llm import langid, nearcopies, packing, quality
 from duolist.llm.common import materialise
 
 
@@ -23,8 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the least doc_id."""
-    return simhash.keep_one_per_group(docs)
+    """One document of each class of near copies stays, the one with the least doc_id: five-word shingles, similarity 0.8 or more."""
+    return nearcopies.keep_one_per_class(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
