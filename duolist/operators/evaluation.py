@@ -128,7 +128,7 @@ def subgroup_summary(metrics: DataFrame, bands: DataFrame, band: str, k: int = 1
 
 def conflict_summary(metrics: DataFrame, bands: DataFrame, k: int = 10) -> DataFrame:
     """(method, conflictBand, pairs, six means, two hit rates)."""
-    joined = metrics.join(bands.select("pairId", "conflictBand"), "pairId")
+    joined = metrics.join(bands.select("pairId", "conflictBand"), "pairId", "left")
     a, b = F.col(f"`recallA@{k}`") > 0, F.col(f"`recallB@{k}`") > 0
     names = ("averageNDCG", "minimumNDCG", "ndcgGap", "averageRecall", "minimumRecall")
     return joined.groupBy("method", "conflictBand").agg(F.count(F.lit(1)).alias("pairs"), *(F.avg(f"`{c}@{k}`").alias(f"mean_{c}") for c in names), F.avg((a & b).cast("double")).alias("two_sided_hit_rate"), F.avg((~(a | b)).cast("double")).alias("no_hit_rate"))

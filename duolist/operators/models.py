@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duolist.config import AlsConfig, BiasedMfConfig, GraphConfig
+from duolist.functions import dot, hash_order
+from duolist.operators import graph
 from duolist.operators.cohorts import seen_by_pair
 from duolist.schema import dense_index, shared_table
 
-#: Edges of a controlled subset that one training task holds in memory.
-MOST_EDGES = 5_000_000
+#: Likes of one user that meet each other in one part of a join; a heavier user's are cut into blocks.
+USER_BLOCK = 1024
 
 
 def popularity_ranks(catalog: DataFrame) -> DataFrame:
@@ -38,7 +40,22 @@ def recommend_popular(pairs: DataFrame, catalog: DataFrame, seen: DataFrame, k:
     return open_.withColumn("rank", rank).where(F.col("rank") <= k).select("pairId", "userA", "userB", "rank", "movieId", F.col("trainPositiveCount").cast("double").alias("score"))
 
 
-def item_neighbours(edges: DataFrame, max_neighbors: int = 100, shrinkage: float = 0.0) -> DataFrame:
+def co_counts(likes: DataFrame, block: int = USER_BLOCK) -> DataFrame:
+    """(src, cand, n): in how many users' likes both movies are, src below cand. likes: distinct userId, movieId.
+
+    A user with very many likes is cut into blocks by movie, and each pair of blocks meets for itself, so no key of the join has
+    more than two blocks of rows.
+    """
+    parts = likes.groupBy("userId").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    cut = likes.join(parts, "userId").withColumn("part", F.pmod(F.xxhash64("movieId"), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = cut.select("userId", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "movieId", "part")
+    a, b = (dealt.select("userId", "low", "high", F.col("movieId").alias(f"m{x}"), F.col("part").alias(f"p{x}")) for x in "ab")
+    within, across = (F.col("low") == F.col("high")) & (F.col("ma") < F.col("mb")), (F.col("low") < F.col("high")) & (F.col("pa") == F.col("low")) & (F.col("pb") == F.col("high"))
+    met = a.join(b, ["userId", "low", "high"]).where(within | across)
+    return met.groupBy(F.least("ma", "mb").alias("src"), F.greatest("ma", "mb").alias("cand")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def item_neighbours(edges: DataFrame, max_neighbors: int = 100, shrinkage: float = 0.0, block: int = USER_BLOCK) -> DataFrame:
     """(src, cand, similarity, rank): shared likers over the root of both counts' product plus shrinkage.
 
     As in a dense matrix every other movie is a neighbour, but those without shared likers have similarity 0 and are left
@@ -48,9 +65,7 @@ def item_neighbours(edges: DataFrame, max_neighbors: int = 100, shrinkage: float
         raise ValueError("max_neighbors must be positive and shrinkage not negative")
     likes = edges.select("userId", "movieId").distinct()
     degree = likes.groupBy("movieId").agg(F.count(F.lit(1)).alias("d"))
-    a, b = likes.select("userId", F.col("movieId").alias("src")), likes.select("userId", F.col("movieId").alias("cand"))
-    # each unordered pair is counted once and mirrored afterwards
-    co = a.join(b, "userId").where("src < cand").groupBy("src", "cand").agg(F.count(F.lit(1)).alias("n"))
+    co = co_counts(likes, block)  # each unordered pair is counted once and mirrored afterwards
     sim = co.join(degree.select(F.col("movieId").alias("src"), F.col("d").alias("ds")), "src").join(degree.select(F.col("movieId").alias("cand"), F.col("d").alias("dc")), "cand")
     sim = sim.select("src", "cand", (F.col("n") / (F.sqrt(F.col("ds").cast("double") * F.col("dc")) + shrinkage)).alias("similarity"))
     both = sim.select("src", "cand", "similarity", F.explode(F.array(F.lit(False), F.lit(True))).alias("turn"))
@@ -162,17 +177,23 @@ def fold_in_als(likes: DataFrame, movies: DataFrame, config: AlsConfig) -> DataF
     return least_squares(likes.select("userId", "movieId").distinct(), "userId", "movieId", movies, config)
 
 
+def _adam_move(m: Column | str, v: Column | str, rate: float, t: int) -> Column:
+    """What step t takes off the parameters, from both running means of the gradient."""
+    return F.zip_with(m, v, lambda a, b: rate * (a / (1 - 0.9**t)) / (F.sqrt(b / (1 - 0.999**t)) + 1e-8))
+
+
 def train_biased_mf(ratings: DataFrame, config: BiasedMfConfig, validate: Callable[[dict, int], tuple[float, float]] | None = None) -> dict[str, object]:
-    """mean, users (userId, bias, vec), movies (movieId, bias, vec), and each epoch's error, by full gradient steps with Adam.
+    """mean, users (userId, bias, vec), movies (movieId, bias, vec), and each epoch's error, by Adam.
 
-    Every epoch is one pass of joins and grouped sums over the ratings. ValueError if a user rates a movie twice.
+    An epoch deals the ratings by hash into steps_per_epoch parts and takes a step on each: joins and grouped sums over that part.
+    Who has no rating in a part stays as is. ValueError if a user rates a movie twice.
     """
     rows = shared_table(ratings.select(F.col("userId").cast("long"), F.col("movieId").cast("long"), F.col("rating").cast("double")), "ratings")
     n, distinct, mean = rows.agg(F.count(F.lit(1)), F.count_distinct("userId", "movieId"), F.avg("rating")).first()
     if n != distinct or not n:
         raise ValueError("ratings are empty or a movie is rated twice")
     d, lr, reg = config.factors, config.learning_rate, config.regularization
-    b1, b2, eps = 0.9, 0.999, 1e-8
+    b1, b2 = 0.9, 0.999
 
     def begin(key: str) -> DataFrame:
         start = _start(rows.select(key).distinct(), key, d, config.random_seed, 0.05)
@@ -180,25 +201,31 @@ def train_biased_mf(ratings: DataFrame, config: BiasedMfConfig, validate: Callab
         return shared_table(start.select(key, F.concat(F.array(F.lit(0.0)), "vec").alias("p"), zero.alias("m"), zero.alias("v")), "parameters")
 
     def stepped(side: DataFrame, grads: DataFrame, key: str, t: int) -> DataFrame:
-        both = side.join(grads, key)
-        both = both.withColumn("g", F.zip_with("g", "p", lambda g, p: g + reg * p))
-        both = both.withColumn("m", F.zip_with("m", "g", lambda m, g: b1 * m + (1 - b1) * g)).withColumn("v", F.zip_with("v", "g", lambda v, g: b2 * v + (1 - b2) * g * g))
-        move = F.zip_with("m", "v", lambda m, v: lr * (m / (1 - b1**t)) / (F.sqrt(v / (1 - b2**t)) + eps))
-        return shared_table(both.select(key, F.zip_with("p", move, lambda p, x: p - x).alias("p"), "m", "v"), "parameters")
-
-    users, movies, history, losses, kept = begin("userId"), begin("movieId"), [], [], {}
+        both = side.join(grads, key, "left")
+        g = F.zip_with("g", "p", lambda g, p: g + reg * p)
+        m = F.zip_with("m", g, lambda m, g: b1 * m + (1 - b1) * g)
+        v = F.zip_with("v", g, lambda v, g: b2 * v + (1 - b2) * g * g)
+        move = _adam_move(m, v, lr, t)
+        return shared_table(both.select(key, F.coalesce(F.zip_with("p", move, lambda p, x: p - x), "p").alias("p"), F.coalesce(m, "m").alias("m"), F.coalesce(v, "v").alias("v")), "parameters")
+
+    def gradients(failed: DataFrame, key: str, other: str) -> DataFrame:
+        parts = failed.select(key, "e", F.posexplode(F.concat(F.array(F.lit(1.0)), F.slice(other, 2, d))).alias("f", "x"))
+        sums = parts.groupBy(key, "f").agg(F.avg(2 * F.col("e") * F.col("x")).alias("g"))
+        return sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "g"))), lambda x: x["g"]).alias("g"))
+
+    users, movies, history, losses, kept, t = begin("userId"), begin("movieId"), [], [], {}, 0
     for epoch in range(1, config.epochs + 1):
-        joined = rows.join(users.select("userId", F.col("p").alias("pu")), "userId").join(movies.select("movieId", F.col("p").alias("pi")), "movieId")
-        guess = mean + F.col("pu")[0] + F.col("pi")[0] + F.aggregate(F.zip_with(F.slice("pu", 2, d), F.slice("pi", 2, d), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        failed = joined.withColumn("e", guess - F.col("rating"))
-        losses.append(failed.agg(F.sqrt(F.avg(F.col("e") * F.col("e")))).first()[0])
-
-        def side_grads(key: str, other: str, failed: DataFrame = failed) -> DataFrame:
-            parts = failed.select(key, "e", F.posexplode(F.concat(F.array(F.lit(1.0)), F.slice(other, 2, d))).alias("f", "x"))
-            sums = parts.groupBy(key, "f").agg(F.avg(2 * F.col("e") * F.col("x")).alias("g"))
-            return sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "g"))), lambda x: x["g"]).alias("g"))
-
-        users, movies = stepped(users, side_grads("userId", "pi"), "userId", epoch), stepped(movies, side_grads("movieId", "pu"), "movieId", epoch)
+        dealt, squares = F.pmod(hash_order(config.random_seed + epoch, "userId", "movieId"), F.lit(config.steps_per_epoch)), 0.0
+        for step in range(config.steps_per_epoch):
+            part = rows.where(dealt == step) if config.steps_per_epoch > 1 else rows
+            joined = part.join(users.select("userId", F.col("p").alias("pu")), "userId").join(movies.select("movieId", F.col("p").alias("pi")), "movieId")
+            guess = mean + F.col("pu")[0] + F.col("pi")[0] + dot(F.slice("pu", 2, d), F.slice("pi", 2, d))
+            failed = shared_table(joined.withColumn("e", guess - F.col("rating")), "errors")
+            missed, found = failed.agg(F.sum(F.col("e") * F.col("e")), F.count(F.lit(1))).first()
+            if found:
+                t, squares = t + 1, squares + missed
+                users, movies = stepped(users, gradients(failed, "userId", "pi"), "userId", t), stepped(movies, gradients(failed, "movieId", "pu"), "movieId", t)
+        losses.append(float(np.sqrt(squares / n)))
         model = {"mean": mean, "users": users.select("userId", F.col("p")[0].alias("bias"), F.slice("p", 2, d).alias("vec")), "movies": movies.select("movieId", F.col("p")[0].alias("bias"), F.slice("p", 2, d).alias("vec"))}
         if validate and (epoch % config.validation_interval == 0 or epoch == config.epochs):
             history.append((epoch, validate(model, epoch)))
@@ -211,95 +238,97 @@ def train_biased_mf(ratings: DataFrame, config: BiasedMfConfig, validate: Callab
 
 def predict_biased_mf(pairs: DataFrame, model: dict[str, object]) -> DataFrame:
     """pairs (userId, movieId) with score: the predicted rating."""
-    from duolist.functions import dot
-
     u = model["users"].select("userId", F.col("bias").alias("bu"), F.col("vec").alias("vu"))
     m = model["movies"].select("movieId", F.col("bias").alias("bi"), F.col("vec").alias("vi"))
     return pairs.join(u, "userId").join(m, "movieId").withColumn("score", F.lit(model["mean"]) + F.col("bu") + F.col("bi") + dot("vu", "vi")).drop("bu", "vu", "bi", "vi")
 
 
-class PairwiseTrainer:
-    """Pairwise ranking on propagated embeddings for one controlled subset of the graph, inside one task.
+def _of_nodes(graph: dict[str, DataFrame], triples: DataFrame) -> DataFrame:
+    """(u, i, j): the nodes of triples."""
+    users, movies = graph["users"], graph["movies"]
+    out = triples.join(users.withColumnRenamed("node", "u"), "userId").join(movies.select(F.col("movieId").alias("positive"), F.col("node").alias("i")), "positive")
+    return out.join(movies.select(F.col("movieId").alias("negative"), F.col("node").alias("j")), "negative").select("u", "i", "j")
 
-    Propagation P (the mean of powers of the normalised adjacency) is linear and symmetric, so the gradient of the layer-0
-    embeddings is P applied to the gradient of the propagated ones.
-    """
 
-    def __init__(self, users: np.ndarray, movies: np.ndarray, config: GraphConfig):
-        self.c, self.u, self.i = config, users, movies
-        self.n_users, self.n_movies = int(users.max()) + 1, int(movies.max()) + 1
-        self.n = self.n_users + self.n_movies
-        degree = np.bincount(np.r_[users, movies + self.n_users], minlength=self.n)
-        self.w = 1 / np.sqrt(degree[users] * degree[movies + self.n_users])
-        self.known = set(zip(users.tolist(), movies.tolist(), strict=True))
-        self.free = np.flatnonzero(degree[users] < self.n_movies)
-        if not len(self.free):
-            raise ValueError("every user likes every movie")
-        self.rng = np.random.default_rng(config.random_seed)
-        self.e = self.rng.normal(0, 0.1, (self.n, config.embedding_dim))
-
-    def propagated(self, x: np.ndarray) -> np.ndarray:
-        out, layer = x.copy(), x
-        for _ in range(self.c.num_layers):
-            nxt = np.empty_like(layer)
-            for f in range(layer.shape[1]):
-                a = np.bincount(self.u, self.w * layer[self.i + self.n_users, f], self.n)
-                nxt[:, f] = a + np.bincount(self.i + self.n_users, self.w * layer[self.u, f], self.n)
-            layer = nxt
-            out += layer
-        return out / (self.c.num_layers + 1)
-
-    def triples(self, size: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = self.free[rng.integers(0, len(self.free), size)]
-        u, i = self.u[at], self.i[at]
-        j = rng.integers(0, self.n_movies, size)
-        while len(bad := [k for k, p in enumerate(zip(u.tolist(), j.tolist(), strict=True)) if p in self.known]):
-            j[bad] = rng.integers(0, self.n_movies, len(bad))
-        return u, i, j
-
-    def loss(self, triples: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
-        x = self.propagated(self.e)
-        u, i, j = triples
-        gap = (x[u] * (x[j + self.n_users] - x[i + self.n_users])).sum(axis=1)
-        return float(np.logaddexp(0, gap).mean())
-
-    def step(self, t: int, m: np.ndarray, v: np.ndarray) -> None:
-        u, i, j = self.triples(self.c.batch_size, self.rng)
-        i, j = i + self.n_users, j + self.n_users
-        x = self.propagated(self.e)
-        g = -1 / (1 + np.exp((x[u] * (x[i] - x[j])).sum(axis=1)))[:, None] / len(u)
-        grad = np.zeros_like(x)
-        np.add.at(grad, u, g * (x[i] - x[j]))
-        np.add.at(grad, i, g * x[u])
-        np.add.at(grad, j, -g * x[u])
-        grad = self.propagated(grad)
-        for rows in (u, i, j):
-            np.add.at(grad, rows, self.c.l2_weight * self.e[rows] / len(u))
-        m += 0.1 * (grad - m)
-        v += 0.001 * (grad * grad - v)
-        self.e -= self.c.learning_rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+def _with_vectors(triples: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(u, i, j, xu, away, gap): away points from the negative's vector to the positive's, gap is the difference of both scores."""
+    out = triples
+    for key in ("u", "i", "j"):
+        out = out.join(vectors.select(F.col("node").alias(key), F.col("vec").alias(f"x{key}")), key)
+    out = out.withColumn("away", F.zip_with("xi", "xj", lambda a, b: a - b))
+    return out.select("u", "i", "j", "xu", "away", dot("xu", "away").alias("gap"))
 
 
-def train_graph_models(edges: DataFrame, configs: dict[str, GraphConfig]) -> DataFrame:
-    """(run, kind, id, vec, loss_before, loss_after): all runs of a grid side by side, one task a run.
+def pairwise_gradient(triples: DataFrame, vectors: DataFrame, size: int, spread: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, pos, value): gradient of the mean ranking loss in the embeddings behind propagated vectors.
 
-    edges is a controlled subset: ValueError beyond MOST_EDGES, for a run holds it in memory.
+    spread: propagation of components, which is linear and symmetric, so it carries gradients back as it carries vectors on.
+    """
+    pull = -1 / (1 + F.exp(F.col("gap"))) / F.lit(float(size))
+    rows = _with_vectors(triples, vectors).withColumn("g", pull)
+    scaled = F.array(
+        F.struct(F.col("u").alias("node"), F.zip_with("away", F.array_repeat("g", F.size("away")), lambda x, g: x * g).alias("d")),
+        F.struct(F.col("i").alias("node"), F.zip_with("xu", F.array_repeat("g", F.size("xu")), lambda x, g: x * g).alias("d")),
+        F.struct(F.col("j").alias("node"), F.zip_with("xu", F.array_repeat("g", F.size("xu")), lambda x, g: -x * g).alias("d")),
+    )
+    parts = rows.select(F.explode(scaled).alias("s")).select("s.node", F.posexplode("s.d").alias("pos", "value"))
+    return spread(parts.groupBy("node", "pos").agg(F.sum("value").alias("value")))
+
+
+def train_graph_model(edges: DataFrame, config: GraphConfig, validate: Callable[[DataFrame, DataFrame, int], tuple[float, float]] | None = None) -> dict[str, object]:
+    """users (userId, vec), movies (movieId, vec), losses (before, after) on fixed triples, best, stopped, early, history.
+
+    Every step is a few joins and grouped sums over triples and links, so a step takes any number of either. validate gets the
+    propagated vectors of both sides; the best by the mean of its last `smoothing` results is kept, and training ends after
+    `patience` results without a better one.
     """
-    n = edges.count()
-    if not n or n > MOST_EDGES:
-        raise ValueError(f"{n} edges; a run takes 1 to {MOST_EDGES}")
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        run = frame["run"].iloc[0]
-        users, u = np.unique(frame["userId"], return_inverse=True)
-        movies, i = np.unique(frame["movieId"], return_inverse=True)
-        t = PairwiseTrainer(u, i, configs[run])
-        monitor = t.triples(configs[run].batch_size, np.random.default_rng(configs[run].random_seed + 2))
-        before, m, v = t.loss(monitor), np.zeros_like(t.e), np.zeros_like(t.e)
-        for s in range(1, configs[run].steps + 1):
-            t.step(s, m, v)
-        x = t.propagated(t.e)
-        return pd.DataFrame({"run": run, "kind": ["user"] * len(users) + ["movie"] * len(movies), "id": np.r_[users, movies], "vec": list(x), "loss_before": before, "loss_after": t.loss(monitor)})
-
-    grid = edges.select(F.col("userId").cast("long"), F.col("movieId").cast("long")).distinct().withColumn("run", F.explode(F.array(*map(F.lit, configs))))
-    return grid.groupBy("run").applyInPandas(fit, "run string, kind string, id long, vec array<double>, loss_before double, loss_after double")
+    g = graph.drawable(graph.bipartite_graph(edges.select(F.col("userId").cast("long"), F.col("movieId").cast("long"))))
+    weighted = shared_table(graph.edge_weights(g["links"]), "weights") if config.num_layers else None
+    nodes = g["users"].select("node").unionAll(g["movies"].select("node"))
+    zero = F.array_repeat(F.lit(0.0), config.embedding_dim)
+    state = shared_table(_start(nodes, "node", config.embedding_dim, config.random_seed, 0.1).select("node", F.col("vec").alias("p"), zero.alias("m"), zero.alias("v")), "embeddings")
+    size, lr = config.batch_size or g["likes"], config.learning_rate
+
+    def spread(components: DataFrame) -> DataFrame:
+        return graph.propagate(components, g["links"], config.num_layers, weighted)
+
+    def propagated() -> DataFrame:
+        own = state.select("node", F.col("p").alias("vec"))
+        return own if not config.num_layers else shared_table(graph.as_vectors(spread(graph.as_components(own))), "propagated")
+
+    def loss(x: DataFrame) -> float:
+        return graph.ranking_loss(_with_vectors(monitor, x).select(F.col("gap").alias("positive"), F.lit(0.0).alias("negative"))).first().loss
+
+    monitor = shared_table(_of_nodes(g, graph.sample_triples(g, size, config.random_seed + 2)), "monitor")
+    x = propagated()
+    before, history, kept = loss(x), [], {}
+    for t in range(1, config.steps + 1):
+        triples = shared_table(_of_nodes(g, graph.sample_triples(g, size, config.random_seed + 1000 * t)), "step")
+        grad = graph.as_vectors(pairwise_gradient(triples, x, size, spread)).withColumnRenamed("vec", "g")
+        drawn = triples.select(F.explode(F.array("u", "i", "j")).alias("node")).groupBy("node").agg((F.count(F.lit(1)) * F.lit(config.l2_weight / size)).alias("pull"))
+        both = state.join(grad, "node", "left").join(drawn, "node", "left").withColumn("g", F.zip_with(F.coalesce("g", zero), "p", lambda d, p: d + F.coalesce("pull", F.lit(0.0)) * p))
+        both = both.withColumn("m", F.zip_with("m", "g", lambda m, d: 0.9 * m + 0.1 * d)).withColumn("v", F.zip_with("v", "g", lambda v, d: 0.999 * v + 0.001 * d * d))
+        move = _adam_move("m", "v", lr, t)
+        state = shared_table(both.select("node", F.zip_with("p", move, lambda p, d: p - d).alias("p"), "m", "v"), "embeddings")
+        x = propagated()
+        if validate and (t % config.validation_interval == 0 or t == config.steps):
+            history.append((t, validate(*graph.split_vectors(x, g), t)))
+            kept[t] = x
+            if stop_early(history, config.patience, config.smoothing)[1]:
+                break
+    best, early = stop_early(history, config.patience, config.smoothing) if history else (t, False)
+    x = kept.get(best, x)
+    users, movies = graph.split_vectors(x, g)
+    return {"users": users, "movies": movies, "losses": (before, loss(x)), "best": best, "stopped": t, "early": early, "history": history}
+
+
+def train_graph_models(edges: DataFrame, configs: dict[str, GraphConfig]) -> DataFrame:
+    """(run, kind, id, vec, loss_before, loss_after): all runs of a grid, one after the other, each over the whole cluster."""
+    out = None
+    for run, config in configs.items():
+        fit = train_graph_model(edges, config)
+        before, after = fit["losses"]
+        both = fit["users"].select(F.lit("user").alias("kind"), F.col("userId").alias("id"), "vec").unionAll(fit["movies"].select(F.lit("movie"), "movieId", "vec"))
+        rows = both.select(F.lit(run).alias("run"), "kind", "id", "vec", F.lit(before).alias("loss_before"), F.lit(after).alias("loss_after"))
+        out = rows if out is None else out.unionAll(rows)
+    return out

@@ -153,15 +153,25 @@ def _ranked(rows: DataFrame, score: str, as_name: str) -> DataFrame:
     return rows.withColumn("__v", -F.col(score)).join(ranks, "__v", "left").drop("__v")
 
 
-def conflict_bands(features: DataFrame) -> DataFrame:
-    """Adds conflictScore and conflictBand: mean percentile rank of both negated similarities, cut at its tertiles."""
+def conflict_scores(features: DataFrame) -> DataFrame:
+    """Adds conflictScore: mean percentile rank of both negated similarities; null where one is missing."""
     both = _ranked(_ranked(features, "genreSimilarity", "__a"), "ratingCorrelation", "__b")
-    ranked = shared_table(both.withColumn("conflictScore", (F.col("__a") + F.col("__b")) / 2).drop("__a", "__b"), "conflicts")
+    return shared_table(both.withColumn("conflictScore", (F.col("__a") + F.col("__b")) / 2).drop("__a", "__b"), "conflicts")
+
+
+def conflict_bands(features: DataFrame) -> DataFrame:
+    """Adds conflictScore and conflictBand, the score cut at its tertiles.
+
+    ValueError if a pair lacks a similarity, or if the tertiles coincide.
+    """
+    if not features.where("genreSimilarity is null or ratingCorrelation is null").isEmpty():
+        raise ValueError("some pairs lack a similarity")
+    ranked = conflict_scores(features)
     low, high = ranked.agg(F.percentile("conflictScore", 1 / 3), F.percentile("conflictScore", 2 / 3)).first()
     if low == high:
         raise ValueError("the tertiles of the conflict score coincide")
     s = F.col("conflictScore")
-    return ranked.withColumn("conflictBand", F.when(s <= low, "low").when(s <= high, "medium").when(s.isNotNull(), "high"))
+    return ranked.withColumn("conflictBand", F.when(s <= low, "low").when(s <= high, "medium").otherwise("high"))
 
 
 def joint_counts(pairs: DataFrame, events: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,34 +133,37 @@ def cold_start_scores(movies: DataFrame, catalog: DataFrame, ratings: DataFrame,
 
 
 def diversify(ranked: DataFrame, k: int, weight: float) -> DataFrame:
-    """Re-ranks each pair's list: every next title gets a bonus for genres unlike those taken. Lists are short by construction."""
-
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        left = frame.sort_values(["groupScore", "minimumScore", "averageScore", "movieId"], ascending=[False, False, False, True]).reset_index(drop=True)
-        left["baseRank"] = range(1, len(left) + 1)
-        sets = [frozenset(g.split("|")) - {"(no genres listed)", ""} if g else frozenset() for g in left["genres"]]
-        taken, rows = [], []
-        while len(taken) < min(k, len(left)):
-            best = None
-            for i in range(len(left)):
-                if i in taken:
-                    continue
-                bonus = weight * (1 - max((len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 0.0) for j in taken)) if taken else 0.0
-                r = left.iloc[i]
-                key = (r["groupScore"] + bonus, r["minimumScore"], r["averageScore"], -r["movieId"])
-                if best is None or key > best[0]:
-                    best = (key, i, bonus)
-            taken.append(best[1])
-            rows.append((best[1], best[2], best[0][0]))
-        out = left.iloc[taken].copy()
-        out["diversityBonus"], out["diversifiedScore"] = [r[1] for r in rows], [r[2] for r in rows]
-        out["rank"] = range(1, len(out) + 1)
-        return out[["pairId", "movieId", "groupScore", "baseRank", "diversityBonus", "diversifiedScore", "rank"]]
-
-    if weight < 0 or k <= 0:
-        raise ValueError("k must be positive and the weight not negative")
-    rows = ranked.select(F.col("pairId").cast("long"), F.col("movieId").cast("long"), "genres", *(F.col(c).cast("double") for c in ORDER))
-    return rows.groupBy("pairId").applyInPandas(greedy, "pairId long, movieId long, groupScore double, baseRank long, diversityBonus double, diversifiedScore double, rank long")
+    """Re-ranks each pair's list one title at a time: its score is groupScore plus `weight` times how unlike its genres are.
+
+    diversityBonus is 1 less the greatest Jaccard overlap with a title taken before, 0 for the first; ties go by minimum, average,
+    then the smaller movieId. baseRank is the rank that a title came with. Lists are short by construction. ValueError if a list
+    has fewer than k titles.
+    """
+    if k <= 0 or not 0 <= weight <= 1:
+        raise ValueError("k must be positive and the weight lie between 0 and 1")
+    rows = ranked.select(F.col("pairId").cast("long"), F.col("movieId").cast("long"), "genres", F.col("rank").cast("long").alias("baseRank"), *(F.col(c).cast("double") for c in ORDER))
+    if not rows.groupBy("pairId").count().where(F.col("count") < k).isEmpty():
+        raise ValueError("k is larger than a list")
+
+    def reranked(frame: pd.DataFrame) -> pd.DataFrame:
+        base = frame["groupScore"].to_numpy()
+        names = [set(filter(None, (g or "").split("|"))) - {"(no genres listed)"} for g in frame["genres"]]
+        every = sorted(set().union(*names))
+        has = np.array([[g in own for g in every] for own in names], float).reshape(len(names), len(every))
+        size = has.sum(axis=1)
+        overlap, open_, picks = np.zeros(len(base)), np.ones(len(base), bool), []
+        for turn in range(k):
+            bonus = 1 - overlap if turn else np.zeros(len(base))
+            total = base + weight * bonus
+            at = np.lexsort((frame["movieId"], -frame["averageScore"], -frame["minimumScore"], -total, ~open_))[0]
+            picks.append((at, bonus[at], total[at]))
+            open_[at] = False
+            common = has @ has[at]
+            overlap = np.maximum(overlap, np.divide(common, size + size[at] - common, out=np.zeros(len(base)), where=size + size[at] > common))
+        out = frame.iloc[[p[0] for p in picks]].reset_index(drop=True)
+        return out[["pairId", "movieId", "groupScore", "baseRank"]].assign(diversityBonus=[p[1] for p in picks], diversifiedScore=[p[2] for p in picks], rank=range(1, k + 1))
+
+    return rows.groupBy("pairId").applyInPandas(reranked, "pairId long, movieId long, groupScore double, baseRank long, diversityBonus double, diversifiedScore double, rank long")
 
 
 def recommend_cold_start(movies: DataFrame, catalog: DataFrame, ratings_a: DataFrame, ratings_b: DataFrame, conflict_weight: float = 0.65, k: int = 10, pool_size: int = 2000, diversity_weight: float = 0.0, diversity_pool: int = 100) -> DataFrame:

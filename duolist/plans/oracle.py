@@ -43,10 +43,11 @@ _BASE = {
             FROM pairs JOIN split a ON a.userId = userA AND a.split = 'train' JOIN split b ON b.userId = userB AND b.movieId = a.movieId AND b.split = 'train' GROUP BY pairId) USING (pairId)
         LEFT JOIN (SELECT pairId, sum(a.weight * b.weight) AS sim FROM pairs JOIN profiles a ON a.userId = userA JOIN profiles b ON b.userId = userB AND b.genre = a.genre GROUP BY pairId) USING (pairId)""",
     "degrees": "SELECT movieId, count(*) AS d FROM warm_edges GROUP BY movieId",
+    "co": """SELECT a.movieId AS src, b.movieId AS cand, count(*) / (sqrt(CAST(any_value(x.d) AS DOUBLE) * any_value(y.d)) + 10) AS similarity
+        FROM warm_edges a JOIN warm_edges b ON a.userId = b.userId AND a.movieId < b.movieId JOIN degrees x ON x.movieId = a.movieId JOIN degrees y ON y.movieId = b.movieId
+        GROUP BY a.movieId, b.movieId""",
     "neighbours": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY similarity DESC, cand) AS rank FROM (
-        SELECT a.movieId AS src, b.movieId AS cand, count(*) / (sqrt(CAST(any_value(x.d) AS DOUBLE) * any_value(y.d)) + 10) AS similarity
-        FROM warm_edges a JOIN warm_edges b ON a.userId = b.userId AND a.movieId <> b.movieId JOIN degrees x ON x.movieId = a.movieId JOIN degrees y ON y.movieId = b.movieId
-        GROUP BY a.movieId, b.movieId)) WHERE rank <= 100""",
+        SELECT src, cand, similarity FROM co UNION ALL SELECT cand, src, similarity FROM co)) WHERE rank <= 100""",
     "knn": """SELECT w.userId, cand AS movieId, sum(similarity) AS score FROM warm_edges w JOIN neighbours ON src = movieId AND rank <= 50
         WHERE w.userId IN (SELECT userId FROM members) GROUP BY w.userId, cand""",
     "scored": """SELECT c.pairId, c.userA, c.userB, c.movieId, coalesce(a.score, 0) AS scoreA, coalesce(b.score, 0) AS scoreB FROM candidates c
@@ -62,13 +63,22 @@ _BASE = {
     "layer1": "SELECT target AS node, sum(weight * value) AS value FROM weighted JOIN layer0 ON node = source GROUP BY target",
     "layer2": "SELECT target AS node, sum(weight * value) AS value FROM weighted JOIN layer1 ON node = source GROUP BY target",
     "vec": "SELECT vec_id, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings",
+    "folded": """SELECT userId, list(value ORDER BY pos) AS u FROM (SELECT userId, pos, sum((rating - 3.5) * v) / sum(rating - 3.5) AS value FROM split JOIN vec ON vec_id = movieId
+        WHERE split = 'train' AND is_positive GROUP BY userId, pos) GROUP BY userId""",
+    "items": "SELECT vec_id AS movieId, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
+    "known": "SELECT * EXCLUDE (genreSimilarity, ratingCorrelation), round(genreSimilarity, 9) AS g, round(ratingCorrelation, 9) AS r FROM features WHERE ratingCorrelation IS NOT NULL",
+    "conflicts": """SELECT pairId, ((rank() OVER (ORDER BY -g) + (count(*) OVER (PARTITION BY g) - 1) / 2) / count(*) OVER () + (rank() OVER (ORDER BY -r) + (count(*) OVER (PARTITION BY r) - 1) / 2) / count(*) OVER ()) / 2 AS score FROM known""",
+    "banded": """SELECT pairId, score, CASE WHEN score <= (SELECT quantile_cont(score, CAST(1 AS DOUBLE) / 3) FROM conflicts) THEN 'low'
+        WHEN score <= (SELECT quantile_cont(score, CAST(2 AS DOUBLE) / 3) FROM conflicts) THEN 'medium' ELSE 'high' END AS conflictBand FROM conflicts""",
     "preference": """SELECT genre, sum(rating - 3) / (count(*) + 2) AS pref FROM (SELECT unnest(list_distinct(string_split(genres, '|'))) AS genre, rating FROM own JOIN movies USING (movieId)) GROUP BY genre""",
     "own": "SELECT movieId, rating FROM split WHERE split = 'train' AND userId = (SELECT min(userA) FROM pairs) AND movieId IN (SELECT movieId FROM catalog)",
     "pool": "SELECT c.*, genres FROM catalog c JOIN movies USING (movieId) WHERE movieId NOT IN (SELECT movieId FROM own) ORDER BY trainPositiveCount DESC, movieId LIMIT 2000",
 }
 #: In the order in which each needs only those before it.
 _ORDER = [n for n in _BASE if n not in ("own", "preference", "pool")] + ["own", "preference", "pool"]
-_WITH = "WITH " + ",\n".join(f"{n} AS ({_BASE[n]})" for n in _ORDER) + "\n"
+#: Looked at several times: worked out once.
+_ONCE = ("split", "warm_edges", "co", "neighbours")
+_WITH = "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' * (n in _ONCE)}({_BASE[n]})" for n in _ORDER) + "\n"
 
 _GROUP = """SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY pairId ORDER BY round(groupScore, 9) DESC, round(minimumScore, 9) DESC, round(averageScore, 9) DESC, movieId) AS rank, 0 AS n FROM (
     SELECT pairId, movieId, {group} AS groupScore, least(qA, qB) AS minimumScore, (qA + qB) / 2 AS averageScore FROM q)) WHERE rank <= 10"""
@@ -113,7 +123,7 @@ _SELECT = {
         (SELECT count(DISTINCT movieId) FROM popular WHERE pairId IN (SELECT pairId FROM metrics)) AS unique_items, round(avg(CASE WHEN recallA > 0 AND recallB > 0 THEN 1.0 ELSE 0 END), 6) AS two_sided_hit_rate FROM metrics""",
     "subgroup_summary": f"""SELECT similarityBand, count(*) AS pairs, {_MEANS} FROM metrics JOIN (SELECT pairId, CASE WHEN genreSimilarity <= 0 THEN 'high_conflict' WHEN genreSimilarity <= 0.2 THEN 'mixed' ELSE 'similar' END AS similarityBand FROM features) USING (pairId) GROUP BY similarityBand""",
     "target_coverage": "SELECT (SELECT count(*) FROM members JOIN targets USING (userId)) AS liked, (SELECT count(*) FROM relevant) AS remaining, (SELECT count(*) FROM (SELECT pairId FROM relevant GROUP BY pairId HAVING count(DISTINCT userId) = 2)) AS two_sided_pairs",
-    "item_neighbours": "SELECT src, cand, round(similarity, 6) AS similarity FROM neighbours WHERE rank <= 100 AND src IN (SELECT src FROM neighbours) AND rank < 100",
+    "item_neighbours": "SELECT src, cand, round(similarity, 6) AS similarity FROM neighbours",
     "item_knn_scores": "SELECT userId, movieId, round(score, 5) AS score FROM (SELECT w.userId, cand AS movieId, sum(similarity) AS score FROM warm_edges w JOIN (SELECT *, count(*) OVER (PARTITION BY src) AS width FROM neighbours) ON src = movieId GROUP BY w.userId, cand)",
     "percentile_scores": "SELECT pairId, movieId, round(qA, 6) AS q_a, round(qB, 6) AS q_b FROM q",
     "group_linear": _top("0.35 * (qA + qB) / 2 + 0.65 * least(qA, qB)"),
@@ -125,7 +135,36 @@ _SELECT = {
     "propagate_mean": "SELECT node, round((a.value + coalesce(b.value, 0) + coalesce(c.value, 0)) / 3, 6) AS value FROM layer0 a LEFT JOIN layer1 b USING (node) LEFT JOIN layer2 c USING (node)",
     "node_degrees": "SELECT source AS node, count(*) AS degree FROM links GROUP BY source",
     "fold_in": """SELECT userId, pos - 1 AS pos, round(sum((rating - 3.5) * v) / sum(rating - 3.5), 6) AS value FROM split JOIN vec ON vec_id = movieId WHERE split = 'train' AND is_positive GROUP BY userId, pos""",
-    "embedding_scores": """SELECT a.vec_id AS userId, b.vec_id AS movieId, round(sum(a.v * b.v), 5) AS score FROM vec a JOIN vec b ON a.pos = b.pos AND a.vec_id < 20 AND b.vec_id >= 20 GROUP BY a.vec_id, b.vec_id""",
+    "embedding_scores": "SELECT userId, movieId, round(list_dot_product(u, v), 5) + 0.0 AS score FROM folded CROSS JOIN items WHERE userId IN (SELECT userId FROM members)",
+    "embedding_topk": """SELECT pairId, movieId, rank, round(s, 9) AS group_score FROM (SELECT *, row_number() OVER (PARTITION BY pairId ORDER BY round(s, 12) DESC, round(least(qA, qB), 12) DESC, round((qA + qB) / 2, 12) DESC, movieId) AS rank FROM (
+        SELECT *, 0.35 * (qA + qB) / 2 + 0.65 * least(qA, qB) AS s FROM (SELECT pairId, movieId,
+            (rank() OVER (PARTITION BY pairId ORDER BY a) + (count(*) OVER (PARTITION BY pairId, a) - 1) / 2) / count(*) OVER (PARTITION BY pairId) AS qA,
+            (rank() OVER (PARTITION BY pairId ORDER BY b) + (count(*) OVER (PARTITION BY pairId, b) - 1) / 2) / count(*) OVER (PARTITION BY pairId) AS qB
+        FROM (SELECT pairId, i.movieId, list_dot_product(x.u, v) AS a, list_dot_product(y.u, v) AS b FROM pairs JOIN folded x ON x.userId = userA JOIN folded y ON y.userId = userB CROSS JOIN items i
+            WHERE NOT EXISTS (SELECT 1 FROM seen_pair s WHERE s.pairId = pairs.pairId AND s.movieId = i.movieId))))) WHERE rank <= 10""",
+    "event_scores": "SELECT userId, movieId, round(list_dot_product(u, v), 5) + 0.0 AS score FROM targets JOIN folded USING (userId) JOIN items USING (movieId)",
+    "ranking_loss": """SELECT round(avg(ln(1 + exp(list_dot_product(u, n.v) - list_dot_product(u, items.v)))), 6) AS loss FROM targets JOIN folded USING (userId) JOIN items USING (movieId)
+        CROSS JOIN (SELECT v FROM catalog JOIN items USING (movieId) ORDER BY trainPositiveCount DESC, movieId LIMIT 1) n""",
+    "graph_size": "SELECT count(DISTINCT userId) AS users, count(DISTINCT movieId) AS movies, count(DISTINCT userId) + count(DISTINCT movieId) AS nodes, count(*) AS positive_edges FROM warm_edges",
+    "isolated_movies": "SELECT movieId AS node FROM movies WHERE movieId NOT IN (SELECT movieId FROM warm_edges)",
+    "first_unliked": """SELECT userId, min(m.node) AS node FROM (SELECT DISTINCT userId FROM warm_edges) u CROSS JOIN (SELECT id, node FROM nodes WHERE kind = 1) m
+        WHERE NOT EXISTS (SELECT 1 FROM warm_edges w WHERE w.userId = u.userId AND w.movieId = m.id) GROUP BY userId""",
+    "focus_ratings": "SELECT userId, movieId, rating, timestamp FROM ratings WHERE timestamp < 946684800 AND userId IN (SELECT userId FROM evaluating)",
+    "conflict_bands": "SELECT pairId, round(score, 6) AS conflict_score, conflictBand FROM banded",
+    "conflict_summary": f"""SELECT 'popularity' AS method, conflictBand, count(*) AS pairs, round(avg((ndcgA + ndcgB) / 2), 6) AS mean_average_ndcg, round(avg(least(ndcgA, ndcgB)), 6) AS mean_minimum_ndcg, round(avg(least(recallA, recallB)), 6) AS mean_minimum_recall,
+        round(avg(CASE WHEN recallA > 0 AND recallB > 0 THEN 1.0 ELSE 0 END), 6) AS two_sided_hit_rate, round(avg(CASE WHEN recallA > 0 OR recallB > 0 THEN 0.0 ELSE 1 END), 6) AS no_hit_rate FROM metrics JOIN banded USING (pairId) GROUP BY conflictBand""",
+    "dissimilar_pairs": "SELECT userA, userB FROM known WHERE g <= (SELECT quantile_cont(g, 0.75) FROM known) AND r <= (SELECT quantile_cont(r, 0.75) FROM known)",
+    "cold_start_list": """WITH own2 AS (SELECT movieId, rating FROM split WHERE split = 'train' AND userId = (SELECT min(userB) FROM pairs) AND movieId IN (SELECT movieId FROM catalog)),
+        rated AS (SELECT 0 AS m, movieId, rating FROM own UNION ALL SELECT 1, movieId, rating FROM own2),
+        pref AS (SELECT m, genre, sum(rating - 3) / (count(*) + 2) AS pref FROM (SELECT m, unnest(list_distinct(string_split(genres, '|'))) AS genre, rating FROM rated JOIN movies USING (movieId)) GROUP BY m, genre),
+        pools AS (SELECT m, c.movieId, trainPositiveCount, genres, (rank() OVER (PARTITION BY m ORDER BY trainPositiveCount) + (count(*) OVER (PARTITION BY m, trainPositiveCount) - 1) / 2) / count(*) OVER (PARTITION BY m) AS popularity FROM (
+            SELECT m, movieId, trainPositiveCount, genres FROM range(2) r(m) CROSS JOIN catalog JOIN movies USING (movieId) WHERE NOT EXISTS (SELECT 1 FROM rated t WHERE t.m = r.m AND t.movieId = catalog.movieId)
+            QUALIFY row_number() OVER (PARTITION BY m ORDER BY trainPositiveCount DESC, movieId) <= 2000 + (SELECT count(DISTINCT movieId) FROM rated)) c),
+        tastes AS (SELECT p.m, p.movieId, greatest(0, least(1, 0.5 + avg(coalesce(pref, 0)) / 2)) AS taste FROM (SELECT m, movieId, unnest(list_distinct(string_split(genres, '|'))) AS genre FROM pools) p LEFT JOIN pref ON pref.m = p.m AND pref.genre = p.genre GROUP BY p.m, p.movieId),
+        scores AS (SELECT m, movieId, trainPositiveCount, 0.8 * conf * taste + (1 - 0.8 * conf) * popularity AS score FROM pools JOIN tastes USING (m, movieId) JOIN (SELECT m, count(*) / (count(*) + 5) AS conf FROM rated GROUP BY m) USING (m)),
+        both_ AS (SELECT a.movieId, a.score AS sa, b.score AS sb FROM scores a JOIN scores b ON a.m = 0 AND b.m = 1 AND a.movieId = b.movieId WHERE a.movieId NOT IN (SELECT movieId FROM rated) ORDER BY a.trainPositiveCount DESC, a.movieId LIMIT 2000),
+        qs AS (SELECT movieId, (rank() OVER (ORDER BY sa) + (count(*) OVER (PARTITION BY sa) - 1) / 2) / count(*) OVER () AS qA, (rank() OVER (ORDER BY sb) + (count(*) OVER (PARTITION BY sb) - 1) / 2) / count(*) OVER () AS qB FROM both_)
+        SELECT movieId, rank, round(qA, 6) AS q_a, round(qB, 6) AS q_b FROM (SELECT *, row_number() OVER (ORDER BY round(0.35 * (qA + qB) / 2 + 0.65 * least(qA, qB), 12) DESC, round(least(qA, qB), 12) DESC, round((qA + qB) / 2, 12) DESC, movieId) AS rank FROM qs) WHERE rank <= 10""",
     "cold_start_scores": """SELECT movieId, round(popularity, 6) AS popularity, round(taste, 6) AS taste, round(0.8 * conf * taste + (1 - 0.8 * conf) * popularity, 6) AS score FROM (
         SELECT p.movieId, any_value(p.popularity) AS popularity, greatest(0, least(1, 0.5 + avg(coalesce(pref, 0)) / 2)) AS taste, any_value((SELECT count(*) / (count(*) + 5) FROM own)) AS conf FROM (
             SELECT *, (rank() OVER (ORDER BY trainPositiveCount) + (count(*) OVER (PARTITION BY trainPositiveCount) - 1) / 2) / count(*) OVER () AS popularity FROM pool) p
@@ -143,4 +182,4 @@ _SELECT = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: _WITH + s for n, s in _SELECT.items()}
+    return {n: _WITH + (s if not s.startswith("WITH ") else "SELECT * FROM (" + s + ")") for n, s in _SELECT.items()}

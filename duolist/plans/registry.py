@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from duolist.plans import oracle
 from duolist.schema import shared_table
 from duolist.sources.sinks import content_digest
 from duolist.sources.tables import DemoTables, preview_image
+from duolist.sources.tables import focus_ratings as focused
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -171,14 +173,30 @@ def similarity_bands(d: DemoTables) -> DataFrame:
     return pairs.similarity_bands(f, pairs.band_rule(f)).select("pairId", "similarityBand")
 
 
+def _conflicts(d: DemoTables) -> DataFrame:
+    """Pairs with both similarities, rounded so that ties are ties wherever sums are taken, and their bands."""
+    known = _features(d).where("ratingCorrelation is not null").withColumns({c: F.round(c, 9) for c in ("genreSimilarity", "ratingCorrelation")})
+    return pairs.conflict_bands(shared_table(known, "features"))
+
+
 @query
 def conflict_bands(d: DemoTables) -> DataFrame:
-    return pairs.conflict_bands(shared_table(_features(d), "features")).select("pairId", _r("conflict_score", of="conflictScore"), "conflictBand")
+    return _conflicts(d).select("pairId", _r("conflict_score", of="conflictScore"), "conflictBand")
+
+
+@query
+def conflict_summary(d: DemoTables) -> DataFrame:
+    bands = _conflicts(d)
+    metrics = _metrics(d).join(bands.select("pairId"), "pairId", "left_semi").withColumn("method", F.lit("popularity"))
+    s = evaluation.conflict_summary(metrics, bands)
+    return s.select("method", "conflictBand", "pairs", _r("mean_average_ndcg", of="mean_averageNDCG"), _r("mean_minimum_ndcg", of="mean_minimumNDCG"), _r("mean_minimum_recall", of="mean_minimumRecall"), _r("two_sided_hit_rate"), _r("no_hit_rate"))
 
 
 @query
 def dissimilar_pairs(d: DemoTables) -> DataFrame:
-    return pairs.dissimilar_pairs(shared_table(_features(d), "features"), d.config)[0].select("pairId", "userA", "userB")
+    wide = replace(d.config, pair_similarity_quantile=0.75)  # the demonstration pairs are few
+    known = _features(d).withColumns({c: F.round(c, 9) for c in ("genreSimilarity", "ratingCorrelation")})
+    return pairs.dissimilar_pairs(shared_table(known, "features"), wide)[0].select("userA", "userB")
 
 
 @query
@@ -248,7 +266,7 @@ def item_degrees(d: DemoTables) -> DataFrame:
 
 @query
 def item_neighbours(d: DemoTables) -> DataFrame:
-    return _neighbours(d).where("rank < 100").select("src", "cand", _r("similarity"))
+    return _neighbours(d).select("src", "cand", _r("similarity"))
 
 
 @query
@@ -337,6 +355,30 @@ def ranking_triples(d: DemoTables) -> DataFrame:
     return graph.sample_triples(_graph(d), d.warm_edges.count(), 7)
 
 
+@query
+def graph_size(d: DemoTables) -> DataFrame:
+    return d.spark.createDataFrame([tuple(graph.graph_counts(_graph(d)).values())], "users long, movies long, nodes long, positive_edges long")
+
+
+@query
+def isolated_movies(d: DemoTables) -> DataFrame:
+    """Movies of the whole catalogue of parts that no like of the graph reaches."""
+    liked = d.warm_edges.select(F.col("movieId").alias("source"), F.col("userId").alias("target"))
+    return graph.isolated_nodes(d.movies.select(F.col("movieId").alias("node")), liked)
+
+
+@query
+def first_unliked(d: DemoTables) -> DataFrame:
+    """What a negative falls back to for each user."""
+    g = _graph(d)
+    return graph.first_unliked(g, g["users"].select("userId")).select("userId", F.col("node").cast("long").alias("node"))
+
+
+@query
+def focus_ratings(d: DemoTables) -> DataFrame:
+    return focused(d.ratings, d.evaluation_users, d.config.train_end_timestamp).select("userId", "movieId", "rating", "timestamp")
+
+
 def _vectors(d: DemoTables) -> DataFrame:
     return d.table("embeddings").select(F.col("vec_id").alias("movieId"), F.col("embedding").alias("vec"))
 
@@ -349,16 +391,40 @@ def fold_in(d: DemoTables) -> DataFrame:
 
 @query
 def embedding_scores(d: DemoTables) -> DataFrame:
-    v = _vectors(d)
-    users = v.where("movieId < 20").select(F.col("movieId").alias("userId"), F.col("vec").alias("u"))
-    return cohorts.against_all(users, v.where("movieId >= 20"), "movieId").select("userId", "movieId", _r("score", 5, dot("u", "vec")))
+    """Every pair member who has a folded-in vector, against every item's vector."""
+    users = cohorts.of_users(_folded(d), d.members).withColumnRenamed("vec", "u")
+    return cohorts.against_all(users, _vectors(d), "movieId").select("userId", "movieId", (F.round(dot("u", "vec"), 5) + F.lit(0.0)).alias("score"))  # no negative zero
+
+
+def _folded(d: DemoTables) -> DataFrame:
+    return shared_table(graph.fold_in(d.train, _vectors(d)), "folded")
+
+
+def _with_vectors(d: DemoTables, folded: DataFrame) -> DataFrame:
+    known = folded.select("userId")
+    return d.pairs.join(known.withColumnRenamed("userId", "userA"), "userA", "left_semi").join(known.withColumnRenamed("userId", "userB"), "userB", "left_semi")
 
 
 @query
 def embedding_topk(d: DemoTables) -> DataFrame:
-    folded = graph.fold_in(d.train, _vectors(d))
-    lists = ranking.recommend_from_vectors(d.pairs, folded, _vectors(d), d.seen, 0.65, 10)
-    return lists.select("pairId", "movieId", "rank", _r("group_score", of="groupScore"))
+    folded = _folded(d)
+    lists = ranking.recommend_from_vectors(_with_vectors(d, folded), folded, _vectors(d), d.seen, 0.65, 10)
+    return lists.select("pairId", "movieId", F.col("rank").cast("long").alias("rank"), _r("group_score", 9, "groupScore"))
+
+
+@query
+def event_scores(d: DemoTables) -> DataFrame:
+    """Inner products of users and the movies that they liked in the test period."""
+    return graph.score_pairs(d.test_events, _folded(d), _vectors(d)).select("userId", "movieId", (F.round("score", 5) + F.lit(0.0)).alias("score"))
+
+
+@query
+def ranking_loss(d: DemoTables) -> DataFrame:
+    """Loss of each test like against the most popular movie of the catalogue, as the negative of its user."""
+    folded, first = _folded(d), d.catalog.join(_vectors(d), "movieId", "left_semi").orderBy(F.desc("trainPositiveCount"), "movieId").limit(1).select("movieId")
+    liked = graph.score_pairs(d.test_events, folded, _vectors(d)).select("userId", F.col("score").alias("positive"))
+    other = graph.score_pairs(folded.select("userId").crossJoin(first), folded, _vectors(d)).select("userId", F.col("score").alias("negative"))
+    return graph.ranking_loss(liked.join(other, "userId")).select(_r("loss"))
 
 
 @query
@@ -374,7 +440,7 @@ def biased_mf_scores(d: DemoTables) -> DataFrame:
     from duolist.config import BiasedMfConfig
 
     train = d.train.select("userId", "movieId", "rating")
-    model = models.train_biased_mf(train, BiasedMfConfig(factors=4, epochs=2, learning_rate=0.05))
+    model = models.train_biased_mf(train, BiasedMfConfig(factors=4, epochs=2, steps_per_epoch=2, learning_rate=0.05))
     return models.predict_biased_mf(train.select("userId", "movieId"), model)
 
 
@@ -382,7 +448,8 @@ def biased_mf_scores(d: DemoTables) -> DataFrame:
 def graph_model_vectors(d: DemoTables) -> DataFrame:
     from duolist.config import GraphConfig
 
-    grid = {"matrix factorisation": GraphConfig(num_layers=0, steps=30, batch_size=256), "propagated": GraphConfig(num_layers=2, steps=30, batch_size=256)}
+    # a step draws as many triples as there are likes, so work grows with the table
+    grid = {"matrix factorisation": GraphConfig(num_layers=0, steps=2, batch_size=None), "propagated": GraphConfig(num_layers=2, steps=2, batch_size=None)}
     return models.train_graph_models(d.warm_edges, grid)
 
 
@@ -408,6 +475,15 @@ def onboarding_list(d: DemoTables) -> DataFrame:
     return ranking.onboarding_movies(d.movies, d.catalog, 36, 750, ("red", "blue", "small", "widget", "bolt", "ring"))
 
 
+@query
+def cold_start_list(d: DemoTables) -> DataFrame:
+    """One list for two newcomers, without diversification."""
+    catalog = shared_table(d.catalog, "catalog")
+    other = d.train.join(d.pairs.agg(F.min("userB").alias("userId")), "userId", "left_semi").join(catalog, "movieId", "left_semi").select("movieId", "rating")
+    got = ranking.recommend_cold_start(d.movies, catalog, _own(d), other)
+    return got.select("movieId", F.col("rank").cast("long").alias("rank"), _r("q_a", of="qA"), _r("q_b", of="qB"))
+
+
 @query
 def title_search(d: DemoTables) -> DataFrame:
     return cohorts.search_titles(d.movies, "Widget").select("movieId", "title")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from duolist.functions import percentile_rank
@@ -9,7 +10,11 @@ def test_ranks_equal_the_window_and_need_none_over_all_rows(spark):
     features = spark.createDataFrame(data, "pairId long, genreSimilarity double, ratingCorrelation double")
     one = features.withColumn("one", F.lit(1))
     want = {r.pairId: r.s for r in one.select("pairId", ((percentile_rank(-F.col("genreSimilarity"), "one") + percentile_rank(-F.col("ratingCorrelation"), "one")) / 2).alias("s")).collect()}
-    ranked = pairs.conflict_bands(features)
+    ranked = pairs.conflict_scores(features)
     got = {r.pairId: r.conflictScore for r in ranked.collect()}
     assert got.keys() == want.keys() and all((got[k] is None) == (want[k] is None) and (got[k] is None or abs(got[k] - want[k]) < 1e-12) for k in want)
+    with pytest.raises(ValueError):
+        pairs.conflict_bands(features)
+    whole = features.where("genreSimilarity is not null and ratingCorrelation is not null")
+    assert {r.conflictBand for r in pairs.conflict_bands(whole).collect()} == {"low", "medium", "high"}
     assert "Window" not in ranked._jdf.queryExecution().optimizedPlan().toString()

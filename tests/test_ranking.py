@@ -99,5 +99,13 @@ def test_onboarding_and_cold_start(spark):
 
 
 def test_diversification(spark):
-    rows = spark.createDataFrame([(0, 1, "Drama", 0.95, 0.9, 0.9), (0, 2, "Drama", 0.94, 0.9, 0.9), (0, 3, "Comedy", 0.91, 0.9, 0.9)], "pairId int, movieId int, genres string, groupScore double, minimumScore double, averageScore double")
-    assert lists(ranking.diversify(rows, 2, 0.1), "movieId", "baseRank", "rank") == [(1, 1, 1), (3, 3, 2)]
+    rows = spark.createDataFrame([(0, 1, 1, "Drama", 0.95, 0.9, 0.9), (0, 2, 2, "Drama", 0.94, 0.9, 0.9), (0, 3, 3, "Comedy", 0.91, 0.9, 0.9)], "pairId int, movieId int, rank int, genres string, groupScore double, minimumScore double, averageScore double")
+    got = ranking.diversify(rows, 2, 0.1)
+    assert lists(got, "movieId", "baseRank", "rank") == [(1, 1, 1), (3, 3, 2)]
+    assert [(r.diversityBonus, round(r.diversifiedScore, 9)) for r in got.orderBy("rank").collect()] == [(0.0, 0.95), (1.0, 1.01)]
+    for k, weight in ((4, 0.1), (0, 0.1), (2, 1.5), (2, -0.1)):
+        with pytest.raises(ValueError):
+            ranking.diversify(rows, k, weight)
+    mixed = spark.createDataFrame([(7, i, i, g, 0.5 - i / 100, 0.4, 0.4) for i, g in enumerate(["A|B", "A|B|C", None, "B", "(no genres listed)"], 1)], rows.schema)
+    picked = ranking.diversify(mixed, 5, 0.5).orderBy("rank").collect()
+    assert [r.movieId for r in picked] == [1, 3, 5, 4, 2] and [round(r.diversityBonus, 6) for r in picked] == [0, 1, 1, 0.5, 0.333333]
