@@ -1,9 +1,11 @@
 import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from duolist.llm import langid, packing, quality, queries, simhash
+from duolist.llm import langid, nearcopies, packing, quality, queries
+from tests.llm import edge
 from duolist.llm.urlfilter import HostTrie, Rule, judge_urls, split_url
 
 LABELS = st.lists(st.sampled_from(["a", "b", "com", ""]), min_size=1, max_size=3).map(".".join)
@@ -42,7 +44,7 @@ def test_pipeline_stages(spark):
     good = {r.doc_id for r in quality.judge(known, spark.read.parquet(f"{d}/labels.parquet")).where("kept").collect()}
     second = corpus_pipeline.quality_classifier(spark, known, d)
     assert second.columns == docs.columns and {r.doc_id for r in second.collect()} == good
-    kept = {r.doc_id for r in simhash.near_duplicates(second).where("doc_id = component_id").collect()}
+    kept = {r.d for r in nearcopies.near_copies(second).groupBy("class_id").agg(F.min("doc_id").alias("d")).collect()}
     third = corpus_pipeline.near_duplicates(spark, second, d)
     assert third.columns == docs.columns and {r.doc_id for r in third.collect()} == kept
     want = sorted(map(tuple, packing.pack(third).select("doc_id", "start", "length", "ids_crc32").collect()))
@@ -52,5 +54,17 @@ def test_pipeline_stages(spark):
     assert clean.where(clean.doc_id.isin(list(good))).count() >= 0.97 * clean.count()
 
 
+def test_stages_bear_nulls_clashes_and_nothing(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    edge.labels(spark).write.parquet(f"{folder}/labels.parquet")
+    for docs in (edge.documents(spark).withColumn("good", F.lit("clash")).withColumn("x", F.lit(1)), edge.nothing(spark)):
+        state = docs
+        for _, stage in corpus_pipeline.STAGES[:3]:
+            state = stage(spark, state, folder)
+            assert state.columns == docs.columns
+        packed = corpus_pipeline.STAGES[3][1](spark, state, folder)
+        assert packed.select("doc_id").distinct().count() == state.select("doc_id").distinct().count()
+
+
 def test_names():
     assert [n for n in queries.queries() if n.startswith("op")] == [n for n in queries.queries()][:10] and len(corpus_pipeline.STAGES) == 4
