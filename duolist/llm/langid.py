@@ -30,7 +30,7 @@ ROUNDS = 3
 #: Added to every piece's expected count.
 FLOOR = 0.01
 #: Bytes that the words remembered by a worker take at most, and characters of such a word.
-REMEMBER_BYTES, REMEMBER_SIZE = 128 << 20, 64
+REMEMBER_BYTES, REMEMBER_SIZE = 96 << 20, 64
 UNKNOWN = "und"
 _RUNS = re.compile(r"[^\W\d_]+")
 #: Bytes of a word, and places in a batch of words, that are segmented at a time.

@@ -30,7 +30,7 @@ RECALL = 0.9
 BITS = 256
 SEED = 42
 #: Bits of a view beyond those that number the fingerprints.
-SPARE_BITS = 4
+SPARE_BITS = 2
 #: Fingerprints that meet in one variant and are compared in one task; more are dealt in pairs of blocks.
 BLOCK = 16_384
 _WORDS = BITS // 64

@@ -18,7 +18,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Characters that are worked on at a time; longer texts are cut where that can't change their ids.
 _AT_ONCE = 500_000
 #: Bytes that the parts remembered by a worker take at most, counted with their ids and their places in the table.
-REMEMBER_BYTES = 192 << 20
+REMEMBER_BYTES = 160 << 20
 #: Characters of a part that is remembered, at most.
 REMEMBER_SIZE = 64
 #: Bytes of an entry besides its characters and ids: two objects and a place in the table.

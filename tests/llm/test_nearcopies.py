@@ -46,7 +46,7 @@ def test_views_find_with_the_same_probability_at_every_size():
         places = nearcopies.views_for(n)
         size = places.shape[1]
         meets = sum(math.comb(size, k) * p**k * (1 - p) ** (size - k) for k in range(3))
-        assert 1 - (1 - meets) ** len(places) >= 0.9 and 2**size >= 16 * min(n, 2**60) and all(len(set(v)) == size for v in places.tolist())
+        assert 1 - (1 - meets) ** len(places) >= 0.9 and 2**size >= 2**nearcopies.SPARE_BITS * n and all(len(set(v)) == size for v in places.tolist())
 
 
 @pytest.mark.parametrize("block", [16_384, 24])
