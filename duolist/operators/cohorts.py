@@ -98,6 +98,17 @@ def pair_members(pairs: DataFrame) -> DataFrame:
     return pairs.select("pairId", F.explode(F.array(F.struct(F.lit("A").alias("member"), F.col("userA").alias("userId")), F.struct(F.lit("B").alias("member"), F.col("userB").alias("userId")))).alias("m")).select("pairId", "m.member", "m.userId")
 
 
+def count_members(pairs: DataFrame) -> DataFrame:
+    """One row: how many different users the pairs have."""
+    return pair_members(pairs).agg(F.count_distinct("userId").alias("members"))
+
+
+def require_same(a: DataFrame, b: DataFrame, key: str, name: str) -> None:
+    """ValueError unless both tables hold the same keys."""
+    if not (a.select(key).join(b.select(key), key, "left_anti").isEmpty() and b.select(key).join(a.select(key), key, "left_anti").isEmpty()):
+        raise ValueError(f"{name}: the two sides hold different values of {key}")
+
+
 def seen_by_pair(pairs: DataFrame, seen: DataFrame) -> DataFrame:
     """Distinct (pairId, movieId) that either member has seen."""
     return pair_members(pairs).join(seen, "userId").select("pairId", "movieId").distinct()

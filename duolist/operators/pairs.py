@@ -124,6 +124,19 @@ def dissimilar_pairs(features: DataFrame, config: PrepConfig) -> tuple[DataFrame
     return out, summary
 
 
+def describe(df: DataFrame, column: str) -> DataFrame:
+    """One row: count, mean, sample deviation, least, quartiles (interpolated) and greatest of a column; missing values don't count."""
+    c = F.col(f"`{column}`")
+    quartiles = [F.percentile(c, q).alias(n) for q, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
+    return df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *quartiles, F.max(c).alias("max"))
+
+
+def evaluated_members(pairs: DataFrame, first: int = 100, disjoint: int = 500) -> DataFrame:
+    """(userId) of the first pairs by pairId and of the first that share no member: users whom a new holdout must leave out."""
+    chosen = pairs.where(F.col("pairId") < first).select("userA", "userB").unionByName(disjoint_pairs(pairs, disjoint).select("userA", "userB"))
+    return chosen.select(F.explode(F.array("userA", "userB")).alias("userId")).distinct()
+
+
 def band_rule(development: DataFrame) -> dict[str, float]:
     """Lower and upper tertile of genreSimilarity, interpolated."""
     lower, upper = development.agg(F.percentile("genreSimilarity", 1 / 3), F.percentile("genreSimilarity", 2 / 3)).first()

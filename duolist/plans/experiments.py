@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from duolist.operators import cohorts, evaluation, models, pairs, ranking
 from duolist.operators.graph import fold_in
 from duolist.schema import shared_table
 from duolist.sources import sinks
+from duolist.sources.tables import exists
 
 
 def prepare(ratings: DataFrame, movies: DataFrame, config: PrepConfig, path: str) -> dict[str, object]:
@@ -167,15 +169,73 @@ def prepare_holdout(stats: DataFrame, train: DataFrame, movies: DataFrame, confi
     return {"development": dev, "holdout": held, "rule": pairs.band_rule(dev), "digests": sinks.freeze({"development": dev, "holdout": held})}
 
 
-def recommend_for_two(spark: SparkSession, a: DataFrame, b: DataFrame, movies: DataFrame, catalog: DataFrame, items: DataFrame, weights: Iterable[float] = (0.0, 0.65, 1.0), k: int = 10) -> DataFrame:
-    """Lists for two imported profiles (movieId, rating) with item vectors: one for each weight, with titles and counts."""
-    rated = a.withColumn("userId", F.lit(1)).unionByName(b.withColumn("userId", F.lit(2)))
-    vectors = fold_in(rated, items)
-    if vectors.count() < 2:
-        raise ValueError("a profile likes no known movie")
+def collect_stages(spark: SparkSession, path: str, stages: Iterable[str]) -> DataFrame:
+    """stage_rows of the stages below path that have both their notes; ValueError if none has.
+
+    A stage is a folder with tables training and validation of one column settings, JSON with facts and with a list methods.
+    """
+    out = None
+    for stage in stages:
+        paths = [f"{path}/{stage}/{part}" for part in ("training", "validation")]
+        if all(exists(spark, p) for p in paths):
+            facts, found = (json.loads(spark.read.parquet(p).first().settings) for p in paths)
+            one = evaluation.stage_rows(spark, stage, facts, found["methods"])
+            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no stage is complete")
+    return out
+
+
+def compare_stages(spark: SparkSession, path: str, comparisons: Iterable[dict], resamples: int = 10_000, seed: int = 20_260_828) -> DataFrame | None:
+    """Paired bootstrap of two stages' methods by the tables metrics below their folders; None if no comparison has both.
+
+    A comparison has name, metric, and a and b, each (stage, method).
+    """
+    out = None
+    for c in comparisons:
+        sides = [(f"{path}/{stage}/metrics", stage, method) for stage, method in (c["a"], c["b"])]
+        if all(exists(spark, p) for p, _, _ in sides):
+            a, b = (spark.read.parquet(p).where(F.col("method") == m).select(F.lit(label).alias("method"), "pairId", f"`{c['metric']}`") for (p, _, m), label in zip(sides, "ab", strict=True))
+            one = evaluation.paired_bootstrap(a.unionByName(b), "a", "b", c["metric"], resamples, seed)
+            named = {"name": c["name"], "stageA": sides[0][1], "stageB": sides[1][1], "methodA": sides[0][2], "methodB": sides[1][2]}
+            one = one.withColumns({n: F.lit(v) for n, v in named.items()})
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _two(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.select(F.lit(1).alias("userId"), "movieId", "rating").unionByName(b.select(F.lit(2).alias("userId"), "movieId", "rating"))
+
+
+def _titled_lists(one_list: Callable[[DataFrame, float], DataFrame], spark: SparkSession, movies: DataFrame, catalog: DataFrame, weights: Iterable[float]) -> DataFrame:
+    """The list of each weight for the pair of users 1 and 2, with titles, genres and counts."""
     pair = spark.createDataFrame([(0, 1, 2)], "pairId long, userA int, userB int")
     out = None
     for w in weights:
-        one = ranking.recommend_from_vectors(pair, vectors, items, rated.select("userId", "movieId"), w, k).withColumn("conflictWeight", F.lit(float(w)))
+        one = one_list(pair, float(w)).withColumn("conflictWeight", F.lit(float(w)))
         out = one if out is None else out.unionByName(one)
-    return out.join(movies.select("movieId", "title"), "movieId", "left").join(catalog, "movieId", "left")
+    return out.join(movies.select("movieId", "title", "genres"), "movieId", "left").join(catalog, "movieId", "left")
+
+
+def recommend_for_two(spark: SparkSession, a: DataFrame, b: DataFrame, movies: DataFrame, catalog: DataFrame, items: DataFrame, weights: Iterable[float] = (0.0, 0.65, 1.0), k: int = 10, als: AlsConfig | None = None, positive_threshold: float = 4.0) -> DataFrame:
+    """Lists for two imported profiles (movieId, rating) with item vectors: one for each weight, with titles and counts.
+
+    als: the settings that the item vectors were factorised with, whose equation then gives both members' vectors; else they
+    are weighted means of what they like.
+    """
+    rated = _two(a, b)
+    likes = rated.where(F.col("rating") >= positive_threshold)
+    vectors = shared_table(fold_in(rated, items, positive_threshold) if als is None else models.fold_in_als(likes.join(items.select("movieId"), "movieId", "left_semi"), items, als), "members")
+    if vectors.count() < 2:
+        raise ValueError("a profile likes no known movie")
+    return _titled_lists(lambda pair, w: ranking.recommend_from_vectors(pair, vectors, items, rated.select("userId", "movieId"), w, k), spark, movies, catalog, weights)
+
+
+def recommend_for_two_by_neighbours(spark: SparkSession, a: DataFrame, b: DataFrame, movies: DataFrame, catalog: DataFrame, neighbours: DataFrame, width: int, weights: Iterable[float] = (0.0, 0.65, 1.0), k: int = 10, positive_threshold: float = 4.0) -> DataFrame:
+    """The same from item neighbours; the candidates are the catalogue."""
+    rated = _two(a, b)
+    likes = rated.where(F.col("rating") >= positive_threshold)
+    if likes.join(neighbours.select(F.col("src").alias("movieId")), "movieId", "left_semi").agg(F.count_distinct("userId")).first()[0] < 2:
+        raise ValueError("a profile likes no known movie")
+    scores = shared_table(models.neighbour_scores(likes, neighbours, width), "scores")
+    return _titled_lists(lambda pair, w: ranking.recommend_from_scores(pair, scores, catalog, rated.select("userId", "movieId"), w, k), spark, movies, catalog, weights)

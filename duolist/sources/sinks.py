@@ -19,6 +19,18 @@ def write_csv_gzip(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """A small table as one plain CSV file with a header, below the folder path."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_csv or write_csv_gzip wrote; of the file's columns those that the schema names, in its order."""
+    wanted = spark.createDataFrame([], schema).schema
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted))
+
+
 def write_json(payload: dict, path: str | Path) -> None:
     """A small report by the driver: indented, UTF-8, with a line end."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)

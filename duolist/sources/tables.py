@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duolist.config import PrepConfig
-from duolist.operators import cohorts, pairs
-from duolist.schema import TABLES, shared_table, without_nan
+from duolist.operators import cohorts, pairs, ranking
+from duolist.schema import TABLES, assert_unique, shared_table, without_nan
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
@@ -20,7 +20,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def require_tables(spark: SparkSession, folder: str, suffix: str = ".csv") -> dict[str, str]:
     """Paths of the four tables; FileNotFoundError that names all that are absent."""
     paths = {n: f"{folder.rstrip('/')}/{n}{suffix}" for n in TABLES}
-    if missing := [p for p in paths.values() if not _exists(spark, p)]:
+    if missing := [p for p in paths.values() if not exists(spark, p)]:
         raise FileNotFoundError(f"missing: {', '.join(missing)}")
     return paths
 
@@ -57,6 +57,18 @@ def preview_image(html: Column | str) -> Column:
     return F.nullif(F.regexp_extract(F.try_element_at(named, F.lit(1)), r"""(?is)\bcontent\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
 
 
+def titled(ratings: DataFrame, movies: DataFrame) -> DataFrame:
+    """A session's ratings with titles and the time of rating, all of them, known movies or not."""
+    return ratings.join(movies.select("movieId", "title"), "movieId", "left").select("movieId", "title", "rating", F.timestamp_seconds("timestamp").alias("ratedAt"))
+
+
+def catalogue_bundle(movies: DataFrame, links: DataFrame, catalog: DataFrame, n: int = 36) -> tuple[DataFrame, DataFrame]:
+    """(all movies with tmdbId, queue to rate): n starters, then the rest of the catalogue by popularity."""
+    assert_unique(movies, ["movieId"], "movies")
+    assert_unique(links, ["movieId"], "links")
+    return movies.join(links.select("movieId", "tmdbId"), "movieId", "left"), rating_queue(movies, links, ranking.onboarding_movies(movies, catalog, n), catalog)
+
+
 def rating_queue(movies: DataFrame, links: DataFrame, starters: DataFrame, catalog: DataFrame) -> DataFrame:
     """(movieId, title, tmdbId, queue, position): starters first, then the catalogue by popularity; the first mention counts."""
     first = starters.select("movieId", F.lit(0).alias("queue"), F.col("onboardingOrder").cast("long").alias("position"))
