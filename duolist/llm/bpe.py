@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duolist.llm.common import Batches, id_and_text, ids_of, record, texts
-from duolist.llm.tokens import WordMemory, vocabulary_path
+from duolist.llm.tokens import Recent, WordMemory, vocabulary_path
 
 #: Fixed value of the file format: how a text falls into words before merging.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes of words that a worker remembers.
-REMEMBER_BYTES = 256 << 20
+#: Bytes that a worker remembers of what lies between blanks, and of single words.
+REMEMBER_BYTES, REMEMBER_WORDS = 192 << 20, 96 << 20
 _BATCH_IDS = 2_000_000
 
 
@@ -41,25 +41,29 @@ class Codec:
         self.of_byte = [vocab[symbols[b]] for b in range(256)]
         self.left, self.right, self.merged = ([vocab[x] for x in side] for side in ([a for a, _ in merges], [b for _, b in merges], [a + b for a, b in merges]))
         self.rank = {a << 32 | b: i for i, (a, b) in reversed(list(enumerate(zip(self.left, self.right, strict=True))))}
+        self.byte_rank = [self.rank.get(a << 32 | b) for a in self.of_byte for b in self.of_byte]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pieces: dict[int, bytes] = {i: bytes(back[c] for c in s) if all(c in back for c in s) else s.encode() for s, i in vocab.items()}
         self.pieces |= {i: s.encode() for s, i in self.special.items()}
         self.words = regex.compile(WORDS)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.memory = WordMemory(lambda parts: list(map(self._plain, parts)), lambda texts: list(map(self._text, texts)), list(self.special), REMEMBER_BYTES)
+        self.known = Recent(REMEMBER_WORDS)
+        self.memory = WordMemory(self._plain, lambda texts: list(map(self._text, texts)), list(self.special), REMEMBER_BYTES)
 
     def merge(self, word: bytes) -> list[int]:
-        """Ids of one word. Entries of the queue are rank * size + place; one is stale if its pair no longer stands there."""
-        of_byte, rank, left, right, size = self.of_byte, self.rank.get, self.left, self.right, len(word)
-        ids = [of_byte[b] for b in word]
-        queue = [r * size + i for i in range(size - 1) if (r := rank(ids[i] << 32 | ids[i + 1])) is not None]
+        """Ids of one word. Entries of the queue are a rank above the bits of a place; one is stale if its pair no longer stands there."""
+        rank, first, left, right, size = self.rank.get, self.byte_rank, self.left, self.right, len(word)
+        ids = list(map(self.of_byte.__getitem__, word))
+        bits = size.bit_length()
+        queue = [r << bits | i for i, (a, b) in enumerate(zip(word, word[1:], strict=False)) if (r := first[a << 8 | b]) is not None]
         if not queue:
             return ids
         heapify(queue)
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        after, before, places = list(range(1, size + 1)), list(range(-1, size - 1)), (1 << bits) - 1
         ids.append(-1)  # stands behind the last
         while queue:
-            r, i = divmod(heappop(queue), size)
+            entry = heappop(queue)
+            r, i = entry >> bits, entry & places
             j = after[i]
             if ids[i] != left[r] or ids[j] != right[r]:
                 continue
@@ -69,23 +73,27 @@ class Codec:
             if k < size:
                 before[k] = i
                 if (s := rank(new << 32 | ids[k])) is not None:
-                    heappush(queue, s * size + i)
+                    heappush(queue, s << bits | i)
             if (k := before[i]) >= 0 and (s := rank(ids[k] << 32 | new)) is not None:
-                heappush(queue, s * size + k)
+                heappush(queue, s << bits | k)
         return [x for x in ids if x >= 0]
 
-    def _plain(self, text: str) -> bytes:
-        """Ids of a text without special tokens as little-endian 32-bit integers."""
-        ids: list[int] = []
-        for word in self.words.findall(text):
-            ids += self.merge(word.encode())
-        return array("I", ids).tobytes()
+    def _merged(self, words: list[str]) -> list[bytes]:
+        return [array("I", self.merge(word.encode())).tobytes() for word in words]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text without special tokens as little-endian 32-bit integers."""
+        self.known.turn()
+        split, young = list(map(self.words.findall, texts)), self.known.young
+        got = {w: young.get(w) for words in split for w in words}
+        got.update(self.known.look({w for w, ids in got.items() if ids is None}, self._merged))
+        return [b"".join(map(got.__getitem__, words)) for words in split]
 
     def _text(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers; strings of special tokens stand for those."""
         if not any(x in text for x in self.special):
-            return self._plain(text)
-        return b"".join(array("I", [self.special[p]]).tobytes() if p in self.special else self._plain(p) for p in self.parts.split(text))
+            return self._plain([text])[0]
+        return b"".join(array("I", [self.special[p]]).tobytes() if p in self.special else self._plain([p])[0] for p in self.parts.split(text))
 
     def encode(self, text: str) -> np.ndarray:
         """All ids of a text."""
