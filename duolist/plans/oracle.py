@@ -105,7 +105,7 @@ _SELECT = {
     "first_k": "SELECT userId, movieId, timestamp FROM (SELECT *, row_number() OVER (PARTITION BY userId ORDER BY timestamp, movieId) AS n FROM ratings) WHERE n <= 5",
     "seen_items": "SELECT * FROM seen",
     "pair_candidates": "SELECT pairId, movieId FROM candidates",
-    "missing_report": "SELECT * FROM (SELECT unnest(['userId', 'movieId', 'rating', 'timestamp']) AS \"column\", unnest([count(*) - count(userId), count(*) - count(movieId), count(*) - count(rating), count(*) - count(timestamp)]) AS missing, unnest([0.0, 0.0, 0.0, 0.0])::DOUBLE AS fraction FROM ratings)",
+    "missing_report": "SELECT * FROM (SELECT unnest(['userId', 'movieId', 'rating', 'timestamp']) AS \"column\", unnest([count(*) - count(userId), count(*) - count(movieId), count(*) - count(rating), count(*) - count(timestamp)]) AS missing, unnest([(count(*) - count(userId)) / count(*), (count(*) - count(movieId)) / count(*), (count(*) - count(rating)) / count(*), (count(*) - count(timestamp)) / count(*)]) AS fraction FROM ratings)",
     "duplicate_counts": "SELECT (count(*) - count(DISTINCT (o_custkey, l_partkey)))::BIGINT AS duplicates FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "value_checks": "SELECT count(*) FILTER (rating < 0.5 OR rating > 5 OR rating * 2 <> floor(rating * 2)) AS invalid_ratings, count(*) FILTER (userId <= 0) AS invalid_users, count(*) FILTER (movieId <= 0) AS invalid_movies FROM ratings",
     "referential_checks": "SELECT count(*) AS orphans FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",

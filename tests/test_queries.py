@@ -8,7 +8,7 @@ from duolist.plans import registry
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 #: Slow ones, or without SQL, have tests of their own.
-CHOSEN = ["split_summary", "user_split_statistics", "warm_catalog", "pair_features", "similarity_bands", "pair_metrics", "method_summary", "item_neighbours", "group_linear", "group_nash", "propagate_mean", "cold_start_scores", "embedding_scores", "embedding_topk", "event_scores", "ranking_loss", "graph_size", "isolated_movies", "first_unliked", "focus_ratings", "conflict_bands", "conflict_summary", "dissimilar_pairs", "cold_start_list"]
+CHOSEN = ["split_summary", "missing_report", "user_split_statistics", "warm_catalog", "pair_features", "similarity_bands", "pair_metrics", "method_summary", "item_neighbours", "group_linear", "group_nash", "propagate_mean", "cold_start_scores", "embedding_scores", "embedding_topk", "event_scores", "ranking_loss", "graph_size", "isolated_movies", "first_unliked", "focus_ratings", "conflict_bands", "conflict_summary", "dissimilar_pairs", "cold_start_list"]
 
 
 @pytest.fixture(scope="module")
