@@ -155,3 +155,13 @@ def test_one_very_long_text_goes_part_by_part(library, monkeypatch):
     monkeypatch.setattr(tokens.cut_long, "__defaults__", (300,))
     for long in (edge.text(4, 2000), "。".join(["北京是中国的首都"] * 200), "a, b. c  d\n" * 300, "x" * 4000, "it's, we'll. " * 200 + "<|endoftext|>" + " tail" * 200):
         assert next(tokens.encode_all([long])).tolist() == plain(library, long)
+
+
+def test_words_are_merged_once_whatever_the_blanks(library):
+    codec, merged = bpe.Codec(), []
+    merge = codec.merge
+    codec.merge = lambda word: merged.append(word) or merge(word)
+    texts = [f"  one  two{'  ' * (i % 3)}\n\n\tthree, don't  four {'  five' * i}\n" for i in range(20)]
+    for text in texts:
+        assert codec.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(merged) == len(set(merged))
