@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from duolist.llm import ann, bpe, embdedup, langid, lm, packing, quality, simhash, tokenfile, urlfilter
+from duolist.llm import ann, bpe, embdedup, langid, licenses, lm, packing, quality, simhash, tokenfile, urlfilter
 from duolist.llm.common import scratch_dir
 from duolist.llm.urlfilter import Rule
 
@@ -67,6 +67,10 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(_table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}")
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
 #: Host and path by regular expressions, then the rules from the longest on.
 _URL_SQL = r"""
 WITH parts AS (
@@ -88,7 +92,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/en/', 'example.net/de/
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each takes (spark, sf_dir)."""
-    operators = (op1_simhash, op2_packing, op3_url_filter, op4_quality, op5_nearest, op6_language_id, op7_vector_dedup, op8_bpe, op9_lm_score, op10_token_file)
+    operators = (op1_simhash, op2_packing, op3_url_filter, op4_quality, op5_nearest, op6_language_id, op7_vector_dedup, op8_bpe, op9_lm_score, op10_token_file, op13_licenses)
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 

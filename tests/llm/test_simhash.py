@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from duolist.llm import simhash
+from duolist.llm import nearcopies, simhash
 from duolist.llm.components import connected_components
 from tests.llm import edge
 
@@ -75,7 +75,7 @@ def test_components_of_a_chain_and_a_star(spark):
 
 def test_one_of_each_group_stays(spark):
     docs = edge.documents(spark)
-    kept = simhash.keep_one_per_group(docs)
+    kept = nearcopies.keep_one_per_class(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and 3 in ids and 200 not in ids and 202 not in ids and 103 in ids
@@ -83,4 +83,4 @@ def test_one_of_each_group_stays(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(edge.nothing(spark)).count() == 0
-    assert simhash.keep_one_per_group(edge.nothing(spark)).count() == 0
+    assert nearcopies.keep_one_per_class(edge.nothing(spark)).count() == 0
