@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from duolist.llm import ann, bpe, embdedup, hardneg, langid, licenses, lm, packing, quality, simhash, tokenfile, urlfilter
+from duolist.llm import ann, bpe, crosstok, embdedup, hardneg, langid, licenses, lm, packing, quality, simhash, tokenfile, urlfilter
 from duolist.llm.common import scratch_dir
 from duolist.llm.urlfilter import Rule
 
@@ -73,6 +73,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(moved, F.col("vec_id") % 100 == 0)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.score(_table(spark, sf_dir, "documents"))
+
+
 def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_labels(licenses.scan(_table(spark, sf_dir, "documents")))
 
@@ -106,15 +110,17 @@ WITH v AS (
 ), positives AS (
   SELECT anchor_id, row_id AS positive_id, score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, row_id) <= 5
 )
-SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.row_id AS negative_id, p.score AS positive_score, n.score AS negative_score
-FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
-QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.row_id)
+SELECT * FROM (
+  SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.row_id) AS INTEGER) AS rank,
+         n.row_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+) WHERE rank <= 10
 """
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each takes (spark, sf_dir)."""
-    operators = (op1_simhash, op2_packing, op3_url_filter, op4_quality, op5_nearest, op6_language_id, op7_vector_dedup, op8_bpe, op9_lm_score, op10_token_file, op11_hard_negatives, op13_licenses)
+    operators = (op1_simhash, op2_packing, op3_url_filter, op4_quality, op5_nearest, op6_language_id, op7_vector_dedup, op8_bpe, op9_lm_score, op10_token_file, op11_hard_negatives, op12_alignment, op13_licenses)
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 

@@ -89,10 +89,11 @@ class WordMemory:
 
     words: gives the ids of each of a list of parts, which start with a blank or a line end and hold no other of either.
     texts: gives the ids of each of a list of texts.
+    cut: gives parts of a text whose ids, put together, are those of the text.
     """
 
-    def __init__(self, words: Encode, texts: Encode, special: list[str], most_bytes: int = REMEMBER_BYTES):
-        self.texts, self.special, self.known = texts, special, Recent(most_bytes)
+    def __init__(self, words: Encode, texts: Encode, special: list[str], most_bytes: int = REMEMBER_BYTES, cut: Callable[[str, int], list[str]] = cut_long):
+        self.texts, self.special, self.known, self.cut = texts, special, Recent(most_bytes), cut
         self.compute = lambda parts: words([p if p[:1] == "\n" else " " + p for p in parts])
         self.line_end = len(words(["\n"])[0])
 
@@ -113,7 +114,7 @@ class WordMemory:
         found, out = self.known.look(new, self.compute), []
         for got, rest in split:
             if got is None:
-                out.append(b"".join(b for part in cut_long(rest) for b in self.texts([part])))
+                out.append(b"".join(b for part in self.cut(rest, _AT_ONCE) for b in self.texts([part])))
                 continue
             for i, p in rest.items():
                 got[i] = found[p]
@@ -128,7 +129,7 @@ class WordMemory:
                 size += len(texts[end])
                 end += 1
             if end == at + 1 and size > _AT_ONCE:  # one very long text, part by part
-                cut = [self._group([p])[0] if p[:1] != " " else self._group(["." + p])[0][self._dot :] for p in cut_long(texts[at])]
+                cut = [self._group([p])[0] if p[:1] != " " else self._group(["." + p])[0][self._dot :] for p in self.cut(texts[at], _AT_ONCE)]
                 yield np.frombuffer(b"".join(cut), "<u4")
             else:
                 for raw in self._group(texts[at:end]):

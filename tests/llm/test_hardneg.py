@@ -27,9 +27,9 @@ def plain(rows, step=10, positives=5, negatives=10):
     return sorted(out)
 
 
-def mined(spark, rows, **more):
+def mined(spark, rows, block=hardneg.ROWS, anchors=hardneg.ANCHORS):
     df = spark.createDataFrame([(*r, "x", 0.0, 1, 2) for r in rows], SCHEMA)
-    return sorted(map(tuple, hardneg.mine(df, F.col("vec_id") % 10 == 0, **more).collect()))
+    return sorted(map(tuple, hardneg.mine(df, F.col("vec_id") % 10 == 0, rows=block, anchors=anchors).collect()))
 
 
 @settings(max_examples=60, deadline=None)
@@ -65,7 +65,7 @@ def test_equals_brute_force(spark):
     rows = [(i, int(rng.integers(0, 3)), (centre[i % 6] + rng.standard_normal(16) * (0.3 if i % 3 else 1)).tolist()) for i in range(300)]
     rows += [(i, 1, rows[3][2]) for i in range(300, 360)]  # ties, and one label with most rows
     assert mined(spark, rows) == plain(rows) != []
-    assert mined(spark, rows, rows=64, anchors=7) == plain(rows)  # many blocks on both sides
+    assert mined(spark, rows, block=64, anchors=7) == plain(rows)  # many blocks on both sides
 
 
 def test_odd_rows(spark):
