@@ -26,6 +26,10 @@ TREES = 12
 TOGETHER, MISSED = 0.92, 1e-5
 #: Vectors that the trees are fitted on, those with the least hash of their id.
 FIT_ROWS = 32_768
+#: Bytes of those vectors, at most; wide vectors have fewer.
+FIT_BYTES = 64 << 20
+#: Vectors that are routed through a tree at a time: its directions are made anew for each such block.
+ROUTE_ROWS = 8192
 LEAF_ROWS = 256
 #: Share of the vectors on either side of a split that go to both.
 SPILL = 0.04
@@ -45,15 +49,17 @@ def trees_for(depth: int, least: int = TREES) -> int:
     return max(least, math.ceil(math.log(MISSED) / math.log(1 - TOGETHER**depth)) if depth else least)
 
 
-def fit_forest(sample: np.ndarray, rows: int, trees: int = TREES, leaf_rows: int = LEAF_ROWS, spill: float = SPILL) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each tree: directions of its nodes, and the bounds at each node between which a vector goes to both sides.
+def directions_of(tree: int, nodes: int, width: int) -> np.ndarray:
+    """Directions of a tree's nodes; they follow from its number, so they need not be sent around."""
+    return seeded_directions(nodes, width, SEED + tree) if nodes else np.empty((0, width))
 
-    Nodes are numbered as in a heap from 0.
-    """
+
+def fit_forest(sample: np.ndarray, rows: int, trees: int = TREES, leaf_rows: int = LEAF_ROWS, spill: float = SPILL) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each tree: the bounds at each node between which a vector goes to both sides. Nodes are numbered as in a heap from 0."""
     depth, out = depth_for(rows, len(sample), leaf_rows), []
     for t in range(trees):
         nodes = 2**depth - 1
-        direction = seeded_directions(nodes, sample.shape[1], SEED + t) if nodes else np.empty((0, sample.shape[1]))
+        direction = directions_of(t, nodes, sample.shape[1])
         low, high = np.zeros(nodes), np.zeros(nodes)
         inside = [np.arange(len(sample))]
         for node in range(nodes):
@@ -62,14 +68,15 @@ def fit_forest(sample: np.ndarray, rows: int, trees: int = TREES, leaf_rows: int
             low[node], middle, high[node] = np.quantile(p, [0.5 - spill, 0.5, 0.5 + spill]) if len(p) else (0, 0, 0)
             inside += [own[p <= middle], own[p > middle]]
             inside[node] = None
-        out.append((direction, low, high))
+        out.append((low, high))
     return out
 
 
-def route(forest: list[tuple[np.ndarray, np.ndarray, np.ndarray]], x: np.ndarray) -> list[np.ndarray]:
+def route(forest: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> list[np.ndarray]:
     """The leaves, over all trees and in ascending order, in which each vector lies."""
     rows, leaves, base = [], [], 0
-    for direction, low, high in forest:
+    for tree, (low, high) in enumerate(forest):
+        direction = directions_of(tree, len(low), x.shape[1])
         own, node = np.arange(len(x)), np.zeros(len(x), np.int64)
         inner = len(low)
         while len(node) and inner and node[0] < inner:  # all are on one level
@@ -86,12 +93,23 @@ def route(forest: list[tuple[np.ndarray, np.ndarray, np.ndarray]], x: np.ndarray
 
 def _route(forest):
     def run(batches: Batches) -> Batches:
-        trees = forest.value
+        trees, held, n = forest.value, [], 0
+
+        def routed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            x = matrix(rows.column(1).chunk(0))
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            return record(rep=rows.column(0).chunk(0), copies=rows.column(2).chunk(0), v=binary(x), leaves=pa.array(route(trees, x), pa.list_(pa.int64())))
+
         for batch in batches:
-            if batch.num_rows:
-                x = matrix(batch.column(1))
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                yield record(rep=batch.column(0), copies=batch.column(2), v=binary(x), leaves=pa.array(route(trees, x), pa.list_(pa.int64())))
+            for i in range(0, batch.num_rows, ROUTE_ROWS):
+                held.append(batch.slice(i, ROUTE_ROWS))
+                n += held[-1].num_rows
+                if n >= ROUTE_ROWS:
+                    yield routed(held)
+                    held, n = [], 0
+        if held:
+            yield routed(held)
 
     return run
 
@@ -153,12 +171,13 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = SIMILARITY, trees:
     """
     rows = materialise(cleaned(vectors, id_col, vector_col), "all-vectors")
     reps, members = distinct_vectors(rows.where("x is not null"))
-    n = reps.count()
-    sample = [r.x for r in reps.select("x").orderBy(F.xxhash64("x"), "rep").limit(fit_rows).collect()]  # bounded by fit_rows
-    sample = np.array(sample, float).reshape(len(sample), -1) if sample else np.empty((0, 1))
+    n, width = reps.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    fit_rows = max(1, min(fit_rows, FIT_BYTES // (8 * (width or 1))))
+    sample = reps.select("x").orderBy(F.xxhash64("x"), "rep").limit(fit_rows).toArrow().column("x").combine_chunks()  # bounded in rows and bytes
+    sample = matrix(sample).copy() if len(sample) else np.empty((0, 1))
     sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
     trees = trees_for(depth_for(n, len(sample), leaf_rows), trees)
-    forest = reps.sparkSession.sparkContext.broadcast(fit_forest(sample, n, trees, leaf_rows))  # bounded by fit_rows / 16 nodes a tree
+    forest = reps.sparkSession.sparkContext.broadcast(fit_forest(sample, n, trees, leaf_rows))  # two numbers a node, fit_rows / 16 nodes a tree at most
     routed = materialise(reps.select("rep", "x", "copies").mapInArrow(_route(forest), "rep long, copies long, v binary, leaves array<long>"), "leaves")
     within = routed.select("rep", "copies", "v", "leaves", F.explode("leaves").alias("leaf"))
     parts = within.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))

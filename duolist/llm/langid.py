@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from duolist.llm.bpe import codec
-from duolist.llm.common import Batches, fresh, record, texts
+from duolist.llm.common import Batches, fresh, materialise, record, texts
 
 #: Labelled documents learned from per language, those with the least hash of doc_id.
 FIT_DOCS = 400
@@ -194,15 +194,22 @@ def learn(counts: dict[bytes, float], pieces: Pieces, rounds: int = ROUNDS) -> n
     return prob
 
 
+#: Languages that are learned, at most: the model holds 8 bytes for each of them and each piece, and goes to all tasks.
+MOST_LANGUAGES = 512
+
+
 def choose(rows: DataFrame, fit_docs: int) -> DataFrame:
     """(doc_id, lang) of the fit_docs documents of each language with the least hash of doc_id, each once.
 
-    Only what lies below a share of the hash range that holds twice as many is ranked, so a common language is no large task.
+    Only what lies below a share of the hash range that holds twice as many different ids is ranked, so a common language is no
+    large task, and rows that repeat an id change nothing. ValueError if there are more than MOST_LANGUAGES values of lang.
     """
     share = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / F.lit(float(2**53))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
-    # one row a language, of which the model holds a number for each piece anyway
-    low = rows.select("lang", "doc_id").join(F.broadcast(sizes), "lang").where(share * F.col("size") <= 2 * fit_docs + 100).select("lang", "doc_id").distinct()
+    ids = rows.select("lang", "doc_id").distinct()
+    sizes = materialise(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "languages")
+    if sizes.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
+    low = ids.join(F.broadcast(sizes), "lang").where(share * F.col("size") <= 2 * fit_docs + 100)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     return low.withColumn("place", F.row_number().over(order)).where(F.col("place") <= fit_docs).select("doc_id", "lang")
 
@@ -332,7 +339,8 @@ def _fold(docs: DataFrame):
 def language_of(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document, learned from those outside the held-out third.
 
-    A null doc_id is never held out and never learned from; repeated rows and other columns change nothing; texts of numerals
+    A null doc_id is never held out and never learned from; which documents are learned from depends on their ids alone, however
+    often rows repeat, and other columns change nothing; more than MOST_LANGUAGES values of lang are refused with a ValueError; texts of numerals
     alone have no letters; an empty table, or one without labels, gives `und` for all its rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")

@@ -92,7 +92,11 @@ def read_shard(content: bytes) -> tuple[int, int, list[int | None], list[np.ndar
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary: str | None = None, bits: bool = False, shard_ids: int = SHARD_IDS, block: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the ids of all documents, each followed by end_id, in ascending doc_id order (nulls first, ties by text)."""
+    """Write the ids of all documents, each followed by end_id, in ascending doc_id order.
+
+    Nulls come first, rows that share a doc_id in the order of a hash of their text. One doc_id, or one text, may have any share
+    of the rows: ranges are cut within both, and rows that agree in both go in any order.
+    """
 
     def run(batches: Batches) -> Batches:
         part, number, held, names, n = TaskContext.get().partitionId(), 0, [], [], 0
@@ -108,7 +112,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary: s
         if names:
             yield record(content=[write_shard(part, number, names, held, bits, block)])
 
-    shards = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "content binary")
+    rows = id_and_text(docs, id_col, text_col).withColumns({"hash": F.xxhash64("text"), "turn": F.xxhash64(F.monotonically_increasing_id())})
+    shards = rows.repartitionByRange("doc_id", "hash", "turn").sortWithinPartitions("doc_id", "hash", "turn").select("doc_id", "text").mapInArrow(run, "content binary")
     # one record a file; the text writer only adds a line end behind it
     shards.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 

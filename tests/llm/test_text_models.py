@@ -228,3 +228,19 @@ def test_scores_of_nothing(spark):
     assert lm.score_documents(edge.nothing(spark)).count() == 0
     alone = lm.score_documents(edge.documents(spark, [(None, "a b", None)])).first()
     assert alone.train_tokens == 0 and alone.n_known == 0 and alone.score == pytest.approx(alone.base_score)
+
+
+def test_repeated_rows_lose_no_language(spark):
+    """Each row of one language two thousand times: the same documents are chosen, and nothing else is predicted."""
+    data = [(i, edge.text(i, 40), "en") for i in range(12)] + [(100 + i, "der die das und ist nicht ein " * (3 + i), "de") for i in range(12)]
+    docs = edge.documents(spark, data).select("doc_id", "text", "lang")
+    many = docs.where("lang = 'de'").withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("t").unionAll(docs.where("lang = 'en'"))
+    assert sorted(map(tuple, langid.choose(many, 400).collect())) == sorted(map(tuple, langid.choose(docs, 400).collect())) == sorted((d, lang) for d, _, lang in data)
+    once, often = ({(r.doc_id, r.lang_pred) for r in langid.language_of(x).collect()} for x in (docs, many))
+    assert once == often and {lang for _, lang in once} == {"de", "en"}
+
+
+def test_too_many_languages_are_refused(spark):
+    rows = spark.range(langid.MOST_LANGUAGES + 1).selectExpr("id as doc_id", "'some words' as text", "cast(id as string) as lang")
+    with pytest.raises(ValueError, match="values of lang"):
+        langid.choose(rows, 10)

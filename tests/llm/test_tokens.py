@@ -165,3 +165,22 @@ def test_words_are_merged_once_whatever_the_blanks(library):
     for text in texts:
         assert codec.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
     assert len(merged) == len(set(merged))
+
+
+def test_one_id_with_most_rows_is_no_single_task(spark, tmp_path):
+    """Four fifths of the rows share a null id, half of them with the same text: all tasks write, and starts have no gaps."""
+    data = [(None if i % 5 else i, "same text here" if i % 2 else edge.text(i, 5), "en") for i in range(2000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few bytes would make one task
+    try:
+        tokenfile.write_tokens(edge.documents(spark, data).repartition(4), f"file://{tmp_path}/x")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = tokenfile.with_starts(tokenfile.read_tokens(spark, f"file://{tmp_path}/x", digests=True)).collect()
+    parts = [r.part for r in rows]
+    assert len(rows) == 2000 and max(map(parts.count, set(parts))) < 1000
+    at = 0
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    ids = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
