@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import os
 from array import array
+from itertools import accumulate, chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +26,17 @@ from pyspark.sql import functions as F
 
 from duolist.llm.bpe import byte_symbols
 from duolist.llm.common import Batches, id_and_text, ids_of, materialise, record, texts
-from duolist.llm.tokens import LibraryWords, WordMemory, vocabulary_path
+from duolist.llm.tokens import LibraryWords, Recent, cut_long, vocabulary_path
 
 PIECES = "piece_bpe_32k.model"
 #: How the piece vocabulary writes a space.
 SPACE = "▁"
-#: Bytes that a worker remembers of either tokenizer's words, and of windows.
-REMEMBER_WORDS, REMEMBER_WINDOWS = 96 << 20, 160 << 20
+#: Bytes that a worker remembers of words, and of windows.
+REMEMBER_WORDS, REMEMBER_WINDOWS = 160 << 20, 192 << 20
 #: Bytes of a remembered window besides its ids, groups and pairs.
 _ENTRY = 280
+#: Links of a group beyond which its different ids are linked, each with how often it comes.
+_LARGE = 4096
 #: Characters of texts that are aligned at a time.
 _AT_ONCE = 400_000
 #: Pairs whose counts go to all tasks, at most (17 bytes each).
@@ -65,21 +69,34 @@ def _cut_at_blanks(text: str, size: int) -> list[str]:
     return parts
 
 
+#: Marks ids of B where they stand beside ids of A.
+_MARK = np.uint32(1 << 31)
+
+
 class Bytewise:
-    """The byte-level tokenizer (A): ids of texts, which begin with a space, the bytes of each id, and which ids begin with a space."""
+    """The byte-level tokenizer (A): the bytes of each id, which ids begin with a space, and ids of parts of texts."""
 
     def __init__(self, path: str):
-        library = LibraryWords(path)
-        library.library.encode_special_tokens = True  # strings of special tokens are plain text
+        self.library = LibraryWords(path)
+        self.library.library.encode_special_tokens = True  # strings of special tokens are plain text
         back = {c: b for b, c in byte_symbols().items()}
-        entries = [library.library.id_to_token(i) or "" for i in range(library.library.get_vocab_size())]
+        entries = [self.library.library.id_to_token(i) or "" for i in range(self.library.library.get_vocab_size())]
         self.bytes = [bytes(back[c] for c in e) if all(c in back for c in e) else e.encode() for e in entries]
         self.spaced = np.array([b[:1] == b" " for b in self.bytes])
-        self.memory = WordMemory(library.words, library.texts, [], REMEMBER_WORDS)
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that begin with a space or line end, as 32-bit integers. ValueError if they don't spell the words."""
+        out = self.library.words(words)
+        if b"".join(map(self.bytes.__getitem__, np.frombuffer(b"".join(out), "<u4").tolist())) != "".join(words).encode():
+            raise ValueError("the byte-level vocabulary doesn't spell its input")
+        return out
+
+    def text(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(self.library.texts(cut_long(text))), "<u4")
 
 
 class Piecewise:
-    """The piece tokenizer (B), in the same form."""
+    """The piece tokenizer (B), in the same form; its ids are marked."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -90,38 +107,23 @@ class Piecewise:
         self.spaced = np.array([b[:1] == b" " for b in self.bytes])
         self.skip = len(self.library.encode("\n"))  # the space that the library puts in front, and a line end
         self.blank = self.library.piece_to_id(SPACE)
-        self.memory = WordMemory(self.encode, self.encode, [SPACE], REMEMBER_WORDS, _cut_at_blanks)
 
-    def encode(self, parts: list[str]) -> list[bytes]:
+    def words(self, parts: list[str]) -> list[bytes]:
         """Ids of each part as it stands within a text: the space that the library adds is the part's own first one, or taken off."""
         own = [p[1:] if p[:1] == " " else "\n" + p for p in parts]
-        out = []
-        for part, ids in zip(parts, self.library.encode(own, num_threads=1), strict=True):
-            if part == " ":
-                ids = [self.blank]
-            out.append(np.array(ids if part[:1] == " " else ids[self.skip :], "<u4").tobytes())
-        return out
+        ids = [[self.blank] if p == " " else x if p[:1] == " " else x[self.skip :] for p, x in zip(parts, self.library.encode(own, num_threads=1), strict=True)]
+        ends = [0, *accumulate(4 * len(x) for x in ids)]
+        raw = (np.fromiter(chain.from_iterable(ids), np.uint32, ends[-1] // 4) | _MARK).astype("<u4").tobytes()
+        return [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
+    def text(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(self.words(_cut_at_blanks(text, _AT_ONCE))), "<u4") ^ _MARK
 
-def groups_of(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> list[tuple[list[int], list[int]]]:
-    """The tokens of either side between places where both end."""
-    out, i, j = [], 0, 0
-    at_a = at_b = 0
-    ga: list[int] = []
-    gb: list[int] = []
-    while i < len(a) or j < len(b):
-        if at_a <= at_b and i < len(a):
-            ga.append(a[i])
-            at_a += len(a_bytes[a[i]])
-            i += 1
-        else:
-            gb.append(b[j])
-            at_b += len(b_bytes[b[j]])
-            j += 1
-        if at_a == at_b:
-            out.append((ga, gb))
-            ga, gb = [], []
-    return out
+
+def spread_out(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, place) of all places in ranges that begin at start and hold count places."""
+    of = np.repeat(np.arange(len(start)), count)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(count) - count - start, count)
 
 
 class Windows:
@@ -129,40 +131,89 @@ class Windows:
 
     def __init__(self, a: Bytewise, b: Piecewise, most_bytes: int = REMEMBER_WINDOWS):
         self.a, self.b, self.most = a, b, most_bytes
+        # a token as it is written in front of another of its group, and as the last one of its side
+        self.written = [f"{i}{mark}".encode() for size, marks in ((len(a.bytes), ",|"), (len(b.bytes), ",;")) for mark in marks for i in range(size)]
+        self.a_size, self.b_size = (np.array([len(x) for x in side.bytes], np.int64) for side in (a, b))
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[bytes, int] = {}
         self.size, self.text, self.sound = 0, [], bytearray()
-        self.n_groups, self.n_links = array("q"), array("q")
+        self.n_a, self.n_b, self.n_groups, self.n_links = (array("q") for _ in range(4))
         self.start, self.pair, self.times = array("q", [0]), array("q"), array("q")
 
-    def add(self, key: bytes, a: list[int], b: list[int]) -> int:
-        """Align a window and remember it; its place."""
-        groups = groups_of(a, b, self.a.bytes, self.b.bytes)
-        links: dict[int, int] = {}
-        n, width = 0, len(self.b.bytes)
-        for ga, gb in groups:
-            n += len(ga) * len(gb)
-            if len(ga) * len(gb) > 4096:  # many tokens: by different ids
-                ua, ca = np.unique(ga, return_counts=True)
-                ub, cb = np.unique(gb, return_counts=True)
-                for x, t in zip(((ua * width)[:, None] + ub).ravel().tolist(), (ca[:, None] * cb).ravel().tolist(), strict=True):
-                    links[x] = links.get(x, 0) + t
-            else:
-                for x in ga:
-                    for y in gb:
-                        links[x * width + y] = links.get(x * width + y, 0) + 1
-        self.text.append(";".join(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)) for ga, gb in groups).encode())
-        self.sound.append(b"".join(map(self.a.bytes.__getitem__, a)) == b"".join(map(self.b.bytes.__getitem__, b)))
-        self.n_groups.append(len(groups))
-        self.n_links.append(n)
-        self.pair.extend(links)
-        self.times.extend(links.values())
-        self.start.append(len(self.pair))
-        self.size += _ENTRY + 2 * len(key) + len(self.text[-1]) + 16 * len(links)
-        self.place[key] = len(self.text) - 1
-        return len(self.text) - 1
+    def add(self, keys: list[bytes]) -> None:
+        """Align windows that aren't known, all at once, and remember them. A key is the ids of A, then the marked ids of B."""
+        raw = np.frombuffer(b"".join(keys), "<u4")
+        of_b = raw >= _MARK
+        owner = np.repeat(np.arange(len(keys)), [len(k) // 4 for k in keys])
+        a, b, own_a, own_b = raw[~of_b].astype(np.int64), (raw[of_b] ^ _MARK).astype(np.int64), owner[~of_b], owner[of_b]
+
+        # both sides must spell the same bytes; other windows stay without groups
+        sizes, other = (np.bincount(own, weights=size[ids], minlength=len(keys)).astype(np.int64) for own, size, ids in ((own_a, self.a_size, a), (own_b, self.b_size, b)))
+        sound = (sizes == other) & (sizes > 0)
+        a, b, own_a = a[sound[own_a]], b[sound[own_b]], own_a[sound[own_a]]
+        spelt = [np.frombuffer(b"".join(map(side.bytes.__getitem__, ids.tolist())), np.uint8) for side, ids in ((self.a, a), (self.b, b))]
+        lasts = np.cumsum(np.where(sound, sizes, 0))
+        sound[np.searchsorted(lasts, np.flatnonzero(spelt[0] != spelt[1]), side="right")] = False
+
+        # groups lie between places where tokens of both sides end
+        end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        at = np.searchsorted(end_b, end_a)
+        both = np.flatnonzero(end_b[np.minimum(at, len(end_b) - 1)] == end_a)
+        stop_a, stop_b, window = both + 1, at[both] + 1, own_a[both]
+        start_a, start_b = np.r_[0, stop_a[:-1]], np.r_[0, stop_b[:-1]]
+        n_a, n_b = stop_a - start_a, stop_b - start_b
+        count = np.bincount(window, minlength=len(keys))
+        cuts = np.r_[0, np.cumsum(count)]  # groups of each window
+        of_a, of_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
+
+        # the text: a group's ids of A, then of B
+        total = n_a + n_b
+        base = np.cumsum(total) - total
+        code = np.empty(int(total.sum()), np.int64)
+        in_a, in_b = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) for of, n in ((of_a, n_a), (of_b, n_b)))
+        wide_a, wide_b = len(self.a.bytes), len(self.b.bytes)
+        code[base[of_a] + in_a] = a + np.where(in_a == n_a[of_a] - 1, wide_a, 0)
+        code[base[of_b] + n_a[of_b] + in_b] = b + 2 * wide_a + np.where(in_b == n_b[of_b] - 1, wide_b, 0)
+        written, ends = list(map(self.written.__getitem__, code.tolist())), np.r_[0, np.cumsum(total)][cuts].tolist()
+        text = [b"".join(written[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+
+        # the links: each id of A with each of B
+        links = n_a * n_b
+        if (large := links > _LARGE).any():
+            pair, times, per = self._by_different_ids([a[i:j] for i, j in zip(start_a, stop_a, strict=True)], [b[i:j] for i, j in zip(start_b, stop_b, strict=True)], large)
+        else:
+            of, k = spread_out(np.zeros(len(links), np.int64), links)
+            pair = a[start_a[of] + k // n_b[of]] * wide_b + b[start_b[of] + k % n_b[of]]
+            times, per = np.ones(len(pair), np.int64), links
+        per = np.bincount(window, weights=per, minlength=len(keys)).astype(np.int64)
+
+        place = len(self.text)
+        self.place.update(zip(keys, range(place, place + len(keys)), strict=True))
+        self.text += text
+        self.sound += sound.tobytes()
+        for held, of, n in ((self.n_a, window, n_a), (self.n_b, window, n_b), (self.n_links, window, links), (self.n_groups, window, np.ones(len(window)))):
+            held.frombytes(np.bincount(of, weights=n, minlength=len(keys)).astype(np.int64).tobytes())
+        self.start.frombytes((self.start[-1] + np.cumsum(per)).tobytes())
+        self.pair.frombytes(pair.astype(np.int64).tobytes())
+        self.times.frombytes(times.tobytes())
+        self.size += _ENTRY * len(keys) + sum(map(len, keys)) + sum(map(len, text)) + 16 * len(pair)
+
+    def _by_different_ids(self, a: list[np.ndarray], b: list[np.ndarray], large: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pairs, how often each is linked, pairs of each group), where some groups have very many tokens on both sides."""
+        pair, times = [], []
+        for x, y, many in zip(a, b, large.tolist(), strict=True):
+            (x, nx), (y, ny) = (np.unique(z, return_counts=True) if many else (z, np.ones(len(z), np.int64)) for z in (x, y))
+            pair.append((x[:, None] * len(self.b.bytes) + y).ravel())
+            times.append((nx[:, None] * ny).ravel())
+        return np.concatenate(pair), np.concatenate(times), np.array([len(p) for p in pair])
+
+
+def _joined(first: bytes, second: bytes) -> bytes:
+    """The key of two stretches of ids put together."""
+    a, b = (k[: 4 * int((np.frombuffer(k, "<u4") < _MARK).sum())] for k in (first, second))
+    return a + b + first[len(a) :] + second[len(b) :]
 
 
 class Aligner:
@@ -170,65 +221,100 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = Bytewise(a_path), Piecewise(b_path)
-        self.windows = Windows(self.a, self.b)
-        self.a_size, self.b_size = (np.array([len(x) for x in side.bytes], np.int64) for side in (self.a, self.b))
+        self.words, self.windows = Recent(REMEMBER_WORDS), Windows(self.a, self.b)
+
+    def _compute(self, parts: list[str]) -> list[bytes]:
+        """The key of each word: ids of A and of B."""
+        own = [p if p[:1] == "\n" else " " + p for p in parts]
+        return list(map(add, self.a.words(own), self.b.words(own)))
+
+    def _by_words(self, texts: list[str]) -> list[list[bytes] | None]:
+        """The windows' keys of each text, which begins with a space; None if white space stands together or at the ends.
+
+        Otherwise tokens of both sides end in front of every space and line end, and a token that begins with the space follows,
+        so a window is what lies between two spaces. Words are remembered.
+        """
+        self.words.turn()
+        get, out, new = self.words.young.get, [], set()
+        for text in texts:
+            lines = text[1:].split("\n")
+            parts = [p for k, line in enumerate(lines) for p in (("\n" + line) if k else line).split(" ")]
+            got = list(map(get, parts))
+            missing = {i: parts[i] for i, x in enumerate(got) if x is None}
+            # white space inside of a remembered word was looked at when it was new
+            if any(p in ("", "\n") or p[p[0] == "\n"].isspace() for p in missing.values()) or SPACE in text:
+                out.append(None)
+                continue
+            new.update(missing.values())
+            glued = list(accumulate(line.count(" ") + 1 for line in lines))[:-1]
+            out.append((got, missing, glued))
+        found = self.words.look(new, self._compute)
+        for k, own in enumerate(out):
+            if own is not None:
+                keys, missing, glued = own
+                for i, p in missing.items():
+                    keys[i] = found[p]
+                for i in reversed(glued):  # what a line end begins goes to the window before it
+                    keys[i - 1 : i + 1] = [_joined(keys[i - 1], keys[i])]
+                out[k] = keys
+        return out
+
+    def _by_tokens(self, text: str) -> list[bytes] | None:
+        """The windows' keys of any text that begins with a space; None if the tokens of either side don't spell it."""
+        a, b, raw = self.a.text(text), self.b.text(text), text.encode()
+        if any(b"".join(map(side.bytes.__getitem__, ids.tolist())) != raw for side, ids in ((self.a, a), (self.b, b))):
+            return None
+        end_a, end_b = np.cumsum(self.windows.a_size[a]), np.cumsum(self.windows.b_size[b])
+        at = np.searchsorted(end_b, end_a)
+        shared = np.flatnonzero(end_b[at] == end_a)
+        anchor = np.append(self.a.spaced[a[1:]], True)[shared] & np.append(self.b.spaced[b[1:]], True)[at[shared]]
+        stop_a, stop_b = (4 * (shared[anchor] + 1)).tolist(), (4 * (at[shared[anchor]] + 1)).tolist()
+        raw_a, raw_b = a.tobytes(), (b | _MARK).tobytes()
+        return [raw_a[i:j] + raw_b[k:n] for i, j, k, n in zip([0, *stop_a], stop_a, [0, *stop_b], stop_b, strict=False)]
+
+    def _places(self, keys: list[bytes]) -> np.ndarray:
+        place = self.windows.place
+        slots = list(map(place.get, keys))
+        if missing := [i for i, s in enumerate(slots) if s is None]:
+            self.windows.add(list({keys[i]: None for i in missing}))
+            for i in missing:
+                slots[i] = place[keys[i]]
+        return np.array(slots, np.int64)
 
     def align(self, batch: list[str], with_groups: bool = False) -> dict[str, list]:
         """Columns n_a, n_b, n_groups, n_links, groups_sha256, pairs (packed) and groups of each text.
 
         Texts without tokens, or whose tokens don't spell a space and the text, have zeros and nothing.
         """
-        self.windows.size > self.windows.most and self.windows.forget()
-        out = {c: [0] * len(batch) for c in ("n_a", "n_b", "n_groups", "n_links")} | {"groups_sha256": [""] * len(batch), "pairs": [pack(np.empty(0, np.int64), np.empty(0, np.int64))] * len(batch), "groups": [""] * len(batch)}
-        here = [i for i, t in enumerate(batch) if t]
-        spaced = [" " + batch[i] for i in here]
-        a, b = list(self.a.memory.all(spaced)), list(self.b.memory.all(spaced))
-        sizes = [len(t.encode()) for t in spaced]
-        fits = [x for x in range(len(here)) if int(self.a_size[a[x]].sum()) == sizes[x] == int(self.b_size[b[x]].sum())]
-        fits = [x for x in fits if b"".join(map(self.a.bytes.__getitem__, a[x].tolist())) == spaced[x].encode()]
-        if not fits:
-            return out
-        slots, bounds = self._windows([a[x] for x in fits], [b[x] for x in fits])
         w = self.windows
+        w.size > w.most and w.forget()
+        numbers = ("n_a", "n_b", "n_groups", "n_links")
+        out = {c: [0] * len(batch) for c in numbers} | {"groups_sha256": [""] * len(batch), "pairs": [pack(np.empty(0, np.int64), np.empty(0, np.int64))] * len(batch), "groups": [""] * len(batch)}
+        parts = [(i, p) for i, t in enumerate(batch) if t for p in _cut_at_blanks(" " + t, _AT_ONCE)]
+        held: dict[int, list[list[bytes] | None]] = {}
+        for (i, _), keys in zip(parts, self._by_words([p for _, p in parts]), strict=True):
+            held.setdefault(i, []).append(keys)
+        pairs = [(i, self._by_tokens(" " + batch[i]) if None in own else own[0] if len(own) == 1 else list(chain.from_iterable(own))) for i, own in held.items()]
+        pairs = [(i, keys) for i, keys in pairs if keys]
+        if not pairs:
+            return out
+        slots = self._places(list(chain.from_iterable(k for _, k in pairs)))
+        bounds = np.r_[0, np.cumsum([len(k) for _, k in pairs])]
         # views of arrays that grow again are taken for one expression only
-        sound = np.frombuffer(w.sound, np.uint8)[slots] == 1
-        groups, links = (np.add.reduceat(np.frombuffer(x, np.int64)[slots], bounds[:-1]) for x in (w.n_groups, w.n_links))
-        of = np.repeat(np.arange(len(fits)), np.diff(bounds))
-        good = np.bincount(of[~sound], minlength=len(fits)) == 0
-        packed = self._pairs(slots, of, len(fits))
+        sums = {c: np.add.reduceat(np.frombuffer(getattr(w, c), np.int64)[slots], bounds[:-1]) for c in numbers}
+        of = np.repeat(np.arange(len(pairs)), np.diff(bounds))
+        good = np.bincount(of[np.frombuffer(w.sound, np.uint8)[slots] == 0], minlength=len(pairs)) == 0
+        packed = self._pairs(slots, of, len(pairs))
         named = slots.tolist()
         for k in np.flatnonzero(good).tolist():
-            x = fits[k]
-            i, text = here[x], b";".join(map(w.text.__getitem__, named[bounds[k] : bounds[k + 1]]))
-            out["n_a"][i], out["n_b"][i], out["n_groups"][i], out["n_links"][i] = len(a[x]), len(b[x]), int(groups[k]), int(links[k])
+            i, text = pairs[k][0], b"".join(map(w.text.__getitem__, named[bounds[k] : bounds[k + 1]]))[:-1]
+            for c in numbers:
+                out[c][i] = int(sums[c][k])
             out["groups_sha256"][i], out["pairs"][i] = hashlib.sha256(text).hexdigest(), packed[k]
             if with_groups:
                 out["groups"][i] = text.decode()
         return out
 
-    def _windows(self, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(place of each window, where each text's windows begin and end) of texts whose tokens have the same bytes in all."""
-        last = np.zeros(sum(map(len, a)), bool)
-        last[np.cumsum([len(x) for x in a]) - 1] = True
-        a, b = np.concatenate(a), np.concatenate(b)
-        end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        at = np.searchsorted(end_b, end_a)
-        both = np.flatnonzero(end_b[at] == end_a)
-        to = at[both]
-        next_a, next_b = np.append(self.a.spaced[a[1:]], True), np.append(self.b.spaced[b[1:]], True)
-        anchor = (next_a[both] & next_b[to]) | last[both]
-        stop_a, stop_b = both[anchor] + 1, to[anchor] + 1
-        raw_a, raw_b = a.astype("<u4").tobytes(), (b.astype("<u4") | np.uint32(1 << 31)).tobytes()
-        ua, ub = (4 * stop_a).tolist(), (4 * stop_b).tolist()
-        keys = [raw_a[i:j] + raw_b[k:n] for i, j, k, n in zip([0, *ua], ua, [0, *ub], ub, strict=False)]
-        slots = list(map(self.windows.place.get, keys))
-        for i, s in enumerate(slots):
-            if s is None:
-                j, n = (stop_a[i - 1], stop_b[i - 1]) if i else (0, 0)
-                known = self.windows.place.get(keys[i])
-                slots[i] = self.windows.add(keys[i], a[j : stop_a[i]].tolist(), b[n : stop_b[i]].tolist()) if known is None else known
-        return np.array(slots, np.int64), np.concatenate([[0], np.flatnonzero(last[stop_a - 1]) + 1])
-
     def _pairs(self, slots: np.ndarray, of: np.ndarray, n: int) -> list[bytes]:
         """Each text's different pairs and how often it holds each, packed."""
         w = self.windows
