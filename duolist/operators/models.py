@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duolist.config import AlsConfig, BiasedMfConfig, GraphConfig
-from duolist.functions import dot, hash_order
-from duolist.operators import graph
+from duolist.functions import dot
+from duolist.operators import strata
 from duolist.operators.cohorts import seen_by_pair
-from duolist.schema import dense_index, shared_table
+from duolist.schema import dense_index, drop_table, shared_table
 
 #: Likes of one user that meet each other in one part of a join; a heavier user's are cut into blocks.
 USER_BLOCK = 1024
@@ -177,63 +178,77 @@ def fold_in_als(likes: DataFrame, movies: DataFrame, config: AlsConfig) -> DataF
     return least_squares(likes.select("userId", "movieId").distinct(), "userId", "movieId", movies, config)
 
 
-def _adam_move(m: Column | str, v: Column | str, rate: float, t: int) -> Column:
-    """What step t takes off the parameters, from both running means of the gradient."""
-    return F.zip_with(m, v, lambda a, b: rate * (a / (1 - 0.9**t)) / (F.sqrt(b / (1 - 0.999**t)) + 1e-8))
+def _sides(rows: DataFrame) -> DataFrame:
+    """(kind, node) of all users and movies of rows (a, b)."""
+    return rows.select(F.lit(strata.USER).alias("kind"), F.col("a").alias("node")).unionAll(rows.select(F.lit(strata.MOVIE), "b")).distinct()
+
+
+def _with_zeros(width: int, again: bool = False) -> Callable[[np.ndarray], np.ndarray]:
+    """Parameters with what a training step needs beside them; again: and once more, as they were before a sweep."""
+    return lambda x: np.hstack([x, np.zeros((len(x), 2 * width + 1)), *([x] if again else [])])
 
 
 def train_biased_mf(ratings: DataFrame, config: BiasedMfConfig, validate: Callable[[dict, int], tuple[float, float]] | None = None) -> dict[str, object]:
     """mean, users (userId, bias, vec), movies (movieId, bias, vec), and each epoch's error, by Adam.
 
-    An epoch deals the ratings by hash into steps_per_epoch parts and takes a step on each: joins and grouped sums over that part.
-    Who has no rating in a part stays as is. ValueError if a user rates a movie twice.
+    An epoch is a sweep: every rating is used once, batch_size of them a step, so steps grow with the table; see strata.
+    ValueError if there are no ratings or a user rates a movie twice.
     """
-    rows = shared_table(ratings.select(F.col("userId").cast("long"), F.col("movieId").cast("long"), F.col("rating").cast("double")), "ratings")
-    n, distinct, mean = rows.agg(F.count(F.lit(1)), F.count_distinct("userId", "movieId"), F.avg("rating")).first()
+    rows = shared_table(ratings.select(F.col("userId").cast("long").alias("a"), F.col("movieId").cast("long").alias("b"), F.col("rating").cast("double").alias("y")), "ratings")
+    n, distinct, mean, users, movies = rows.agg(F.count(F.lit(1)), F.count_distinct("a", "b"), F.avg("y"), F.count_distinct("a"), F.count_distinct("b")).first()
     if n != distinct or not n:
+        drop_table(rows)
         raise ValueError("ratings are empty or a movie is rated twice")
-    d, lr, reg = config.factors, config.learning_rate, config.regularization
-    b1, b2 = 0.9, 0.999
-
-    def begin(key: str) -> DataFrame:
-        start = _start(rows.select(key).distinct(), key, d, config.random_seed, 0.05)
-        zero = F.array_repeat(F.lit(0.0), d + 1)
-        return shared_table(start.select(key, F.concat(F.array(F.lit(0.0)), "vec").alias("p"), zero.alias("m"), zero.alias("v")), "parameters")
-
-    def stepped(side: DataFrame, grads: DataFrame, key: str, t: int) -> DataFrame:
-        both = side.join(grads, key, "left")
-        g = F.zip_with("g", "p", lambda g, p: g + reg * p)
-        m = F.zip_with("m", g, lambda m, g: b1 * m + (1 - b1) * g)
-        v = F.zip_with("v", g, lambda v, g: b2 * v + (1 - b2) * g * g)
-        move = _adam_move(m, v, lr, t)
-        return shared_table(both.select(key, F.coalesce(F.zip_with("p", move, lambda p, x: p - x), "p").alias("p"), F.coalesce(m, "m").alias("m"), F.coalesce(v, "v").alias("v")), "parameters")
-
-    def gradients(failed: DataFrame, key: str, other: str) -> DataFrame:
-        parts = failed.select(key, "e", F.posexplode(F.concat(F.array(F.lit(1.0)), F.slice(other, 2, d))).alias("f", "x"))
-        sums = parts.groupBy(key, "f").agg(F.avg(2 * F.col("e") * F.col("x")).alias("g"))
-        return sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "g"))), lambda x: x["g"]).alias("g"))
-
-    users, movies, history, losses, kept, t = begin("userId"), begin("movieId"), [], [], {}, 0
+    d, blocks = config.factors, strata.blocks_for(users, movies, config.block_nodes)
+    zeros = _with_zeros(d + 1)
+    nodes = shared_table(strata.start_nodes(_sides(rows), d, config.random_seed, 0.05, lambda x: zeros(np.hstack([np.zeros((len(x), 1)), x]))), "parameters")
+    step = strata.rating_steps(d, config.batch_size, config.learning_rate, config.regularization, mean)
+
+    def model_of(own: DataFrame) -> dict[str, object]:
+        u, m = (strata.vectors_of(own, k, name, 0, d + 1).select(name, F.col("vec")[0].alias("bias"), F.slice("vec", 2, d).alias("vec")) for k, name in ((strata.USER, "userId"), (strata.MOVIE, "movieId")))
+        return {"mean": mean, "users": u, "movies": m}
+
+    history, losses, kept = [], [], Kept(nodes)
     for epoch in range(1, config.epochs + 1):
-        dealt, squares = F.pmod(hash_order(config.random_seed + epoch, "userId", "movieId"), F.lit(config.steps_per_epoch)), 0.0
-        for step in range(config.steps_per_epoch):
-            part = rows.where(dealt == step) if config.steps_per_epoch > 1 else rows
-            joined = part.join(users.select("userId", F.col("p").alias("pu")), "userId").join(movies.select("movieId", F.col("p").alias("pi")), "movieId")
-            guess = mean + F.col("pu")[0] + F.col("pi")[0] + dot(F.slice("pu", 2, d), F.slice("pi", 2, d))
-            failed = shared_table(joined.withColumn("e", guess - F.col("rating")), "errors")
-            missed, found = failed.agg(F.sum(F.col("e") * F.col("e")), F.count(F.lit(1))).first()
-            if found:
-                t, squares = t + 1, squares + missed
-                users, movies = stepped(users, gradients(failed, "userId", "pi"), "userId", t), stepped(movies, gradients(failed, "movieId", "pu"), "movieId", t)
-        losses.append(float(np.sqrt(squares / n)))
-        model = {"mean": mean, "users": users.select("userId", F.col("p")[0].alias("bias"), F.slice("p", 2, d).alias("vec")), "movies": movies.select("movieId", F.col("p")[0].alias("bias"), F.slice("p", 2, d).alias("vec"))}
+        after, squares = strata.sweep(kept.now, rows, blocks, config.random_seed + epoch, step)
+        kept.replace(after)
+        losses.append(float(np.sqrt(squares)))
         if validate and (epoch % config.validation_interval == 0 or epoch == config.epochs):
-            history.append((epoch, validate(model, epoch)))
-            kept[epoch] = model
-            if stop_early(history, config.patience)[1]:
+            history.append((epoch, validate(model_of(kept.now), epoch)))
+            best, early = stop_early(history, config.patience)
+            kept.hold(epoch, best)
+            if early:
                 break
     best, early = stop_early(history, config.patience) if history else (epoch, False)
-    return kept.get(best, model) | {"best": best, "stopped": epoch, "early": early, "losses": losses, "history": history}
+    drop_table(rows)
+    return model_of(kept.finish(best)) | {"best": best, "stopped": epoch, "early": early, "losses": losses, "history": history}
+
+
+class Kept:
+    """The table of a training run as it is now, and as it was when it was best; others are dropped as soon as they are neither."""
+
+    def __init__(self, now: DataFrame):
+        self.now, self.best, self.step = now, None, None
+
+    def replace(self, after: DataFrame) -> None:
+        if self.now is not self.best:
+            drop_table(self.now)
+        self.now = after
+
+    def hold(self, step: int, best: int) -> None:
+        """To be called after a validation: the present table is kept if its step is the best."""
+        if step == best:
+            if self.best is not None and self.best is not self.now:
+                drop_table(self.best)
+            self.best, self.step = self.now, step
+
+    def finish(self, best: int) -> DataFrame:
+        """The table of the best step, or the last one; only its files stay."""
+        if self.best is None or self.step != best:
+            return self.now
+        if self.now is not self.best:
+            drop_table(self.now)
+        return self.best
 
 
 def predict_biased_mf(pairs: DataFrame, model: dict[str, object]) -> DataFrame:
@@ -243,13 +258,6 @@ def predict_biased_mf(pairs: DataFrame, model: dict[str, object]) -> DataFrame:
     return pairs.join(u, "userId").join(m, "movieId").withColumn("score", F.lit(model["mean"]) + F.col("bu") + F.col("bi") + dot("vu", "vi")).drop("bu", "vu", "bi", "vi")
 
 
-def _of_nodes(graph: dict[str, DataFrame], triples: DataFrame) -> DataFrame:
-    """(u, i, j): the nodes of triples."""
-    users, movies = graph["users"], graph["movies"]
-    out = triples.join(users.withColumnRenamed("node", "u"), "userId").join(movies.select(F.col("movieId").alias("positive"), F.col("node").alias("i")), "positive")
-    return out.join(movies.select(F.col("movieId").alias("negative"), F.col("node").alias("j")), "negative").select("u", "i", "j")
-
-
 def _with_vectors(triples: DataFrame, vectors: DataFrame) -> DataFrame:
     """(u, i, j, xu, away, gap): away points from the negative's vector to the positive's, gap is the difference of both scores."""
     out = triples
@@ -278,48 +286,67 @@ def pairwise_gradient(triples: DataFrame, vectors: DataFrame, size: int, spread:
 def train_graph_model(edges: DataFrame, config: GraphConfig, validate: Callable[[DataFrame, DataFrame, int], tuple[float, float]] | None = None) -> dict[str, object]:
     """users (userId, vec), movies (movieId, vec), losses (before, after) on fixed triples, best, stopped, early, history.
 
-    Every step is a few joins and grouped sums over triples and links, so a step takes any number of either. validate gets the
-    propagated vectors of both sides; the best by the mean of its last `smoothing` results is kept, and training ends after
-    `patience` results without a better one.
+    Steps of batch_size triples are taken in strata, many in one task; see strata. A sweep uses every like once and ends at the
+    next validation; then what vectors moved by is spread over the graph. validate gets the propagated vectors of both sides
+    before the first step (step 0), every validation_interval steps and after the last; the best by the mean of its last
+    `smoothing` results is kept, and training ends after `patience` results without a better one. Only the tables behind the
+    result stay. ValueError if there are no edges, an id is missing, or every user likes every movie.
     """
-    g = graph.drawable(graph.bipartite_graph(edges.select(F.col("userId").cast("long"), F.col("movieId").cast("long"))))
-    weighted = shared_table(graph.edge_weights(g["links"]), "weights") if config.num_layers else None
-    nodes = g["users"].select("node").unionAll(g["movies"].select("node"))
-    zero = F.array_repeat(F.lit(0.0), config.embedding_dim)
-    state = shared_table(_start(nodes, "node", config.embedding_dim, config.random_seed, 0.1).select("node", F.col("vec").alias("p"), zero.alias("m"), zero.alias("v")), "embeddings")
-    size, lr = config.batch_size or g["likes"], config.learning_rate
-
-    def spread(components: DataFrame) -> DataFrame:
-        return graph.propagate(components, g["links"], config.num_layers, weighted)
-
-    def propagated() -> DataFrame:
-        own = state.select("node", F.col("p").alias("vec"))
-        return own if not config.num_layers else shared_table(graph.as_vectors(spread(graph.as_components(own))), "propagated")
-
-    def loss(x: DataFrame) -> float:
-        return graph.ranking_loss(_with_vectors(monitor, x).select(F.col("gap").alias("positive"), F.lit(0.0).alias("negative"))).first().loss
-
-    monitor = shared_table(_of_nodes(g, graph.sample_triples(g, size, config.random_seed + 2)), "monitor")
-    x = propagated()
-    before, history, kept = loss(x), [], {}
-    for t in range(1, config.steps + 1):
-        triples = shared_table(_of_nodes(g, graph.sample_triples(g, size, config.random_seed + 1000 * t)), "step")
-        grad = graph.as_vectors(pairwise_gradient(triples, x, size, spread)).withColumnRenamed("vec", "g")
-        drawn = triples.select(F.explode(F.array("u", "i", "j")).alias("node")).groupBy("node").agg((F.count(F.lit(1)) * F.lit(config.l2_weight / size)).alias("pull"))
-        both = state.join(grad, "node", "left").join(drawn, "node", "left").withColumn("g", F.zip_with(F.coalesce("g", zero), "p", lambda d, p: d + F.coalesce("pull", F.lit(0.0)) * p))
-        both = both.withColumn("m", F.zip_with("m", "g", lambda m, d: 0.9 * m + 0.1 * d)).withColumn("v", F.zip_with("v", "g", lambda v, d: 0.999 * v + 0.001 * d * d))
-        move = _adam_move("m", "v", lr, t)
-        state = shared_table(both.select("node", F.zip_with("p", move, lambda p, d: p - d).alias("p"), "m", "v"), "embeddings")
-        x = propagated()
+    likes = shared_table(edges.select(F.col("userId").cast("long").alias("a"), F.col("movieId").cast("long").alias("b")).distinct(), "likes")
+    n, missing, users, movies = likes.agg(F.count(F.lit(1)), F.count_if(F.col("a").isNull() | F.col("b").isNull()), F.count_distinct("a"), F.count_distinct("b")).first()
+    if not n or missing or n == users * movies:
+        drop_table(likes)
+        raise ValueError("edges are empty, lack ids, or leave no movie that isn't liked")
+    d, layers, blocks = config.width, config.layers, strata.blocks_for(users, movies, config.block_nodes)
+    each = math.ceil(n / config.batch_size) if config.batch_size else 1  # steps of a whole sweep
+    rows = likes.withColumn("y", F.lit(0.0))
+    first = shared_table(strata.start_nodes(_sides(likes), d, config.random_seed, 0.1, lambda x: x), "embeddings")
+    spread = strata.Spread(shared_table(strata.weighted_edges(likes), "weights"), blocks) if layers else None
+    mean_of = [1 / (layers + 1)] * (layers + 1)
+    twice = np.convolve(mean_of, mean_of).tolist()
+    nodes = shared_table(strata.changed(spread.polynomial(first, mean_of) if layers else first, _with_zeros(d, again=layers > 0)), "parameters")
+    drop_table(first)
+
+    def both(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return strata.vectors_of(own, strata.USER, "userId", 0, d), strata.vectors_of(own, strata.MOVIE, "movieId", 0, d)
+
+    def loss(own: DataFrame) -> float:
+        same, met = strata.sweep(own, rows, blocks, config.random_seed + 2, strata.pairwise_loss(d))
+        drop_table(same)
+        return met
+
+    def propagated(after: DataFrame) -> DataFrame:
+        moved = shared_table(strata.changed(after, lambda s: s[:, :d] - s[:, 3 * d + 1 :]), "moved")
+
+        def apply(s: np.ndarray, z: np.ndarray) -> np.ndarray:
+            s[:, :d] = s[:, 3 * d + 1 :] = s[:, 3 * d + 1 :] + z
+            return s
+
+        out = shared_table(strata.joined(after, spread.polynomial(moved, twice), apply), "parameters")
+        drop_table(moved)
+        drop_table(after)
+        return out
+
+    before, history, kept, t, k, early = loss(nodes), [], Kept(nodes), 0, 0, False
+    while True:
         if validate and (t % config.validation_interval == 0 or t == config.steps):
-            history.append((t, validate(*graph.split_vectors(x, g), t)))
-            kept[t] = x
-            if stop_early(history, config.patience, config.smoothing)[1]:
-                break
-    best, early = stop_early(history, config.patience, config.smoothing) if history else (t, False)
-    x = kept.get(best, x)
-    users, movies = graph.split_vectors(x, g)
-    return {"users": users, "movies": movies, "losses": (before, loss(x)), "best": best, "stopped": t, "early": early, "history": history}
+            history.append((t, validate(*both(kept.now), t)))
+            best, early = stop_early(history, config.patience, config.smoothing)
+            kept.hold(t, best)
+        if early or t == config.steps:
+            break
+        stop = min(config.steps, t + each, (t // config.validation_interval + 1) * config.validation_interval if validate else config.steps)
+        k += 1
+        after, _ = strata.sweep(kept.now, rows, blocks, config.random_seed + 1000 * k, strata.pairwise_steps(d, config.batch_size, config.learning_rate, config.decay, (stop - t) / each))
+        kept.replace(propagated(after) if layers else after)
+        t = stop
+    best = stop_early(history, config.patience, config.smoothing)[0] if history else t
+    own = kept.finish(best)
+    after = loss(own)
+    for table in [likes, *([spread.edges] if layers else [])]:
+        drop_table(table)
+    users, movies = both(own)
+    return {"users": users, "movies": movies, "losses": (before, after), "best": best, "stopped": t, "early": early, "history": history}
 
 
 def train_graph_models(edges: DataFrame, configs: dict[str, GraphConfig]) -> DataFrame:

@@ -431,7 +431,7 @@ def ranking_loss(d: DemoTables) -> DataFrame:
 def als_factors(d: DemoTables) -> DataFrame:
     from duolist.config import AlsConfig
 
-    fit = models.train_als(d.warm_edges, AlsConfig(factors=8, iterations=2))
+    fit = models.train_als(d.warm_edges, AlsConfig(factors=8, iterations=5))
     return fit["users"].select(F.col("userId").alias("id"), F.lit("user").alias("kind"), "vec").unionAll(fit["movies"].select("movieId", F.lit("movie"), "vec"))
 
 
@@ -440,7 +440,7 @@ def biased_mf_scores(d: DemoTables) -> DataFrame:
     from duolist.config import BiasedMfConfig
 
     train = d.train.select("userId", "movieId", "rating")
-    model = models.train_biased_mf(train, BiasedMfConfig(factors=4, epochs=2, steps_per_epoch=2, learning_rate=0.05))
+    model = models.train_biased_mf(train, BiasedMfConfig(factors=8, epochs=4, learning_rate=0.05))
     return models.predict_biased_mf(train.select("userId", "movieId"), model)
 
 
@@ -448,8 +448,8 @@ def biased_mf_scores(d: DemoTables) -> DataFrame:
 def graph_model_vectors(d: DemoTables) -> DataFrame:
     from duolist.config import GraphConfig
 
-    # a step draws as many triples as there are likes, so work grows with the table
-    grid = {"matrix factorisation": GraphConfig(num_layers=0, steps=2, batch_size=None), "propagated": GraphConfig(num_layers=2, steps=2, batch_size=None)}
+    # a sweep uses every like once, so work grows with the table
+    grid = {"matrix factorisation": GraphConfig(layers=0, width=16, steps=60, batch_size=512), "propagated": GraphConfig(layers=2, width=16, steps=60, batch_size=512)}
     return models.train_graph_models(d.warm_edges, grid)
 
 

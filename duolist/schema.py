@@ -55,6 +55,14 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the files behind a table that shared_table() wrote; nothing may read it afterwards."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def dense_index(df: DataFrame, order: list[str], as_name: str) -> DataFrame:
     """Adds 0, 1, 2, ... in the order of some columns, without a sort in one task.
 

@@ -29,7 +29,7 @@ def test_selection(demo):
     d, context = demo
     best, found = experiments.select_neighbours(context, d.warm_edges, [(5, 10.0), (50, 10.0)])
     assert best in found and len(found) == 2
-    best, found = experiments.select_graph_model(context, d.warm_edges, {"mf": GraphConfig(num_layers=0, steps=5), "graph": GraphConfig(steps=5)}, (0.0, 1.0))
+    best, found = experiments.select_graph_model(context, d.warm_edges, {"mf": GraphConfig(layers=0, steps=5), "graph": GraphConfig(steps=5)}, (0.0, 1.0))
     assert best in found and len(found) == 4
 
 

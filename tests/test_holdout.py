@@ -27,7 +27,7 @@ def test_a_frozen_run_is_evaluated_once(spark, demo, tmp_path):
     assert notes["members"] == 60 and notes["similarity"]["count"] == 30
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):  # nothing is trained
         holdout.evaluate_once(spark, path, demo.ratings)
-    made = holdout.train(spark, path, demo.ratings, GraphConfig(steps=3, validation_interval=1, patience=1, smoothing=1, num_layers=1, embedding_dim=4), 5)
+    made = holdout.train(spark, path, demo.ratings, GraphConfig(steps=3, validation_interval=1, patience=1, smoothing=1, layers=1, width=4), 5)
     assert set(made["validation"]) == set(holdout.METHODS)
     if made["status"] != "frozen":
         with pytest.raises(RuntimeError, match="longer"):

@@ -1,8 +1,12 @@
+import os
+
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from duolist.config import AlsConfig, BiasedMfConfig, GraphConfig, PrepConfig
-from duolist.operators import graph, models
+from duolist.operators import graph, models, strata
 
 LIKES = [(1, 10), (1, 20), (2, 10), (2, 30), (3, 20), (3, 40)]
 TOY = [(10, 100), (10, 200), (20, 200), (20, 300), (30, 100), (30, 400), (40, 300), (40, 500)]
@@ -67,21 +71,104 @@ def test_biased_mf_learns(spark):
 
 
 def test_graph_training_learns_and_repeats(spark):
-    configs = {"mf": GraphConfig(num_layers=0, steps=4, batch_size=None), "graph": GraphConfig(num_layers=2, steps=4, batch_size=32)}
+    configs = {"mf": GraphConfig(layers=0, steps=4, batch_size=None), "graph": GraphConfig(layers=2, steps=4, batch_size=32)}
     a, b = (sorted((r.run, r.kind, r.id, tuple(np.round(r.vec, 9)), round(r.loss_before, 9), round(r.loss_after, 9)) for r in models.train_graph_models(edges(spark, TOY), configs).collect()) for _ in range(2))
     assert a == b and len(a) == 18 and all(r[5] < r[4] for r in a)
 
 
 def test_graph_training_stops_early_and_keeps_the_best(spark):
-    values = iter([0.1, 0.5, 0.2, 0.1, 0.9])
+    values = iter([0.0, 0.1, 0.5, 0.2, 0.1, 0.9])
     seen = []
 
     def validate(users, movies, step):
         seen.append((step, users.count(), movies.count()))
         return (v := next(values)), v
 
-    fit = models.train_graph_model(edges(spark, TOY), GraphConfig(num_layers=1, steps=5, embedding_dim=4, validation_interval=1, patience=2, smoothing=1), validate)
-    assert (fit["best"], fit["stopped"], fit["early"]) == (2, 4, True) and seen == [(i, 4, 5) for i in range(1, 5)]
+    fit = models.train_graph_model(edges(spark, TOY), GraphConfig(layers=1, steps=5, width=4, validation_interval=1, patience=2, smoothing=1), validate)
+    assert (fit["best"], fit["stopped"], fit["early"]) == (2, 4, True) and seen == [(i, 4, 5) for i in range(5)]
+
+
+def plain_adam(state, grads, rate):
+    """A step of some rows, one by one. state: row -> [x, m, v, n]."""
+    for row, g in grads.items():
+        x, m, v, n = state[row]
+        m, v, n = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, n + 1
+        state[row] = [x - rate * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.999**n)) + 1e-8), m, v, n]
+
+
+def block_of(spark, seed, ids, blocks):
+    rows = spark.createDataFrame([(i,) for i in ids], "id long").select("id", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(blocks))).collect()
+    return dict(map(tuple, rows))
+
+
+@pytest.mark.parametrize("layers, block_nodes", [(0, 100), (0, 3), (2, 100), (2, 3)])
+def test_strata_equal_a_plain_loop(spark, layers, block_nodes):
+    """The same steps, one like after the other in memory, over dense matrices; several blocks are taken one after the other."""
+    rng = np.random.default_rng(7)
+    likes = sorted({(int(u), int(m)) for u, m in zip(rng.integers(0, 9, 30), rng.integers(100, 108, 30), strict=True)})
+    config = GraphConfig(layers=layers, steps=6, batch_size=4, width=3, block_nodes=block_nodes, learning_rate=0.1, decay=0.01, random_seed=11)
+    fit = models.train_graph_model(edges(spark, likes), config)
+    users, movies = sorted({u for u, _ in likes}), sorted({m for _, m in likes})
+    nodes = [(0, u) for u in users] + [(1, m) for m in movies]
+    blocks, each = max(1, -(-max(len(users), len(movies)) // block_nodes)), -(-len(likes) // 4)
+    assert blocks == (1 if block_nodes == 100 else 3)
+    place = {n: i for i, n in enumerate(nodes)}
+    a = np.zeros((len(nodes), len(nodes)))
+    for u, m in likes:
+        a[place[0, u], place[1, m]] = a[place[1, m], place[0, u]] = 1 / np.sqrt(sum(x == u for x, _ in likes) * sum(y == m for _, y in likes))
+    s = sum(np.linalg.matrix_power(a, k) for k in range(layers + 1)) / (layers + 1)
+    x = s @ np.array([np.random.default_rng([11, k, i]).normal(0, 0.1, 3) for k, i in nodes])
+    state = {n: [x[i], np.zeros(3), np.zeros(3), 0] for i, n in enumerate(nodes)}
+    t = sweep = 0
+    while t < 6:
+        stop, sweep = min(6, t + each), sweep + 1
+        seed, before = 11 + 1000 * sweep, {n: v[0] for n, v in state.items()}
+        ub, mb = block_of(spark, 2 * seed, users, blocks), block_of(spark, 2 * seed + 1, movies, blocks)
+        for stratum in range(blocks):
+            for key in range(blocks):
+                own = [m for m in movies if (mb[m] - stratum) % blocks == key]
+                rows = [(u, m) for u, m in likes if ub[u] == key and m in own]
+                if not rows:
+                    continue
+                r = np.random.default_rng([seed, stratum, key])
+                order = r.permutation(len(rows))[: int(np.ceil((stop - t) / each * len(rows)))]
+                inside = [u for u in users if ub[u] == key]
+                codes = np.array(sorted(inside.index(u) * len(own) + own.index(m) for u, m in rows))
+                for at in range(0, len(order), 4):
+                    batch = [rows[o] for o in order[at : at + 4]]
+                    drawn = strata.draw_unliked(np.array([inside.index(u) for u, _ in batch]), codes, len(own), r)
+                    triples = [(u, i, own[j]) for (u, i), j in zip(batch, drawn, strict=True) if j >= 0]
+                    assert all((u, j) not in likes for u, _, j in triples)
+                    grads = {}
+                    for u, i, j in triples:
+                        xu, xi, xj = (state[n][0] for n in ((0, u), (1, i), (1, j)))
+                        g = -1 / (1 + np.exp(xu @ (xi - xj))) / len(triples)
+                        for n, d in (((0, u), g * (xi - xj)), ((1, i), g * xu), ((1, j), -g * xu)):
+                            grads[n] = grads.get(n, 0) + d + 0.01 / len(triples) * state[n][0]
+                    plain_adam(state, grads, 0.1)
+        if layers:
+            moved = s @ s @ np.array([state[n][0] - before[n] for n in nodes])
+            for i, n in enumerate(nodes):
+                state[n][0] = before[n] + moved[i]
+        t = stop
+    got = {(0, r.userId): r.vec for r in fit["users"].collect()} | {(1, r.movieId): r.vec for r in fit["movies"].collect()}
+    assert got.keys() == state.keys() and all(np.allclose(got[n], state[n][0], atol=1e-9) for n in nodes)
+
+
+def test_training_leaves_only_its_result(spark):
+    from duolist.schema import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    fit = models.train_graph_model(edges(spark, TOY), GraphConfig(layers=1, steps=6, batch_size=4, width=4, validation_interval=2), lambda u, m, t: (float(t), 0.0))
+    assert fit["best"] == 6 and len(set(os.listdir(folder)) - before) == 1 and fit["users"].count() == 4
+
+
+def test_negatives_are_unliked_even_where_few_are_left():
+    likes = np.array([0, 1, 2, 4, 5, 6, 8, 10, 11])  # of four movies users 0 and 1 lack the last, user 2 the second
+    drawn = strata.draw_unliked(np.repeat([0, 1, 2], 50), likes, 4, np.random.default_rng(0), rounds=1)
+    assert drawn.tolist() == [3] * 100 + [1] * 50
+    assert strata.draw_unliked(np.array([0, 1]), np.array([0, 1, 2, 3, 5]), 4, np.random.default_rng(0), rounds=0)[0] == -1
 
 
 def test_gradient_matches_differences(spark):
@@ -130,7 +217,7 @@ def test_minibatches_reach_what_a_plain_loop_reaches(spark):
     held = [r for r in data if (r[0] * 7 + r[1] * 3) % 10 == 0]
     train = [r for r in data if (r[0] * 7 + r[1] * 3) % 10]
     df = spark.createDataFrame(train, "userId long, movieId long, rating double")
-    fit = models.train_biased_mf(df, BiasedMfConfig(factors=2, epochs=4, steps_per_epoch=3, learning_rate=0.1))
+    fit = models.train_biased_mf(df, BiasedMfConfig(factors=2, epochs=4, batch_size=225, learning_rate=0.1))
     asked = spark.createDataFrame(held, "userId long, movieId long, rating double")
     error = np.sqrt(np.mean([(r.score - r.rating) ** 2 for r in models.predict_biased_mf(asked, fit).collect()]))
     plain = np.sqrt(np.mean([(r[2] - np.mean([x[2] for x in train])) ** 2 for r in held]))
@@ -138,7 +225,7 @@ def test_minibatches_reach_what_a_plain_loop_reaches(spark):
 
 
 def test_configs():
-    for bad in (lambda: AlsConfig(factors=0), lambda: AlsConfig(alpha=float("inf")), lambda: BiasedMfConfig(regularization=-1), lambda: GraphConfig(num_layers=-1)):
+    for bad in (lambda: AlsConfig(factors=0), lambda: AlsConfig(alpha=float("inf")), lambda: BiasedMfConfig(regularization=-1), lambda: GraphConfig(layers=-1)):
         with pytest.raises(ValueError):
             bad()
     with pytest.raises(TypeError):
