@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duolist.config import PrepConfig
@@ -114,10 +116,22 @@ def seen_by_pair(pairs: DataFrame, seen: DataFrame) -> DataFrame:
     return pair_members(pairs).join(seen, "userId").select("pairId", "movieId").distinct()
 
 
-def against_all(asking: DataFrame, rows: DataFrame, key: str, blocks: int = 64) -> DataFrame:
-    """Each row of asking with each row of rows, which go in blocks by their key: tasks stay even, and nothing is broadcast."""
-    dealt = rows.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks)))
-    return asking.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "__block").drop("__block")
+def against_all(asking: DataFrame, rows: DataFrame, key: str, asking_block: int = 2048, rows_block: int = 2048) -> DataFrame:
+    """Each row of asking with each row of rows, block by block.
+
+    Both sides are dealt by hash into as many blocks as their sizes ask for, and every block of one meets every block of the other
+    under a key of its own: tasks stay even and of bounded size, and their number grows with both sides. Nothing is broadcast.
+    """
+    ablocks, rblocks = (max(1, math.ceil(df.count() / size)) for df, size in ((asking, asking_block), (rows, rows_block)))
+
+    def every(size: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+
+    left = asking.withColumn("__a", F.pmod(F.xxhash64(*asking.columns), F.lit(ablocks)).cast("int")).withColumn("__r", every(rblocks))
+    right = rows.withColumn("__r", F.pmod(F.xxhash64(key), F.lit(rblocks)).cast("int")).withColumn("__a", every(ablocks))
+    # a number of partitions of its own, as bytes don't tell how many rows will come out
+    left, right = (df.repartition(ablocks * rblocks, "__a", "__r") for df in (left, right))
+    return left.join(right.hint("shuffle_hash"), ["__a", "__r"]).drop("__a", "__r")
 
 
 def pair_candidates(pairs: DataFrame, catalog: DataFrame, seen: DataFrame) -> DataFrame:

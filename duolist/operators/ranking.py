@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duolist.functions import clip, genre_list, percentile_rank
+from duolist.operators import ranks
 from duolist.operators.checks import check_ratings
-from duolist.operators.cohorts import against_all, seen_by_pair
-from duolist.schema import assert_unique, require_columns
+from duolist.operators.cohorts import pair_members
+from duolist.schema import assert_unique, require_columns, shared_table
 
 ORDER = ("groupScore", "minimumScore", "averageScore")
 #: Genres of the onboarding list, in the order they take turns.
@@ -59,22 +60,30 @@ def recommend_from_scores(pairs: DataFrame, scores: DataFrame, catalog: DataFram
 
     What either member has seen goes before scores are normalised.
     """
-    candidates = against_all(pairs.select("pairId", "userA", "userB"), catalog.select("movieId"), "movieId").join(seen_by_pair(pairs, seen), ["pairId", "movieId"], "left_anti")
-    a = scores.select(F.col("userId").alias("userA"), "movieId", F.col("score").alias("sa"))
-    b = scores.select(F.col("userId").alias("userB"), "movieId", F.col("score").alias("sb"))
-    both = candidates.join(a, ["userA", "movieId"], "left").join(b, ["userB", "movieId"], "left")
-    filled = both.select("pairId", "userA", "userB", "movieId", F.coalesce("sa", F.lit(0.0)).alias("scoreA"), F.coalesce("sb", F.lit(0.0)).alias("scoreB"))
-    return top_k(group_scores(normalize_scores(filled), conflict_weight), k)
+    return lists_from_scores(pairs, scores, catalog, seen, [conflict_weight], k).drop("conflictWeight")
+
+
+def lists_from_scores(pairs: DataFrame, scores: DataFrame, catalog: DataFrame, seen: DataFrame, weights: list[float | None], k: int = 10) -> DataFrame:
+    """recommend_from_scores() for several conflict weights in one pass, with a column conflictWeight (null: product)."""
+    index = ranks.numbered(catalog)
+    members = pair_members(pairs).select("userId").distinct()
+    return ranks.lists_for_weights(pairs, shared_table(ranks.ranks_from_scores(members, scores, index), "ranks"), index, seen, weights, k)
 
 
 def recommend_from_vectors(pairs: DataFrame, users: DataFrame, items: DataFrame, seen: DataFrame, conflict_weight: float | None = 0.65, k: int = 10) -> DataFrame:
-    """Lists from inner products. users: userId, vec; items: movieId, vec. Pairs without candidates get no rows."""
-    from duolist.functions import dot
+    """Lists from inner products. users: userId, vec; items: movieId, vec. Pairs without candidates get no rows.
+
+    KeyError that names members without a vector.
+    """
+    return lists_from_vectors(pairs, users, items, seen, [conflict_weight], k).drop("conflictWeight")
+
 
-    with_vectors = pairs.select("pairId", "userA", "userB").join(users.select(F.col("userId").alias("userA"), F.col("vec").alias("va")), "userA").join(users.select(F.col("userId").alias("userB"), F.col("vec").alias("vb")), "userB")
-    candidates = against_all(with_vectors, items.select("movieId", "vec"), "movieId").join(seen_by_pair(pairs, seen), ["pairId", "movieId"], "left_anti")
-    scored = candidates.select("pairId", "userA", "userB", "movieId", dot("va", "vec").alias("scoreA"), dot("vb", "vec").alias("scoreB"))
-    return top_k(group_scores(normalize_scores(scored), conflict_weight), k)
+def lists_from_vectors(pairs: DataFrame, users: DataFrame, items: DataFrame, seen: DataFrame, weights: list[float | None], k: int = 10) -> DataFrame:
+    """recommend_from_vectors() for several conflict weights in one pass, with a column conflictWeight (null: product)."""
+    index = ranks.numbered(items)
+    members = pair_members(pairs).select("userId").distinct()
+    own = users.join(members, "userId", "left_semi").select("userId", "vec")
+    return ranks.lists_for_weights(pairs, shared_table(ranks.ranks_from_vectors(own, items, index), "ranks"), index, seen, weights, k)
 
 
 def movie_catalog(movies: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -129,6 +129,9 @@ _SELECT = {
     "group_linear": _top("0.35 * (qA + qB) / 2 + 0.65 * least(qA, qB)"),
     "group_average": _top("(qA + qB) / 2"),
     "group_least_misery": _top("least(qA, qB)"),
+    "conflict_weights": """SELECT pairId, movieId, twentieths, rank, round(g, 11) AS group_score FROM (
+        SELECT *, row_number() OVER (PARTITION BY pairId, twentieths ORDER BY round(g, 12) DESC, round(least(qA, qB), 12) DESC, round((qA + qB) / 2, 12) DESC, movieId) AS rank FROM (
+            SELECT pairId, movieId, qA, qB, i AS twentieths, CASE WHEN i < 0 THEN sqrt(qA * qB) ELSE (1 - i / 20) * ((qA + qB) / 2) + i / 20 * least(qA, qB) END AS g FROM q CROSS JOIN (SELECT i - 1 AS i FROM range(22) t(i)))) WHERE rank <= 10""",
     "group_nash": _top("sqrt(qA * qB)"),
     "edge_weights": "SELECT source, target, round(weight, 9) AS weight FROM weighted",
     "propagate_once": "SELECT node, round(value, 6) AS value FROM layer1",

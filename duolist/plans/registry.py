@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duolist.functions import dot
-from duolist.operators import checks, cohorts, evaluation, graph, models, pairs, ranking
+from duolist.operators import checks, cohorts, evaluation, graph, models, pairs, ranking, ranks
 from duolist.plans import oracle
 from duolist.schema import shared_table
 from duolist.sources.sinks import content_digest
@@ -274,17 +274,18 @@ def item_knn_scores(d: DemoTables) -> DataFrame:
     return models.neighbour_scores(d.warm_edges, _neighbours(d), 100).withColumn("score", F.round("score", 5))
 
 
-def _normalized(d: DemoTables) -> DataFrame:
-    s = _scored(d)
-    candidates = cohorts.pair_candidates(d.pairs, d.catalog, d.seen).join(d.pairs, "pairId")
-    a, b = (s.select(F.col("userId").alias(f"user{m}"), "movieId", F.col("score").alias(f"s{m}")) for m in "AB")
-    both = candidates.join(a, ["userA", "movieId"], "left").join(b, ["userB", "movieId"], "left")
-    return ranking.normalize_scores(both.select("pairId", "movieId", F.coalesce("sA", F.lit(0.0)).alias("scoreA"), F.coalesce("sB", F.lit(0.0)).alias("scoreB")))
+@query
+def percentile_scores(d: DemoTables) -> DataFrame:
+    index = ranks.numbered(d.catalog)
+    held = shared_table(ranks.ranks_from_scores(d.members, _scored(d), index), "ranks")
+    return ranks.pair_percentiles(d.pairs, held, index, d.seen).select("pairId", "movieId", _r("q_a", of="qA"), _r("q_b", of="qB"))
 
 
 @query
-def percentile_scores(d: DemoTables) -> DataFrame:
-    return _normalized(d).select("pairId", "movieId", _r("q_a", of="qA"), _r("q_b", of="qB"))
+def conflict_weights(d: DemoTables) -> DataFrame:
+    """The lists of 21 conflict weights and of the product, from one pass."""
+    found = ranking.lists_from_scores(d.pairs, _scored(d), d.catalog, d.seen, [i / 20 for i in range(21)] + [None], 10)
+    return found.select("pairId", "movieId", F.coalesce(F.round(F.col("conflictWeight") * 20).cast("long"), F.lit(-1)).alias("twentieths"), F.col("rank").cast("long").alias("rank"), _r("group_score", 11, "groupScore"))
 
 
 def _lists(d: DemoTables, weight: float | None) -> DataFrame:
