@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duolist.operators.cohorts import pair_members, seen_by_pair
-from duolist.schema import assert_unique, require_columns
+from duolist.operators.statistics import quantiles, resampled_means
+from duolist.schema import assert_unique, require_columns, shared_table
 
 
 def relevant_items(events: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -94,27 +95,16 @@ def paired_differences(metrics: DataFrame, method_a: str, method_b: str, metric:
 def paired_bootstrap(metrics: DataFrame, method_a: str, method_b: str, metric: str, resamples: int = 10_000, seed: int = 20_260_828) -> DataFrame:
     """One row: mean difference over common pairs, percentile 95% interval and share above 0 of resampled means.
 
-    Pairs are weighed, not drawn: each gets, by hash, a Poisson(1) weight in every resample, so all resamples are grouped sums
-    over the pairs and no task holds all pairs.
+    A resample draws as many pairs as there are, with replacement; see resampled_means. ValueError if no pair is common.
     """
-    diffs = paired_differences(metrics, method_a, method_b, metric)
+    diffs = shared_table(paired_differences(metrics, method_a, method_b, metric), "differences")
     n, mean = diffs.agg(F.count(F.lit(1)), F.avg("difference")).first()
     if not n:
         raise ValueError("the methods have no pair in common")
-
-    def weights(frames):
-        lam = np.cumsum(np.exp(-1) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320]))
-        total, weight = np.zeros(resamples), np.zeros(resamples)
-        for f in frames:
-            for p, d in zip(f["pairId"], f["difference"], strict=True):
-                w = np.searchsorted(lam, np.random.default_rng([seed, int(p)]).random(resamples))
-                total += w * d
-                weight += w
-        yield pd.DataFrame({"i": range(resamples), "t": total, "w": weight})
-
-    means = diffs.mapInPandas(weights, "i long, t double, w double").groupBy("i").agg(F.sum("t").alias("t"), F.sum("w").alias("w")).where("w > 0").select((F.col("t") / F.col("w")).alias("m"))
-    out = means.agg(F.percentile("m", 0.025).alias("ci95Lower"), F.percentile("m", 0.975).alias("ci95Upper"), F.avg((F.col("m") > 0).cast("double")).alias("bootstrapProbabilityAboveZero"))
-    return out.select(F.lit(method_a).alias("methodA"), F.lit(method_b).alias("methodB"), F.lit(metric).alias("metric"), F.lit(n).alias("commonPairs"), F.lit(mean).alias("meanDifferenceAminusB"), "ci95Lower", "ci95Upper", "bootstrapProbabilityAboveZero", F.lit(resamples).alias("resamples"), F.lit(seed).alias("randomSeed"))
+    means = shared_table(resampled_means(diffs, resamples, seed), "means")
+    low, high = quantiles(means, "m", [0.025, 0.975])
+    out = means.agg(F.avg((F.col("m") > 0).cast("double")).alias("bootstrapProbabilityAboveZero"))
+    return out.select(F.lit(method_a).alias("methodA"), F.lit(method_b).alias("methodB"), F.lit(metric).alias("metric"), F.lit(n).alias("commonPairs"), F.lit(mean).alias("meanDifferenceAminusB"), F.lit(low).alias("ci95Lower"), F.lit(high).alias("ci95Upper"), "bootstrapProbabilityAboveZero", F.lit(resamples).alias("resamples"), F.lit(seed).alias("randomSeed"))
 
 
 def subgroup_summary(metrics: DataFrame, bands: DataFrame, band: str, k: int = 10) -> DataFrame:

@@ -44,16 +44,21 @@ def recommend_popular(pairs: DataFrame, catalog: DataFrame, seen: DataFrame, k:
 def co_counts(likes: DataFrame, block: int = USER_BLOCK) -> DataFrame:
     """(src, cand, n): in how many users' likes both movies are, src below cand. likes: distinct userId, movieId.
 
-    A user with very many likes is cut into blocks by movie, and each pair of blocks meets for itself, so no key of the join has
-    more than two blocks of rows.
+    A user's likes meet in one row, without a join. A user with more than `block` of them is cut into blocks by movie, and each
+    pair of blocks meets for itself, so no key holds more than two blocks of rows.
     """
-    parts = likes.groupBy("userId").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    cut = likes.join(parts, "userId").withColumn("part", F.pmod(F.xxhash64("movieId"), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = cut.select("userId", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "movieId", "part")
-    a, b = (dealt.select("userId", "low", "high", F.col("movieId").alias(f"m{x}"), F.col("part").alias(f"p{x}")) for x in "ab")
-    within, across = (F.col("low") == F.col("high")) & (F.col("ma") < F.col("mb")), (F.col("low") < F.col("high")) & (F.col("pa") == F.col("low")) & (F.col("pb") == F.col("high"))
-    met = a.join(b, ["userId", "low", "high"]).where(within | across)
-    return met.groupBy(F.least("ma", "mb").alias("src"), F.greatest("ma", "mb").alias("cand")).agg(F.count(F.lit(1)).alias("n"))
+    likes = likes.select("userId", "movieId")
+    heavy = shared_table(likes.groupBy("userId").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts")).where("parts > 1"), "heavy")
+    lists = likes.join(heavy, "userId", "left_anti").groupBy("userId").agg(F.sort_array(F.collect_list("movieId")).alias("m"))
+    own = lists.select(F.posexplode("m").alias("i", "src"), "m").select("src", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("cand"))
+    if not heavy.isEmpty():
+        cut = likes.join(heavy, "userId").withColumn("part", F.pmod(F.xxhash64("movieId"), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = cut.select("userId", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "movieId", "part")
+        a, b = (dealt.select("userId", "low", "high", F.col("movieId").alias(f"m{x}"), F.col("part").alias(f"p{x}")) for x in "ab")
+        within, across = (F.col("low") == F.col("high")) & (F.col("ma") < F.col("mb")), (F.col("low") < F.col("high")) & (F.col("pa") == F.col("low")) & (F.col("pb") == F.col("high"))
+        met = a.join(b, ["userId", "low", "high"]).where(within | across)
+        own = own.unionAll(met.select(F.least("ma", "mb"), F.greatest("ma", "mb")))
+    return own.groupBy("src", "cand").agg(F.count(F.lit(1)).alias("n"))
 
 
 def item_neighbours(edges: DataFrame, max_neighbors: int = 100, shrinkage: float = 0.0, block: int = USER_BLOCK) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duolist.config import PrepConfig
 from duolist.functions import genre_list, hash_order, pearson
+from duolist.operators.statistics import quantiles
 from duolist.schema import dense_index, shared_table
 
 
@@ -113,9 +114,10 @@ def dissimilar_pairs(features: DataFrame, config: PrepConfig) -> tuple[DataFrame
     """(pairs, summary): eligible pairs low in both similarities, each user in a few at most; ValueError if none is eligible."""
     eligible = features.where((F.col("coRatedTrain") >= config.pair_min_co_rated) & F.col("ratingCorrelation").isNotNull())
     q = config.pair_similarity_quantile
-    n, genre, rating = eligible.agg(F.count(F.lit(1)), F.percentile("genreSimilarity", q), F.percentile("ratingCorrelation", q)).first()
+    n = eligible.count()
     if not n:
         raise ValueError("no pair is eligible")
+    (genre,), (rating,) = (quantiles(eligible, c, [q]) for c in ("genreSimilarity", "ratingCorrelation"))
     low = eligible.where((F.col("genreSimilarity") <= genre) & (F.col("ratingCorrelation") <= rating))
     keyed = dense_index(low.withColumn("__h", hash_order(config.random_seed, "userA", "userB")), ["__h", "userA", "userB"], "pairId").drop("__h")
     chosen = greedy_pairs(keyed, "pairId", config.max_pairs_per_user)
@@ -127,7 +129,7 @@ def dissimilar_pairs(features: DataFrame, config: PrepConfig) -> tuple[DataFrame
 def describe(df: DataFrame, column: str) -> DataFrame:
     """One row: count, mean, sample deviation, least, quartiles (interpolated) and greatest of a column; missing values don't count."""
     c = F.col(f"`{column}`")
-    quartiles = [F.percentile(c, q).alias(n) for q, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
+    quartiles = [F.lit(q).cast("double").alias(n) for q, n in zip(quantiles(df, c, [0.25, 0.5, 0.75]), ("q25", "q50", "q75"), strict=True)]
     return df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *quartiles, F.max(c).alias("max"))
 
 
@@ -139,7 +141,7 @@ def evaluated_members(pairs: DataFrame, first: int = 100, disjoint: int = 500) -
 
 def band_rule(development: DataFrame) -> dict[str, float]:
     """Lower and upper tertile of genreSimilarity, interpolated."""
-    lower, upper = development.agg(F.percentile("genreSimilarity", 1 / 3), F.percentile("genreSimilarity", 2 / 3)).first()
+    lower, upper = quantiles(development, "genreSimilarity", [1 / 3, 2 / 3])
     return {"lower": lower, "upper": upper}
 
 
@@ -180,7 +182,7 @@ def conflict_bands(features: DataFrame) -> DataFrame:
     if not features.where("genreSimilarity is null or ratingCorrelation is null").isEmpty():
         raise ValueError("some pairs lack a similarity")
     ranked = conflict_scores(features)
-    low, high = ranked.agg(F.percentile("conflictScore", 1 / 3), F.percentile("conflictScore", 2 / 3)).first()
+    low, high = quantiles(ranked, "conflictScore", [1 / 3, 2 / 3])
     if low == high:
         raise ValueError("the tertiles of the conflict score coincide")
     s = F.col("conflictScore")

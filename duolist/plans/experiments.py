@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +55,7 @@ class Context:
             raise ValueError("the period is validation or test")
         members = cohorts.pair_members(pair_rows).select("userId").distinct()
         history = ("train",) if period == "validation" else ("train", "validation")
-        self.pairs, self.catalog = pair_rows, catalog
+        self.pairs, self.catalog, self.period = pair_rows, catalog, period
         self.seen = shared_table(cohorts.seen_items(split, members, history), "seen")
         self.events = cohorts.positive_events(split, period, members)
         self.relevant = shared_table(evaluation.pair_relevant_items(pair_rows, self.events, catalog, self.seen), "relevant")
@@ -140,6 +141,89 @@ def select_biased_mf(context: Context, ratings: DataFrame, configs: dict[str, Bi
     return best_run(found.items()), found
 
 
+RUN_NAME = re.compile("[a-z][a-z0-9_]*")
+
+
+def conflict_grid(context: Context, users: DataFrame, movies: DataFrame, weights: Iterable[float], k: int = 10, prefix: str = "graph", resamples: int = 10_000, seed: int = 20_260_828) -> dict[str, object]:
+    """Popularity and one model's lists at a grid of conflict weights, compared with each other.
+
+    lists, metrics: of all methods. summaries: (method, ...). diagnostics: how far each method's lists are from those of the average
+    (weight 0). tied: methods with the best mean minimum NDCG; selected: that of them with the best mean average NDCG, the first
+    of several. bootstrap: average against popularity, selected against both, where they differ. coverage: share of liked movies that
+    lists can hold. ValueError if the grid lacks weight 0, the prefix is no lower-case name, or vectors and catalogue hold other movies.
+    """
+    weights = [float(w) for w in weights]
+    if 0.0 not in weights or not RUN_NAME.fullmatch(prefix):
+        raise ValueError("the grid needs weight 0, and the prefix must be a name in lower case")
+    cohorts.require_same(movies, context.catalog, "movieId", "vectors and catalogue")
+    name = {w: f"{prefix}_average" if w == 0 else f"{prefix}_conflict_{w:g}" for w in weights}
+    found = ranking.lists_from_vectors(context.pairs, users, movies, context.seen, weights, k)
+    labelled = found.withColumn("method", F.element_at(F.create_map(*(F.lit(x) for w in weights for x in (w, name[w]))), F.col("conflictWeight")))
+    columns = ["method", "pairId", "userA", "userB", "rank", "movieId"]
+    lists = shared_table(labelled.select(*columns).unionByName(context.popular(k).select(*columns)), "lists")
+    metrics, summaries = None, {}
+    for method in ("popularity", *name.values()):
+        own = lists.where(F.col("method") == method)
+        summaries[method] = evaluation.require_evaluated(context.evaluate(own, k)).first().asDict()
+        one = evaluation.pair_metrics(own, context.relevant, k).withColumn("method", F.lit(method))
+        metrics = one if metrics is None else metrics.unionByName(one)
+    metrics = shared_table(metrics, "metrics")
+    keys = {m: evaluation.selection_key(summaries[m], k) for m in name.values()}
+    best = max(key[0] for key in keys.values())
+    tied = [m for m, key in keys.items() if key[0] == best]
+    selected, average = max(tied, key=lambda m: keys[m][1]), name[0.0]
+    compared = [c for c in dict.fromkeys([(average, "popularity"), (selected, average), (selected, "popularity")]) if c[0] != c[1]]
+    return {
+        "lists": lists,
+        "metrics": metrics,
+        "summaries": summaries,
+        "diagnostics": evaluation.compare_rankings(lists, average, k),
+        "tied": tied,
+        "selected": selected,
+        "bootstrap": compare_methods(metrics, compared, [f"minimumNDCG@{k}"], resamples, seed),
+        "coverage": context.coverage().first().coverage,
+    }
+
+
+def frozen_test(path: str, chosen: str, context: Context, lists: dict[str, DataFrame], features: DataFrame, rule: dict[str, float], counts: Iterable[int] = (), k: int = 10, resamples: int = 10_000, seed: int = 20_260_828, exploratory: bool = False) -> dict[str, object]:
+    """A selected run's lists on the test period's pairs, saved below path, once.
+
+    lists: of each method; the selected one is named `chosen` and compared with all others. The report has each method's summary,
+    how much of what was liked lists can hold, means by similarity band (features, rule) and by the first so many pairs (counts), and
+    paired bootstraps of minimum and average NDCG. exploratory: says in the report that the test period was looked at before.
+    FileExistsError if the test was claimed before, even by a run that broke off.
+    """
+    if context.period != "test" or chosen not in lists:
+        raise ValueError("a frozen test needs the test period's context and the lists of what was chosen")
+    spark = context.pairs.sparkSession
+    sinks.claim(spark, f"{path}/test-claim", chosen)
+    both = None
+    for method, own in lists.items():
+        one = own.select(F.lit(method).alias("method"), "pairId", "userA", "userB", "rank", "movieId")
+        both = one if both is None else both.unionByName(one)
+    both = shared_table(both, "lists")
+    metrics, summaries = None, {}
+    for method in lists:
+        own = both.where(F.col("method") == method)
+        summaries[method] = evaluation.require_evaluated(context.evaluate(own, k)).first().asDict()
+        one = evaluation.pair_metrics(own, context.relevant, k).withColumn("method", F.lit(method))
+        metrics = one if metrics is None else metrics.unionByName(one)
+    metrics = shared_table(metrics, "metrics")
+    names = [f"minimumNDCG@{k}", f"averageNDCG@{k}"]
+    others = [m for m in lists if m != chosen]
+    report = {
+        "status": "exploratory" if exploratory else "frozen",
+        "chosen": chosen,
+        "methods": summaries,
+        "coverage": context.coverage().first().asDict(),
+        "bands": [r.asDict() for r in evaluation.subgroup_summary(metrics, pairs.similarity_bands(features, rule), "similarityBand", k).collect()],
+        "compared": [r.asDict() for r in compare_methods(metrics, [(chosen, m) for m in others], names, resamples, seed).collect()] if others else [],
+        "nested": [r.asDict() | {"method": m} for m in lists for r in nested_summaries(context, both.where(F.col("method") == m), list(counts), k).collect()] if counts else [],
+    }
+    sinks.save_model({"lists": both, "metrics": metrics}, report, f"{path}/test")
+    return report
+
+
 def nested_summaries(context: Context, lists: DataFrame, counts: list[int], k: int = 10) -> DataFrame:
     """Summaries for the first 100, 250, ... pairs from lists that are made once."""
     check_nested_counts(counts, counts[-1])

@@ -5,6 +5,8 @@ Every step checks by digest that the tables of the steps before it are what they
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,6 @@ from duolist.operators import cohorts, evaluation, models, pairs
 from duolist.plans import experiments
 from duolist.schema import shared_table
 from duolist.sources import sinks
-from duolist.sources.tables import exists
 
 PREPARED, TRAINED = ("development", "holdout", "edges", "catalog"), ("users", "movies", "neighbours")
 #: Methods compared on both sets of pairs.
@@ -104,13 +105,16 @@ def train(spark: SparkSession, path: str, ratings: DataFrame, config: GraphConfi
 
 
 def evaluate_once(spark: SparkSession, path: str, ratings: DataFrame, resamples: int = 10_000) -> dict[str, object]:
-    """The held-out pairs' test period, looked at once: FileExistsError if it was before, RuntimeError if nothing is frozen."""
-    if exists(spark, f"{path}/evaluated"):
-        raise FileExistsError("the held-out pairs were evaluated before")
+    """The held-out pairs' test period, looked at once: FileExistsError if it was before, RuntimeError if nothing is frozen.
+
+    The look is claimed before any event of the test period is read, by a file that only one run can create. A run that breaks off
+    afterwards has had its look: the claim stays.
+    """
     frozen, notes = _read(spark, path, "prepared", PREPARED)
     fitted, chosen = _read(spark, path, "trained", TRAINED)
     if chosen["status"] != "frozen":
         raise RuntimeError(chosen["status"])
+    sinks.claim(spark, f"{path}/evaluation-claim", json.dumps({"application": spark.sparkContext.applicationId, "user": spark.sparkContext.sparkUser()}))
     k = chosen["k"]
     split = shared_table(cohorts.add_temporal_split(ratings, PrepConfig(**notes["config"])), "split")
     context = experiments.Context(frozen["holdout"], split, frozen["catalog"], "test")

@@ -1,4 +1,5 @@
 import json
+import shutil
 
 import pytest
 
@@ -20,7 +21,7 @@ def demo(spark):
     return d
 
 
-def test_a_frozen_run_is_evaluated_once(spark, demo, tmp_path):
+def test_a_frozen_run_is_evaluated_once(spark, demo, tmp_path, monkeypatch):
     path = str(tmp_path / "run")
     none = spark.createDataFrame([], "userId long")
     notes = holdout.prepare(demo.ratings, demo.movies, DEMO, path, none, 15, 15)
@@ -37,10 +38,19 @@ def test_a_frozen_run_is_evaluated_once(spark, demo, tmp_path):
         frozen, notes = sinks.load_model(spark, f"{path}/prepared", list(holdout.PREPARED))
         sinks.save_model(frozen, notes, f"{path}/again/prepared")
         path += "/again"
+    for part in ("prepared", "trained"):
+        shutil.copytree(f"{path}/{part}", f"{path}/broken/{part}")
     report = holdout.evaluate_once(spark, path, demo.ratings, resamples=50)
     assert set(report["methods"]) == set(holdout.METHODS) and len(report["compared"]) == 6
     with pytest.raises(FileExistsError):
         holdout.evaluate_once(spark, path, demo.ratings)
+    # a run that breaks off while it looks has had its look
+    monkeypatch.setattr(holdout, "_evaluate", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        holdout.evaluate_once(spark, f"{path}/broken", demo.ratings)
+    monkeypatch.undo()
+    with pytest.raises(FileExistsError):
+        holdout.evaluate_once(spark, f"{path}/broken", demo.ratings)
 
 
 def test_changed_tables_are_noticed(spark, tmp_path):
