@@ -67,6 +67,19 @@ def select(spark: SparkSession, args: argparse.Namespace) -> dict:
     return _note(spark, {"best": best, "found": found}, args.out)
 
 
+def test(spark: SparkSession, args: argparse.Namespace) -> dict:
+    """The run that was selected, against popularity on the test period, once; its settings are a JSON object."""
+    rows, catalog, edges = (spark.read.parquet(f"{args.prepared}/{n}") for n in ("pairs", "warm_catalog", "train_edges"))
+    split = shared_table(cohorts.add_temporal_split(tables.load_table(spark, args.data, "ratings"), _config(args)), "split")
+    train = split.where("split = 'train'").join(edges.select("userId").distinct(), "userId", "left_semi")
+    chosen = shared_table(pairs.disjoint_pairs(rows, args.pairs), "pairs")
+    movies = tables.load_table(spark, args.data, "movies")
+    features = shared_table(pairs.pair_features(chosen, train, movies, _config(args)), "features")
+    context = experiments.Context(chosen, split, catalog, "test")
+    lists = {args.model: experiments.family_lists(context, args.model, edges, train, json.loads(args.settings), args.weight, args.k), "popularity": context.popular(args.k)}
+    return experiments.frozen_test(args.out, args.model, context, lists, features, pairs.band_rule(features), json.loads(args.counts), args.k, args.resamples, exploratory=args.exploratory)
+
+
 def holdout_prepare(spark: SparkSession, args: argparse.Namespace) -> dict:
     """Freeze development and held-out pairs of users that no earlier pair has."""
     ratings, movies = (tables.load_table(spark, args.data, n) for n in ("ratings", "movies"))
@@ -123,6 +136,9 @@ def parser() -> argparse.ArgumentParser:
     command(prepare, "out")
     command(popularity, "prepared", "out", k=10)
     command(select, "prepared", "out", "grid", pairs=100, weight=0.65, k=10).add_argument("--model", required=True, choices=("neighbours", "als", "biased", "graph"))
+    tested = command(test, "prepared", "out", "settings", pairs=100, weight=0.65, k=10, counts="[]", resamples=10_000)
+    tested.add_argument("--model", required=True, choices=("neighbours", "als", "biased", "graph"))
+    tested.add_argument("--exploratory", action="store_true", help="the test period was looked at before")
     command(holdout_prepare, "out", prepared=None, evaluated=500, development=200, held_out=500)
     command(holdout_train, "out", settings="{}", width=50, shrinkage=10.0, k=10)
     command(holdout_evaluate, "out")

@@ -185,6 +185,26 @@ def conflict_grid(context: Context, users: DataFrame, movies: DataFrame, weights
     }
 
 
+def family_lists(context: Context, family: str, edges: DataFrame, ratings: DataFrame, settings: dict, weight: float | None, k: int = 10) -> DataFrame:
+    """A selected run, trained anew on the training data, and its lists for a context's pairs.
+
+    family: neighbours (settings width, shrinkage), als, biased or graph (settings of their configs). edges: training likes inside the
+    catalogue; ratings: training ratings, which only the biased family reads.
+    """
+    members = cohorts.pair_members(context.pairs).select("userId").distinct()
+    if family == "neighbours":
+        near = shared_table(models.item_neighbours(edges, settings["width"], settings.get("shrinkage", 0.0)), "neighbours")
+        return context.by_scores(models.neighbour_scores(edges.join(members, "userId", "left_semi"), near, settings["width"]), family, weight, k)
+    if family == "biased":
+        model = models.train_biased_mf(ratings, BiasedMfConfig(**settings))
+        asked = cohorts.against_all(members, context.catalog.select("movieId"), "movieId")
+        return context.by_scores(models.predict_biased_mf(asked, model), family, weight, k)
+    if family not in ("als", "graph"):
+        raise ValueError(f"unknown family: {family}")
+    fit = models.train_als(edges, AlsConfig(**settings)) if family == "als" else models.train_graph_model(edges, GraphConfig(**settings))
+    return context.by_vectors(fit["users"], fit["movies"], family, weight, k)
+
+
 def frozen_test(path: str, chosen: str, context: Context, lists: dict[str, DataFrame], features: DataFrame, rule: dict[str, float], counts: Iterable[int] = (), k: int = 10, resamples: int = 10_000, seed: int = 20_260_828, exploratory: bool = False) -> dict[str, object]:
     """A selected run's lists on the test period's pairs, saved below path, once.
 
