@@ -29,7 +29,7 @@ FIT_ROWS = 32_768
 #: Bytes of those vectors, at most; wide vectors have fewer.
 FIT_BYTES = 64 << 20
 #: Vectors that are routed through a tree at a time: its directions are made anew for each such block.
-ROUTE_ROWS = 8192
+ROUTE_ROWS = 4096
 LEAF_ROWS = 256
 #: Share of the vectors on either side of a split that go to both.
 SPILL = 0.04
@@ -138,8 +138,8 @@ def _compare(least: float):
             ok = r < c if low == high else r != c
             r, c = r[ok], c[ok]
             near.append((r, c))
-            for j in range(0, len(r), 8192):
-                u, v = r[j : j + 8192], c[j : j + 8192]
+            for j in range(0, len(r), 1024):
+                u, v = r[j : j + 1024], c[j : j + 1024]
                 earlier = ((left[u][:, :, None] == right[v][:, None, :]) & (left[u] < leaf)[:, :, None]).any(axis=(1, 2))
                 np.add.at(own, u[~earlier], copies[v[~earlier]])
                 np.add.at(own, v[~earlier], copies[u[~earlier]])
