@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from duolist.llm import ann, bpe, crosstok, embdedup, hardneg, langid, licenses, lm, packing, quality, simhash, tokenfile, urlfilter
 from duolist.llm.common import scratch_dir
 from duolist.llm.urlfilter import Rule
@@ -121,7 +120,7 @@ SELECT * FROM (
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each takes (spark, sf_dir)."""
     operators = (op1_simhash, op2_packing, op3_url_filter, op4_quality, op5_nearest, op6_language_id, op7_vector_dedup, op8_bpe, op9_lm_score, op10_token_file, op11_hard_negatives, op12_alignment, op13_licenses)
-    return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
