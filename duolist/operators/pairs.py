@@ -196,18 +196,3 @@ def joint_counts(pairs: DataFrame, events: DataFrame) -> DataFrame:
     b = liked.select(F.col("userId").alias("userB"), "movieId")
     shared = pairs.select("userA", "userB").distinct().join(a, "userA").join(b, ["userB", "movieId"]).groupBy("userA", "userB").agg(F.count(F.lit(1)).alias("n"))
     return pairs.join(shared, ["userA", "userB"], "left").withColumn("jointTestPositiveCount", F.coalesce("n", F.lit(0))).drop("n")
-
-
-def graph_subset(edges: DataFrame, pairs: DataFrame, pair_limit: int, user_limit: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, users, edges): the first pairs, all their members and as many others by hash order as the limit allows."""
-    chosen = pairs.where(F.col("pairId") < pair_limit)
-    focus = shared_table(chosen.select(F.explode(F.array("userA", "userB")).alias("userId")).distinct(), "focus")
-    there = edges.select("userId").distinct()
-    n = focus.count()
-    if n > user_limit:
-        raise ValueError("the user limit is below the number of pair members")
-    if not focus.join(there, "userId", "left_anti").isEmpty():
-        raise ValueError("some pair members have no edges")
-    others = there.join(focus, "userId", "left_anti").orderBy(hash_order(seed, "userId"), "userId").limit(user_limit - n)
-    users = focus.withColumn("focus", F.lit(True)).unionAll(others.withColumn("focus", F.lit(False)))
-    return chosen, users, edges.join(users.select("userId"), "userId", "left_semi")

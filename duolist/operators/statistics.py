@@ -27,7 +27,7 @@ def _cut(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(F.floor(share * RANGES), F.lit(0)), F.lit(RANGES - 1)).cast("int")
 
 
-def _selected(values: DataFrame, ranks: set[int]) -> dict[int, float]:
+def values_at(values: DataFrame, ranks: set[int]) -> dict[int, float]:
     """The values at some places, from 0, of a column v in ascending order.
 
     Each round counts what lies in the ranges of a stretch around each place and goes on with the range that holds it, until that
@@ -69,7 +69,7 @@ def quantiles(df: DataFrame, column: str | Column, probabilities: list[float]) -
     values = shared_table(df.select(x.alias("v")).where("v is not null and not isnan(v)"), "quantiles")
     n = values.count()
     places = [p * (n - 1) for p in probabilities]
-    found = _selected(values, {k for p in places for k in (math.floor(p), math.ceil(p))}) if n else {}
+    found = values_at(values, {k for p in places for k in (math.floor(p), math.ceil(p))}) if n else {}
     drop_table(values)
     return [found[math.floor(p)] * (math.ceil(p) - p) + found[math.ceil(p)] * (p - math.floor(p)) if p != math.floor(p) else found[int(p)] for p in places] if n else [None] * len(probabilities)
 

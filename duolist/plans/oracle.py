@@ -90,6 +90,29 @@ def _top(group: str) -> str:
 
 _MEANS = "round(avg((ndcgA + ndcgB) / 2), 6) AS mean_average_ndcg, round(avg(least(ndcgA, ndcgB)), 6) AS mean_minimum_ndcg, round(avg(abs(ndcgA - ndcgB)), 6) AS mean_ndcg_gap"
 
+#: Every user with the next two by id, in the order of a hash.
+_RING = """placed AS (SELECT userId, row_number() OVER (ORDER BY userId) - 1 AS i FROM evaluating),
+        ring AS (SELECT 2 * a.i + s AS i, a.userId AS userA, b.userId AS userB FROM placed a CROSS JOIN range(2) r(s) JOIN placed b ON b.i = a.i + s + 1),
+        numbered AS MATERIALIZED (SELECT userA, userB, row_number() OVER (ORDER BY CAST('0x' || substr(md5('7:' || i), 1, 13) AS BIGINT), i) AS n FROM ring)"""
+
+
+def _greedily(cap: int) -> str:
+    """Pairs of the ring one by one; busy holds the members of those taken before."""
+    free = f"len([x FOR x IN t.busy IF x = c.userA]) < {cap} AND len([x FOR x IN t.busy IF x = c.userB]) < {cap}"
+    return f"""WITH RECURSIVE {_RING}, taking AS (
+        SELECT CAST(0 AS BIGINT) AS n, false AS taken, CAST(NULL AS BIGINT) AS userA, CAST(NULL AS BIGINT) AS userB, CAST([] AS BIGINT[]) AS busy
+        UNION ALL SELECT c.n, {free}, c.userA, c.userB, CASE WHEN {free} THEN list_concat([c.userA, c.userB], t.busy) ELSE t.busy END
+        FROM taking t JOIN numbered c ON c.n = t.n + 1)
+        SELECT n - 1 AS pairId, userA, userB FROM taking WHERE taken"""
+
+
+#: Members of the first hundred pairs that have likes, and others by hash up to four hundred.
+_SUBSET = """WITH own AS (SELECT userA, userB FROM pairs WHERE pairId < 100 AND userA IN (SELECT userId FROM warm_edges) AND userB IN (SELECT userId FROM warm_edges)),
+        focus AS (SELECT userA AS userId FROM own UNION SELECT userB FROM own),
+        others AS (SELECT userId, row_number() OVER (ORDER BY CAST('0x' || substr(md5('7:' || userId), 1, 13) AS BIGINT)) AS n FROM (SELECT DISTINCT userId FROM warm_edges WHERE userId NOT IN (SELECT userId FROM focus))),
+        chosen AS (SELECT userId, true AS focus FROM focus UNION ALL SELECT userId, false FROM others WHERE n <= 400 - (SELECT count(*) FROM focus))
+        """
+
 _SELECT = {
     "ratings_view": "SELECT userId, movieId, rating, timestamp FROM ratings",
     "temporal_split": "SELECT userId, movieId, split, is_positive FROM split",
@@ -132,6 +155,13 @@ _SELECT = {
     "conflict_weights": """SELECT pairId, movieId, twentieths, rank, round(g, 11) AS group_score FROM (
         SELECT *, row_number() OVER (PARTITION BY pairId, twentieths ORDER BY round(g, 12) DESC, round(least(qA, qB), 12) DESC, round((qA + qB) / 2, 12) DESC, movieId) AS rank FROM (
             SELECT pairId, movieId, qA, qB, i AS twentieths, CASE WHEN i < 0 THEN sqrt(qA * qB) ELSE (1 - i / 20) * ((qA + qB) / 2) + i / 20 * least(qA, qB) END AS g FROM q CROSS JOIN (SELECT i - 1 AS i FROM range(22) t(i)))) WHERE rank <= 10""",
+    "greedy_disjoint": _greedily(1),
+    "capped_pairs": _greedily(2),
+    "similarity_statistics": "SELECT count(genreSimilarity) AS count, round(avg(genreSimilarity), 6) AS mean, round(stddev_samp(genreSimilarity), 6) AS std, round(min(genreSimilarity), 6) AS min, "
+    + ", ".join(f"round(quantile_cont(genreSimilarity, {q}), 6) AS q{int(100 * q)}" for q in (0.25, 0.5, 0.75))
+    + ", round(max(genreSimilarity), 6) AS max FROM features",
+    "subset_users": _SUBSET + "SELECT userId, focus FROM chosen",
+    "subset_catalog": _SUBSET + "SELECT movieId, count(*) AS trainPositiveCount FROM warm_edges WHERE userId IN (SELECT userId FROM chosen) GROUP BY movieId",
     "group_nash": _top("sqrt(qA * qB)"),
     "edge_weights": "SELECT source, target, round(weight, 9) AS weight FROM weighted",
     "propagate_once": "SELECT node, round(value, 6) AS value FROM layer1",

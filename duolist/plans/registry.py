@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duolist.functions import dot
-from duolist.operators import checks, cohorts, evaluation, graph, models, pairs, ranking, ranks
+from duolist.operators import checks, cohorts, evaluation, graph, models, pairs, ranking, ranks, samples
 from duolist.plans import oracle
-from duolist.schema import shared_table
+from duolist.schema import dense_index, shared_table
 from duolist.sources.sinks import content_digest
 from duolist.sources.tables import DemoTables, preview_image
 from duolist.sources.tables import focus_ratings as focused
@@ -199,6 +199,59 @@ def dissimilar_pairs(d: DemoTables) -> DataFrame:
     return pairs.dissimilar_pairs(shared_table(known, "features"), wide)[0].select("userA", "userB")
 
 
+def _ring(d: DemoTables) -> DataFrame:
+    """(pairId, userA, userB): every user of the evaluation cohort with the next two by id, so that pairs share members, in the order
+    of a hash."""
+    placed = dense_index(d.evaluation_users, ["userId"], "i")
+    a, b = (placed.select(F.col("i").alias(f"i{m}"), F.col("userId").alias(f"user{m}")) for m in "AB")
+    steps = a.withColumn("step", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("iB", F.col("iA") + F.col("step"))
+    ring = steps.join(b, "iB").select((F.col("iA") * 2 + F.col("step") - 1).alias("__i"), "userA", "userB").withColumn("__h", samples.id_hash(7, "__i"))
+    return dense_index(ring, ["__h", "__i"], "pairId").select("pairId", "userA", "userB")
+
+
+@query
+def greedy_disjoint(d: DemoTables) -> DataFrame:
+    """Pairs without a shared member, taken in order from pairs that share many."""
+    ring = shared_table(_ring(d), "ring")
+    return pairs.greedy_pairs(ring, "pairId", 1).select("pairId", "userA", "userB")
+
+
+@query
+def capped_pairs(d: DemoTables) -> DataFrame:
+    """Pairs taken in order, each user in two at most."""
+    ring = shared_table(_ring(d), "ring")
+    return pairs.greedy_pairs(ring, "pairId", 2).select("pairId", "userA", "userB")
+
+
+@query
+def similarity_statistics(d: DemoTables) -> DataFrame:
+    s = pairs.describe(_features(d), "genreSimilarity")
+    return s.select("count", *(_r(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")))
+
+
+def _known_pairs(d: DemoTables) -> DataFrame:
+    """Pairs whose members both have likes in the graph."""
+    known = d.warm_edges.select("userId").distinct()
+    return d.pairs.join(known.withColumnRenamed("userId", "userA"), "userA", "left_semi").join(known.withColumnRenamed("userId", "userB"), "userB", "left_semi")
+
+
+def _subset(d: DemoTables) -> dict[str, DataFrame]:
+    """The first hundred pairs' members, as many others as make four hundred, drawn by hash, and drawn again from the manifest."""
+    edges, known = shared_table(d.warm_edges, "edges"), shared_table(_known_pairs(d), "known")
+    _, manifest = samples.controlled_subset(edges, known, 100, 400, 7)
+    return samples.replay_subset(edges, known, manifest)
+
+
+@query
+def subset_users(d: DemoTables) -> DataFrame:
+    return _subset(d)["users"]
+
+
+@query
+def subset_catalog(d: DemoTables) -> DataFrame:
+    return _subset(d)["catalog"]
+
+
 @query
 def sampled_pairs(d: DemoTables) -> DataFrame:
     return pairs.sample_pairs(d.evaluation_users, d.config)

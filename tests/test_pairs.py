@@ -1,9 +1,11 @@
+import hashlib
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from duolist.config import PrepConfig
-from duolist.operators import pairs
+from duolist.operators import pairs, samples
 from duolist.schema import dense_index
 
 
@@ -75,11 +77,21 @@ def test_joint_counts(spark):
 def test_graph_subset(spark):
     edges = spark.createDataFrame([(1, 10), (1, 20), (2, 20), (2, 30), (3, 10), (3, 40), (4, 30), (4, 50), (5, 40), (5, 50)], "userId long, movieId long")
     two = frame(spark, [(1, 2), (2, 3)])
-    _, users, kept = pairs.graph_subset(edges, two, 1, 3, 1)
+    made, manifest = samples.controlled_subset(edges, two, 1, 3, 1)
+    users, kept = made["users"], made["edges"]
     got = {r.userId: r.focus for r in users.collect()}
     assert len(got) == 3 and got[1] and got[2] and kept.select("userId").distinct().count() == 3
     with pytest.raises(ValueError):
-        pairs.graph_subset(edges, two, 2, 2, 1)
+        samples.controlled_subset(edges, two, 2, 2, 1)
+    again = samples.replay_subset(edges.repartition(3), two, manifest, made["catalog"])
+    assert {(r.userId, r.focus) for r in again["users"].collect()} == set(got.items())
+    assert sorted(map(tuple, again["catalog"].collect())) == sorted(map(tuple, made["catalog"].collect()))
+    with pytest.raises(ValueError, match="has changed"):
+        samples.replay_subset(edges.where("userId <> " + str(next(u for u, f in got.items() if not f))), two, manifest)
+    with pytest.raises(ValueError, match="other edges"):
+        samples.replay_subset(edges.unionAll(spark.createDataFrame([(1, 77)], edges.schema)), two, manifest)
+    with pytest.raises(ValueError, match="model and subset"):
+        samples.replay_subset(edges, two, manifest, spark.range(3).withColumnRenamed("id", "movieId"))
 
 
 def test_sampled_pairs(spark):
@@ -91,3 +103,19 @@ def test_sampled_pairs(spark):
 def test_dense_index(spark):
     rows = dense_index(spark.range(500).selectExpr("id * 7 % 500 as x").repartition(5), ["x"], "i").collect()
     assert all(r.x == r.i for r in rows) and len(rows) == 500
+
+
+def test_samples_merge_grow_and_replay(spark):
+    ids = spark.range(5000).withColumnRenamed("id", "userId")
+    ten, manifest = samples.draw(ids, "userId", 10, 3)
+    plain = sorted((int(hashlib.md5(f"3:{i}".encode()).hexdigest()[:13], 16), i) for i in range(5000))
+    assert {(r.h, r.userId) for r in ten.collect()} == set(plain[:10]) and manifest["threshold"] == plain[9][0]
+    larger, _ = samples.draw(ids, "userId", 200, 3)
+    assert {(r.h, r.userId) for r in larger.collect()} == set(plain[:200])
+    parts = [samples.draw(ids.where(f"userId % 3 = {k}"), "userId", 200, 3)[0] for k in range(3)]
+    assert {r.userId for r in samples.merged(parts, "userId", 200, 3)[0].collect()} == {i for _, i in plain[:200]}
+    assert {r.userId for r in samples.replay(ids.repartition(7), "userId", manifest).collect()} == {i for _, i in plain[:10]}
+    with pytest.raises(ValueError, match="changed"):
+        samples.replay(ids.where(f"userId <> {plain[4][1]}"), "userId", manifest)
+    everyone, whole = samples.draw(ids.limit(5).unionAll(ids.limit(5)), "userId", 9, 3)
+    assert everyone.count() == whole["size"] == 5 and samples.draw(ids, "userId", 0, 3)[0].isEmpty()

@@ -16,10 +16,13 @@ def exports(spark):
 
 def test_title_code_import(spark):
     links, warm = exports(spark)
-    rows = spark.createDataFrame([("tt0000111", "9", "Movie"), ("tt0000222", "8", "TV Series"), ("tt0000333", "7", "Movie"), ("x", "7", "Movie")], "Const string, `Your Rating` string, `Title Type` string")
-    got, report = imports.import_ratings(rows, links, warm)
-    assert [tuple(r) for r in got.collect()] == [(10, 4.5)]
-    assert (report["non_movies"], report["unmapped"], report["usable"]) == (1, 1, 1)
+    more = links.unionAll(spark.createDataFrame([(30, 4711, None), (40, 815, 7)], links.schema))
+    warm = warm.select("movieId").unionAll(spark.createDataFrame([(30,)], "movieId int")).distinct()
+    codes = [("tt4711", "3", "Movie"), ("tt0004711", "10", "Movie"), ("tt00815", "6", "Movie"), ("tt987654", "2", "Movie"), ("tt4711", "1", "Video Game"), ("no code", "5", "Movie"), ("", "5", "Movie")]
+    rows = spark.createDataFrame(codes, "Const string, `Your Rating` string, `Title Type` string")
+    got, report = imports.import_ratings(rows, more, warm)
+    assert [tuple(r) for r in got.collect()] == [(30, 5.0)]  # of two codes of one movie the last counts, at half the stars
+    assert report["non_movies"] == 1 and report["usable"] == 1 and report["cold"] == 1
 
 
 def test_import_keeps_the_last(spark, tmp_path):
