@@ -264,10 +264,13 @@ def compare_methods(metrics: DataFrame, comparisons: Iterable[tuple[str, str]],
     return out
 
 
-def prepare_holdout(stats: DataFrame, train: DataFrame, movies: DataFrame, config: PrepConfig, excluded: DataFrame, development: int, holdout: int) -> dict[str, object]:
-    """Pairs of users not evaluated before, the first for development and the rest held out, with their features and band rule."""
+def prepare_holdout(stats: DataFrame, train: DataFrame, movies: DataFrame, config: PrepConfig, excluded: DataFrame, development: int, holdout: int, known: DataFrame | None = None) -> dict[str, object]:
+    """Pairs of users not evaluated before, the first for development and the rest held out, with their features and band rule.
+
+    known: users whom models can have vectors for, if not all.
+    """
     eligible = cohorts.pretest_users(stats, config.evaluation_min_train_ratings, config.evaluation_min_train_positives, config.evaluation_min_validation_positives, excluded)
-    drawn = pairs.random_disjoint_pairs(eligible, development + holdout, config.random_seed)
+    drawn = pairs.random_disjoint_pairs(cohorts.of_users(eligible, known), development + holdout, config.random_seed)
     featured = shared_table(pairs.pair_features(drawn, train, movies, config), "pairs")
     dev, held = featured.where(F.col("pairId") < development), featured.where(F.col("pairId") >= development).withColumn("pairId", F.col("pairId") - development)
     return {"development": dev, "holdout": held, "rule": pairs.band_rule(dev), "digests": sinks.freeze({"development": dev, "holdout": held})}

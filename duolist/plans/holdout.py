@@ -29,13 +29,17 @@ def _read(spark: SparkSession, path: str, step: str, parts: tuple[str, ...]) ->
 
 
 def prepare(ratings: DataFrame, movies: DataFrame, config: PrepConfig, path: str, excluded: DataFrame, development: int, holdout: int) -> dict[str, object]:
-    """Write pairs of users not in excluded, training edges and catalogue; returns the notes. No test event is looked at."""
+    """Write pairs of users not in excluded, training edges and catalogue; returns the notes. No test event is looked at.
+
+    Users without a like among the edges aren't drawn: no model could have a vector for them.
+    """
     split = shared_table(cohorts.add_temporal_split(ratings, config).where("split <> 'test'"), "split")
     stats = shared_table(cohorts.user_split_statistics(split), "statistics")
     edges = cohorts.training_edges(split, cohorts.training_users(stats, config))
     catalog = shared_table(cohorts.warm_catalog(edges, config), "catalog")
-    made = experiments.prepare_holdout(stats, split.where("split = 'train'"), movies, config, excluded, development, holdout)
-    tables = {"development": made["development"], "holdout": made["holdout"], "edges": cohorts.edges_of_catalog(edges, catalog), "catalog": catalog}
+    edges = shared_table(cohorts.edges_of_catalog(edges, catalog), "edges")
+    made = experiments.prepare_holdout(stats, split.where("split = 'train'"), movies, config, excluded, development, holdout, edges.select("userId").distinct())
+    tables = {"development": made["development"], "holdout": made["holdout"], "edges": edges, "catalog": catalog}
     tables = {n: shared_table(df, n) for n, df in tables.items()}
     both = tables["development"].unionByName(tables["holdout"])
     notes = {
