@@ -40,13 +40,60 @@ def test_planted_near_copies_are_found_and_others_left_alone(spark):
     assert {10 * i for i in range(120)} <= kept and len(kept) == len(set(of.values()))
 
 
+def banded(seed=11, pairs=700, length=240):
+    """Pairs of texts, the second with some words changed, so that similarities lie around the threshold."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(pairs):
+        words = [f"w{x}" for x in rng.integers(0, 50_000, length)]
+        copy = list(words)
+        for at in rng.choice(length, 3 + i % 5, replace=False):
+            copy[at] = f"c{rng.integers(0, 50_000)}"
+        out += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    return out
+
+
+@pytest.mark.parametrize("verify_block", [nearcopies.VERIFY_BLOCK, 300])
+def test_links_by_similarity_band(spark, verify_block):
+    data = banded()
+    text, docs = dict(data), spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    of = {r.doc_id: r.class_id for r in nearcopies.near_copies(docs, verify_block=verify_block).collect()}
+    at = [(jaccard(text[2 * i], text[2 * i + 1]), of[2 * i] == of[2 * i + 1]) for i in range(700)]
+    edge_of = [hit for j, hit in at if 0.8 <= j < 0.83]
+    assert len(edge_of) > 100 and np.mean(edge_of) >= 0.9
+    assert np.mean([hit for j, hit in at if j >= 0.83]) >= 0.95
+    below = [hit for j, hit in at if j < 0.8]
+    assert len(below) > 100 and not any(below)
+
+
+def test_exact_links_span_the_components_of_all_similar_pairs():
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 2**63, 30).astype(np.uint64) for _ in range(3)]
+    sets = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+    for i in range(40):
+        x = base[i % 3].copy()
+        x[rng.choice(30, rng.integers(0, 5), replace=False)] = rng.integers(0, 2**63)
+        sets.append(np.unique(x))
+    near = np.array([[len(x) and len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.8 for y in sets] for x in sets]).astype(bool)
+    a, b = nearcopies.exact_links(sets, 0.8)
+    assert near[a, b].all() and len(a)
+    own = np.eye(len(sets), dtype=bool)
+    own[a, b] = own[b, a] = True
+
+    def reach(m):
+        return np.linalg.matrix_power((m | np.eye(len(m), dtype=bool)).astype(float), len(m)) > 0
+
+    assert (reach(own) == reach(near)).all()
+    assert all(len(x) == 0 for x in nearcopies.exact_links([], 0.8))
+
+
 def test_views_find_with_the_same_probability_at_every_size():
     p = nearcopies.bit_difference(0.8)
     for n in (1, 1000, 10**6, 10**9):
         places = nearcopies.views_for(n)
         size = places.shape[1]
         meets = sum(math.comb(size, k) * p**k * (1 - p) ** (size - k) for k in range(3))
-        assert 1 - (1 - meets) ** len(places) >= 0.9 and 2**size >= 2**nearcopies.SPARE_BITS * n and all(len(set(v)) == size for v in places.tolist())
+        assert (1 - (1 - meets) ** len(places)) * nearcopies.within_bits(0.8) >= nearcopies.RECALL >= 0.9 and 2**size >= 2**nearcopies.SPARE_BITS * n and all(len(set(v)) == size for v in places.tolist())
 
 
 @pytest.mark.parametrize("block", [16_384, 24])
