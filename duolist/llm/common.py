@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Batches = Iterator[pa.RecordBatch]
+#: Bits (8 MB) of the map that maybe_listed broadcasts, whatever the length of the list.
+LISTED_BITS = 2**26
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -57,6 +59,20 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def maybe_listed(df: DataFrame, listed: DataFrame, on: list[str], flag: str) -> DataFrame:
+    """df with a column that is false only for rows whose key `on` isn't in listed, so that others needn't be shuffled to it.
+
+    A bit map of fixed size is broadcast; a list of very many keys fills it, which changes no result.
+    """
+    slot, bucket, bits = fresh([*df.columns, flag], "slot", "bucket", "bits")
+    at, low = F.pmod(F.xxhash64(*on), F.lit(LISTED_BITS)), F.col(slot).bitwiseAND(F.lit(32767))
+    made = listed.select(at.alias(slot)).groupBy(F.shiftright(slot, 15).alias(bucket)).agg(F.bitmap_construct_agg(low).alias(bits))
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(low, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, F.col(slot).bitwiseAND(F.lit(7)).cast("int")) == 1
+    told = df.withColumn(slot, at).withColumn(bucket, F.shiftright(slot, 15)).join(F.broadcast(made), bucket, "left")
+    return told.withColumn(flag, F.coalesce(bit, F.lit(False))).drop(slot, bucket, bits)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that a text operator reads, under fixed names."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

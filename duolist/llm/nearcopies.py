@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duolist.llm.common import Batches, fresh, materialise, record, text_bytes
+from duolist.llm.common import Batches, fresh, materialise, maybe_listed, record, text_bytes
 from duolist.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -328,7 +328,7 @@ def similar_links(docs: DataFrame, by_doc: DataFrame, groups: DataFrame, size: i
     parts = each.groupBy("root").agg(F.when(total <= block, 1).otherwise(F.ceil(total * 2 / block)).cast("int").alias("parts"))
     asked = materialise(each.join(parts, "root").drop("n"), "candidate-texts")
     texts = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text")), "key_id", "key_text")
-    met = texts.join(asked, ["key_id", "key_text"]).select("root", "name", "parts", "text")
+    met = maybe_listed(texts, asked, ["key_id", "key_text"], "maybe").where("maybe").join(asked, ["key_id", "key_text"]).select("root", "name", "parts", "text")
     sets = met.mapInArrow(_sets(size), "root long, name long, parts int, hashes binary")
     cut = sets.withColumn("part", F.pmod(F.xxhash64("name"), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = cut.select("root", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "name", "hashes")
@@ -368,16 +368,16 @@ def keep_one_per_class(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: f
     The one with the least doc_id stays, a null doc_id only where the class has no other, ties by a hash of the text; of rows
     that agree in doc_id and text one stays. Unlike documents stay all, whatever their doc_ids.
 
-    Only rows that go or are repeated are listed, so Spark can broadcast the list while it is small and needn't shuffle texts.
+    Only rows that go or are repeated are listed, and only texts that may be listed are shuffled.
     """
     own_id, own_text = fresh(docs.columns, "key_id", "key_text")
     classes = materialise(near_copies(docs, size, similarity), "classes")
     best = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
     kept = best.select(F.coalesce("best.doc_id", F.lit(NO_ID)).alias(own_id), F.col("best.text_hash").alias(own_text)).distinct().withColumn("stays", F.lit(True))
     rows = classes.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias(own_id), F.col("text_hash").alias(own_text)).agg(F.count(F.lit(1)).alias("n"))
-    (stays,) = fresh([*docs.columns, own_id, own_text], "stays")
+    stays, maybe = fresh([*docs.columns, own_id, own_text], "stays", "maybe")
     listed = rows.join(kept, [own_id, own_text], "left").where("stays is null or n > 1").select(own_id, own_text, F.coalesce("stays", F.lit(False)).alias(stays))
-    told = _keyed(docs, own_id, own_text).join(materialise(listed, "listed"), [own_id, own_text], "left")
-    columns = [f"`{c}`" for c in docs.columns]
-    single = told.where(F.col(stays).isNull()).select(*columns)
-    return single.unionAll(told.where(stays).dropDuplicates([own_id, own_text]).select(*columns))
+    listed = materialise(listed, "listed")
+    told, columns = maybe_listed(_keyed(docs, own_id, own_text), listed, [own_id, own_text], maybe), [f"`{c}`" for c in docs.columns]
+    met = told.where(F.col(maybe)).join(listed, [own_id, own_text], "left").where(F.coalesce(stays, F.lit(True)))  # rows that aren't listed occur once
+    return told.where(~F.col(maybe)).select(*columns).unionAll(met.dropDuplicates([own_id, own_text]).select(*columns))

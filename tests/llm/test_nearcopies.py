@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from duolist.llm import nearcopies
+from duolist.llm import common, nearcopies
 from tests.llm import edge
 
 
@@ -144,6 +144,19 @@ def test_spanning_links_equal_plain_components():
     assert ((np.linalg.matrix_power(own.astype(float), 60) > 0) == reach).all()
 
 
+@pytest.mark.parametrize("bits", [2**26, 2**15])
+def test_listed_rows_are_flagged(spark, bits, monkeypatch):
+    monkeypatch.setattr(common, "LISTED_BITS", bits)
+    df = spark.range(20_000).selectExpr("id as k", "'clash' as slot", "'clash' as bits")
+    listed = spark.range(0, 20_000, 7).selectExpr("id as k")
+    got = common.maybe_listed(df, listed, ["k"], "maybe")
+    assert got.columns == ["k", "slot", "bits", "maybe"]
+    flags = {r.k: r.maybe for r in got.collect()}
+    assert len(flags) == 20_000 and all(flags[k] for k in range(0, 20_000, 7))
+    assert sum(flags.values()) < (3000 if bits == 2**26 else 6000)
+    assert not any(r.maybe for r in common.maybe_listed(df, listed.limit(0), ["k"], "maybe").collect())
+
+
 def test_no_unlike_row_is_lost(spark):
     """Null ids, one id for unlike texts, repeated rows, empty and null texts, clashing names."""
     rows = [(None, edge.text(900 + i, 60), "en") for i in range(4)] + [(7, edge.text(950, 60), "en"), (7, edge.text(951, 60), "en"), (7, edge.text(951, 60), "en")]
