@@ -65,3 +65,21 @@ def test_search_is_literal(spark):
     movies = spark.createDataFrame([(1, "Alien (1979)"), (2, "aliens"), (3, "A.ien")], "movieId int, title string")
     assert ids(cohorts.search_titles(movies, "ALIEN"), "movieId") == [(1,), (2,)]
     assert ids(cohorts.search_titles(movies, "a.i"), "movieId") == [(3,)]
+
+
+def test_candidates_are_neither_joined_nor_shuffled_one_by_one(spark):
+    pairs = spark.range(40).selectExpr("id as pairId", "2 * id as userA", "2 * id + 1 as userB")
+    catalog = spark.range(100, 190).selectExpr("id as movieId")
+    seen = spark.range(400).selectExpr("id % 80 as userId", "95 + (id * 7) % 60 as movieId").distinct()
+    watched = {(r.pairId, r.movieId) for r in cohorts.seen_by_pair(pairs, seen).collect()}
+    want = sorted({(p, m) for p in range(40) for m in range(100, 190)} - watched)
+    gone = cohorts.seen_by_pair(pairs, seen)
+    assert sorted((r.pairId, r.movieId) for r in cohorts.all_but(pairs.select("pairId"), catalog, gone, 7, 9).collect()) == want
+    found = cohorts.pair_candidates(pairs, catalog, seen)
+    assert sorted((r.pairId, r.movieId) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(CASE") < plan.index("Exchange")  # nothing is exchanged after the candidates are listed
+    counts = {r.pairId: r.candidates for r in cohorts.candidate_counts(pairs, catalog, seen).collect()}
+    assert counts == {p: sum(q == p for q, _ in want) for p in range(40)}
+    none = cohorts.candidate_counts(pairs, catalog.limit(0), seen)
+    assert none.isEmpty()
