@@ -92,3 +92,37 @@ def test_everyone_meets_everything_in_blocks(spark):
     a, b = spark.range(23).selectExpr("id as pairId"), spark.range(31).selectExpr("id as movieId")
     met = cohorts.against_all(a, b, "movieId", 5, 7)
     assert met.count() == met.distinct().count() == 23 * 31 and met.rdd.getNumPartitions() == 25
+
+
+def test_ranks_of_scored_movies_need_no_catalogue(spark):
+    """A million movies of which a pair has scores of three: dense ranks would take a million numbers a user."""
+    pairs = spark.createDataFrame([(0, 1, 2), (1, 3, 4)], "pairId int, userA int, userB int")
+    scores = spark.createDataFrame([(1, 5, 2.0), (1, 0, -1.0), (2, 7, 1.0)], "userId int, movieId int, score double")
+    seen = spark.createDataFrame([(1, 1), (2, 3), (3, 0)], "userId int, movieId int")
+    catalog = spark.range(1_000_000).selectExpr("cast(id as int) as movieId")
+    rows = ranks.scored_rows(pairs, scores, ranks.numbered(catalog), seen, "at").collect()
+    assert len(rows) == 3 + 3 + 2
+    got = {(r.pairId, r.rank): (r.movieId, round(r.qA, 9)) for r in ranking.recommend_from_scores(pairs, scores, catalog, seen, 1.0, 4).collect()}
+    # of movie 7 A has no score, which ranks above the one disliked movie: a little higher than B's rank of movie 5
+    assert [got[0, i][0] for i in (1, 2, 3, 4)] == [7, 5, 2, 4] and got[0, 2][1] == 1.0
+    assert [got[1, i][0] for i in (1, 2, 3, 4)] == [1, 2, 3, 4]
+
+
+@settings(max_examples=200, deadline=None)
+@given(SCORES, st.integers(0, 20))
+def test_ranks_beside_zeros_that_are_not_listed(scores, rest):
+    x = np.array(scores, float)
+    twice, zero = ranks.twice_ranks_among(x, rest)
+    every = ranks.twice_ranks(np.concatenate([x, np.zeros(rest + 1)]))
+    assert (ranks.twice_ranks(np.concatenate([x, np.zeros(rest)]))[: len(x)] == twice).all()
+    assert rest == 0 or zero == ranks.twice_ranks(np.concatenate([x, np.zeros(rest)]))[-1]
+    assert len(every) == len(x) + rest + 1
+
+
+def test_percentiles_of_all_candidates(spark):
+    pairs, scores, catalog, seen = tables(spark)
+    got = {(r.pairId, r.movieId): (r.qA, r.qB) for r in ranks.pair_percentiles(pairs, scores, catalog, seen).collect()}
+    a, b = (scores.select(F.col("userId").alias(f"user{m}"), "movieId", F.col("score").alias(f"s{m}")) for m in "AB")
+    both = cohorts.pair_candidates(pairs, catalog, seen).join(pairs, "pairId").join(a, ["userA", "movieId"], "left").join(b, ["userB", "movieId"], "left").fillna(0.0, ["sA", "sB"])
+    want = {(r.pairId, r.movieId): (r.qA, r.qB) for r in ranking.normalize_scores(both.withColumnsRenamed({"sA": "scoreA", "sB": "scoreB"})).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
