@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from duolist.functions import percentile_rank
 from duolist.operators import pairs
+from duolist.plans import registry
 
 
 def test_ranks_equal_the_window_and_need_none_over_all_rows(spark):
@@ -18,3 +19,22 @@ def test_ranks_equal_the_window_and_need_none_over_all_rows(spark):
     whole = features.where("genreSimilarity is not null and ratingCorrelation is not null")
     assert {r.conflictBand for r in pairs.conflict_bands(whole).collect()} == {"low", "medium", "high"}
     assert "Window" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ties_across_both_tertiles_are_bands_too(spark):
+    """Nine pairs of ten tie: SQL gives bands where tertiles coincide, and no rows where there are no pairs."""
+    features = spark.createDataFrame([(i, 0.1 + (i == 9), 0.3 + (i == 9)) for i in range(10)], "pairId long, genreSimilarity double, ratingCorrelation double")
+    bands = {r.pairId: r.conflictBand for r in pairs.conflict_bands(features, distinct=False).collect()}
+    assert set(bands.values()) == {"low"}
+    turned = features.selectExpr("pairId", "-genreSimilarity as genreSimilarity", "-ratingCorrelation as ratingCorrelation")
+    assert {r.pairId: r.conflictBand for r in pairs.conflict_bands(turned, distinct=False).collect()} == {i: "high" if i == 9 else "low" for i in range(10)}
+    assert pairs.conflict_bands(features.limit(0), distinct=False).isEmpty()
+    with pytest.raises(ValueError):
+        pairs.conflict_bands(features)
+
+
+def test_queries_give_no_rows_where_no_pair_has_a_correlation(spark, monkeypatch):
+    features = spark.createDataFrame([(i, 2 * i, 2 * i + 1, 0, 0.5, None) for i in range(4)], "pairId long, userA long, userB long, coRatedTrain long, genreSimilarity double, ratingCorrelation double")
+    monkeypatch.setattr(registry, "_features", lambda d: features)
+    for name in ("conflict_bands", "dissimilar_pairs"):
+        assert registry.queries()[name](spark, "unused").isEmpty()
