@@ -266,3 +266,22 @@ def test_ranking_loss(spark):
     good = spark.createDataFrame([(2.0, 0.0), (0.5, 0.0)], "positive double, negative double")
     bad = good.selectExpr("negative as positive", "positive as negative")
     assert graph.ranking_loss(good).first().loss < np.log(2) < graph.ranking_loss(bad).first().loss
+
+
+def test_least_squares_solves_many_rows_a_group(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(u), int(m)) for u, m in zip(rng.integers(0, 60, 500), rng.integers(0, 20, 500), strict=True)})
+    vectors = rng.normal(size=(20, 3))
+    movies = spark.createDataFrame([(m, v.tolist()) for m, v in enumerate(vectors)], "movieId long, vec array<double>")
+    config = AlsConfig(factors=3)
+    likes = spark.createDataFrame(rows, "userId long, movieId long")
+    for at_once in (4_000_000, 600):
+        monkeypatch.setattr(models, "NUMBERS_AT_ONCE", at_once)
+        got = {r.userId: r.vec for r in models.least_squares(likes, "userId", "movieId", movies, config).collect()}
+        assert got.keys() == {u for u, _ in rows}
+        for u, vec in got.items():
+            x = vectors[[m for v, m in rows if v == u]]
+            left = vectors.T @ vectors + config.regularization * np.eye(3) + config.alpha * x.T @ x
+            assert np.allclose(vec, np.linalg.solve(left, (1 + config.alpha) * x.sum(axis=0)))
+    groups = models.least_squares(likes, "userId", "movieId", movies, config)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas [block" in groups  # blocks, not a group a user
