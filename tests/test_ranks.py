@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -6,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from duolist.operators import cohorts, ranking, ranks
+from duolist.schema import shared_folder
 
 SCORES = st.lists(st.integers(-4, 4), min_size=1, max_size=30)
 
@@ -126,3 +129,50 @@ def test_percentiles_of_all_candidates(spark):
     both = cohorts.pair_candidates(pairs, catalog, seen).join(pairs, "pairId").join(a, ["userA", "movieId"], "left").join(b, ["userB", "movieId"], "left").fillna(0.0, ["sA", "sB"])
     want = {(r.pairId, r.movieId): (r.qA, r.qB) for r in ranking.normalize_scores(both.withColumnsRenamed({"sA": "scoreA", "sB": "scoreB"})).collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_lists_of_vectors_by_blocks_equal_dense_ranks(spark):
+    """Two rounds over blocks give what ranks over the whole catalogue give, ties, removed movies and a pair without any included."""
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(-2, 3, (12, 3)).astype(float), rng.integers(-2, 3, (57, 3)).astype(float)
+    users = spark.createDataFrame([(u, v.tolist()) for u, v in enumerate(x)], "userId int, vec array<double>")
+    items = spark.createDataFrame([(3 * m, v.tolist()) for m, v in enumerate(y)], "movieId int, vec array<float>")
+    members = [(0, 0, 1), (1, 2, 3), (2, 0, 5), (3, 6, 7), (4, 8, 9), (5, 10, 11)]
+    pairs = spark.createDataFrame(members, "pairId int, userA int, userB int")
+    has_seen = {u: {int(m) for m in rng.choice(57, 9, replace=False)} for u in range(10)} | {10: set(range(57)), 11: set()}
+    seen = spark.createDataFrame([(u, 3 * m) for u, own in has_seen.items() for m in own] + [(0, 1)], "userId int, movieId int")
+    weights = [0.0, 0.65, 1.0, None]
+    want = {}
+    for p, a, b in members:
+        own = np.array([m for m in range(57) if m not in has_seen[a] | has_seen[b]], int)
+        qa, qb = (pd.Series(y[own] @ x[u]).rank().to_numpy() / max(1, len(own)) for u in (a, b))
+        for w in weights:
+            average, least = (qa + qb) / 2, np.minimum(qa, qb)
+            group = np.sqrt(qa * qb) if w is None else (1 - w) * average + w * least
+            top = np.lexsort((own, -np.round(average, 12), -np.round(least, 12), -np.round(group, 12)))[:4]
+            want |= {(p, w, r + 1): (3 * int(own[i]), round(group[i], 9), round(qa[i], 9)) for r, i in enumerate(top)}
+    for block in (100, 10):
+        got = ranks.lists_of_vectors(pairs, users, items, seen, weights, 4, 2, block).collect()
+        assert {(r.pairId, r.conflictWeight, r.rank): (r.movieId, round(r.groupScore, 9), round(r.qA, 9)) for r in got} == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([-np.inf, -2.0, -0.0, 0.0, 1.5, np.inf, np.nan]), max_size=20), st.data())
+def test_counts_around_some_scores(scores, data):
+    every = ranks.ordered(np.array(scores, float))
+    some = every[data.draw(st.lists(st.integers(0, len(scores) - 1), max_size=6))] if scores else every
+    less, equal = ranks.counts_around(some, every)
+    assert less.tolist() == [int((every < s).sum()) for s in some] and equal.tolist() == [int((every == s).sum()) for s in some]
+    assert len(set(every.tolist())) == len({str(s + 0.0) for s in scores})
+
+
+def test_lists_of_vectors_shuffle_no_ranks_of_whole_catalogues(spark):
+    """What is written for 200 pairs and 8,000 movies is far below a rank for each user and movie (12.8 MB)."""
+    rng = np.random.default_rng(9)
+    users = spark.createDataFrame([(u, v.tolist()) for u, v in enumerate(rng.normal(size=(400, 4)))], "userId int, vec array<double>")
+    items = spark.createDataFrame([(m, v.tolist()) for m, v in enumerate(rng.normal(size=(8000, 4)))], "movieId int, vec array<double>")
+    pairs = spark.createDataFrame([(i, 2 * i, 2 * i + 1) for i in range(200)], "pairId int, userA int, userB int")
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert ranking.recommend_from_vectors(pairs, users, items, spark.createDataFrame([], "userId int, movieId int")).count() == 2000
+    assert sum(os.path.getsize(f"{folder}/{t}/{f}") for t in set(os.listdir(folder)) - before for f in os.listdir(f"{folder}/{t}")) < 3_000_000
