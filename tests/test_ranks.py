@@ -176,3 +176,13 @@ def test_lists_of_vectors_shuffle_no_ranks_of_whole_catalogues(spark):
     before = set(os.listdir(folder))
     assert ranking.recommend_from_vectors(pairs, users, items, spark.createDataFrame([], "userId int, movieId int")).count() == 2000
     assert sum(os.path.getsize(f"{folder}/{t}/{f}") for t in set(os.listdir(folder)) - before for f in os.listdir(f"{folder}/{t}")) < 3_000_000
+
+
+def test_every_product_comes_once_from_packed_blocks(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(23, 3)), rng.normal(size=(31, 3)).astype(np.float32).astype(float)
+    users = spark.createDataFrame([(u, v.tolist()) for u, v in enumerate(x)], "userId int, vec array<double>")
+    items = spark.createDataFrame([(7 * m, v.tolist()) for m, v in enumerate(y)], "movieId int, vec array<float>")
+    for blocks in ((100, 100), (5, 7)):
+        rows = ranks.every_product(users, items, *blocks).collect()
+        assert len(rows) == 23 * 31 and {(r.userId, r.movieId): r.score for r in rows} == {(u, 7 * m): float((x[u, 0] * y[m, 0] + x[u, 1] * y[m, 1]) + x[u, 2] * y[m, 2]) for u in range(23) for m in range(31)}
