@@ -23,6 +23,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from duolist.llm.bpe import codec
 from duolist.llm.common import Batches, fresh, materialise, record, texts
+from duolist.llm.tokens import forget
 
 #: Labelled documents learned from per language, those with the least hash of doc_id.
 FIT_DOCS = 400
@@ -323,6 +324,7 @@ def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, vocabulary:
     at = docs.columns.index(text_col)
 
     def run(batches: Batches) -> Batches:
+        forget()
         predictor = Predictor(*shared.value, vocabulary)
         for batch in batches:
             names, scores = predictor.predict(texts(batch.column(at)))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from duolist.llm.common import Batches, fresh, materialise, maybe_listed, record, text_bytes
 from duolist.llm.components import connected_components
+from duolist.llm.tokens import forget
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -348,10 +349,13 @@ def near_copies(
     """
 
     def run(batches: Batches) -> Batches:
+        forget()
         for batch in batches:
-            every = [shingle_set(t, size) for t in text_bytes(batch.column(2))]
-            fps = np.stack([fingerprint(h) for h in every]) if every else np.empty((0, _WORDS), np.uint64)
-            yield record(doc_id=batch.column(0), text_hash=batch.column(1), n=np.array([len(h) for h in every], np.int64), name=node(fps), **_columns(fps))
+            fps, sizes = np.empty((batch.num_rows, _WORDS), np.uint64), np.zeros(batch.num_rows, np.int64)
+            for i, text in enumerate(text_bytes(batch.column(2))):  # one set at a time is held
+                hashes = shingle_set(text, size)
+                fps[i], sizes[i] = fingerprint(hashes), len(hashes)
+            yield record(doc_id=batch.column(0), text_hash=batch.column(1), n=sizes, name=node(fps), **_columns(fps))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, text_hash long, n long, name long, " + ", ".join(f"{c} long" for c in _FP)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from duolist.llm.common import Batches, fresh, materialise, record, texts
+from duolist.llm.tokens import forget
 
 BUCKETS = 1 << 16
 #: Labelled documents that the target model is counted over, those with the least hash of doc_id.
@@ -97,6 +98,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", weight_as:
     at = docs.columns.index(text_col)
 
     def run(batches: Batches) -> Batches:
+        forget()
         by_bucket = shared.value
         for batch in batches:
             weights = [float(by_bucket[features(t)].sum()) for t in texts(batch.column(at))]

@@ -189,6 +189,11 @@ def _memory(path: str) -> WordMemory:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Let this worker's memories go, where the operator that comes next doesn't use them."""
+    _loaded.clear()
+
+
 def encode_all(texts: list[str], path: str | None = None) -> Iterator[np.ndarray]:
     """The library's ids of each text as uint32, in order; some hundred thousand characters are worked on at once."""
     return _memory(vocabulary_path(path)).all(texts)
