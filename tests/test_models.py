@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duolist.config import AlsConfig, BiasedMfConfig, GraphConfig, PrepConfig
 from duolist.operators import graph, models, strata
+from duolist.schema import drop_table, shared_table
 
 LIKES = [(1, 10), (1, 20), (2, 10), (2, 30), (3, 20), (3, 40)]
 TOY = [(10, 100), (10, 200), (20, 200), (20, 300), (30, 100), (30, 400), (40, 300), (40, 500)]
@@ -285,3 +286,35 @@ def test_least_squares_solves_many_rows_a_group(spark, monkeypatch):
             assert np.allclose(vec, np.linalg.solve(left, (1 + config.alpha) * x.sum(axis=0)))
     groups = models.least_squares(likes, "userId", "movieId", movies, config)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInPandas [block" in groups  # blocks, not a group a user
+
+
+def test_prediction_moves_no_vector_with_a_pair(spark):
+    """Blocks meet blocks: no join; other columns and unknown ids are treated as by inner joins."""
+    users = spark.createDataFrame([(1, 0.5, [1.0, 2.0]), (2, -0.5, [0.0, 1.0])], "userId long, bias double, vec array<double>")
+    movies = spark.createDataFrame([(7, 0.25, [3.0, 1.0])], "movieId long, bias double, vec array<double>")
+    pairs = spark.createDataFrame([(1, 7, "a"), (2, 7, "b"), (3, 7, "c"), (1, 8, "d"), (None, 7, "e"), (1, 7, "a")], "userId int, movieId int, note string")
+    got = models.predict_biased_mf(pairs, {"mean": 3.0, "users": users, "movies": movies})
+    assert got.columns == ["userId", "movieId", "note", "score"]
+    assert sorted(map(tuple, got.collect())) == [(1, 7, "a", 8.75), (1, 7, "a", 8.75), (2, 7, "b", 3.75)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sweeps_move_vectors_few_times():
+    """Each block more is a shuffle of all vectors; a propagation has fewer blocks than a training."""
+    assert strata.blocks_for(1_000_000, 1_100_000) == 9 and strata.blocks_for(100_000, 50_000) == 7
+    assert strata.spread_blocks(9) == 4 and strata.spread_blocks(1) == 1 and strata.spread_blocks(80) == 10
+
+
+def test_propagation_holds_one_sum_and_losses_write_nothing(spark, monkeypatch):
+    made, dropped = [], []
+    monkeypatch.setattr(strata, "shared_table", lambda df, name: made.append(name) or shared_table(df, name))
+    monkeypatch.setattr(strata, "drop_table", lambda df: dropped.append(df) or drop_table(df))
+    likes = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (3, 9)], "a long, b long")
+    sides = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 7), (1, 8), (1, 9)], "kind int, node long")
+    nodes = shared_table(strata.start_nodes(sides, 2, 1, 0.1, lambda x: x), "nodes")
+    strata.Spread(strata.weighted_edges(likes), 2).polynomial(nodes, [0.5, 0.25, 0.125]).count()
+    assert made == ["spread", "spread"] and len(dropped) == 1
+    rows = likes.withColumn("y", F.lit(0.0))
+    met = strata.met_loss(nodes, rows, 2, 2, 5, strata.pairwise_loss(2))
+    assert len(made) == 2  # no table
+    assert np.isclose(met, strata.sweep(nodes, rows, 2, 5, strata.pairwise_loss(2))[1])
