@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from duolist.config import PrepConfig, check_nested_counts
 from duolist.operators import checks
+from duolist.sources import tables
 from duolist.sources import imports, sinks, tables
 from duolist.streaming import running_positive_counts, split_to_parquet
 
@@ -124,3 +125,15 @@ def test_queue(spark):
     starters = spark.createDataFrame([(2, 1)], "movieId int, onboardingOrder int")
     catalog = spark.createDataFrame([(1, 10), (2, 99), (3, 50)], "movieId int, trainPositiveCount long")
     assert [r.movieId for r in tables.rating_queue(movies, links, starters, catalog).orderBy("queue", "position").collect()] == [2, 3, 1]
+
+
+def test_tasks_of_ratings_grow_with_the_lines(spark, tmp_path, monkeypatch):
+    """A task's hash tables hold a bounded number of lines, whatever the usual number of partitions; the ratings stay the same."""
+    spark.createDataFrame([(o, o % 40) for o in range(200)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.range(1000).selectExpr("id % 200 AS l_orderkey", "id % 17 AS l_partkey", "CAST(id % 50 AS double) AS l_quantity", "date_add(DATE'1999-01-01', CAST(id % 900 AS int)) AS l_shipdate")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    usual = sorted(map(tuple, tables.DemoTables(spark, str(tmp_path)).ratings.collect()))
+    assert tables.many_parts(spark, 4_000_000) is None and tables.many_parts(spark, 360_000_001) == 361
+    monkeypatch.setattr(tables, "many_parts", lambda s, rows: 37)
+    many = tables.DemoTables(spark, str(tmp_path)).ratings
+    assert sorted(map(tuple, many.collect())) == usual and many.rdd.getNumPartitions() == 37
