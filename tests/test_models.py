@@ -318,3 +318,10 @@ def test_propagation_holds_one_sum_and_losses_write_nothing(spark, monkeypatch):
     met = strata.met_loss(nodes, rows, 2, 2, 5, strata.pairwise_loss(2))
     assert len(made) == 2  # no table
     assert np.isclose(met, strata.sweep(nodes, rows, 2, 5, strata.pairwise_loss(2))[1])
+
+
+def test_tasks_of_neighbours_grow_with_what_meets(spark, monkeypatch):
+    usual = sorted(map(tuple, models.item_neighbours(edges(spark, TOY), 2, 1.0).collect()))
+    monkeypatch.setattr(models, "_met", lambda likes: 31)
+    many = models.item_neighbours(edges(spark, TOY), 2, 1.0)
+    assert sorted(map(tuple, many.collect())) == usual and many.rdd.getNumPartitions() == 62
