@@ -7,7 +7,7 @@ from duolist.operators import cohorts, ranks
 
 def test_blocks_are_large_but_leave_no_core_without_work(spark):
     assert cohorts.blocks_that_meet(spark.range(268_000), spark.range(1_180_000), 16_384, 65_536) == (17, 19)
-    assert cohorts.blocks_that_meet(spark.range(5000), spark.range(50_000), 16_384, 65_536) == (8, 1)  # four cores
+    assert cohorts.blocks_that_meet(spark.range(5000), spark.range(50_000), 16_384, 65_536) == (16, 1)  # four cores
     assert cohorts.blocks_that_meet(spark.range(0), spark.range(9), 16_384, 65_536) == (1, 1)
 
 
